@@ -7,7 +7,7 @@ so no Python object is made per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,11 +71,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
 class Scan:
     """Words of a batch of texts: starts, ends and hashes, with ptr[d]:ptr[d+1] the words of text d."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, inside: np.ndarray | Callable | None = None, fold: np.ndarray | Callable | None = None):
+        """inside: which byte values are part of words, instead of all but white space; fold: byte values to read instead.
+        Each may be a table of 256 or a function of the buffer."""
         self.buf, self.off = text_buffer(texts)
+        if fold is not None:
+            self.raw = self.buf
+            self.buf = fold(self.buf) if callable(fold) else fold[self.buf]
         n = len(self.buf)
         self.n_docs = len(self.off) - 1
-        self.inside = ~SPACE[self.buf]
+        self.inside = ~SPACE[self.buf] if inside is None else inside(self.buf) if callable(inside) else inside[self.buf]
         edge = np.zeros(n + 1, dtype=bool)
         edge[self.off] = True
         before = np.zeros(n, dtype=bool)
