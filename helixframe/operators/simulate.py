@@ -1,0 +1,51 @@
+"""Sequences with known partitions from simulated evolution."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def evolve(seed: int, template: str, n: int, partitions: int, max_time: int, rate: int, assure: int, controlled: bool = False) -> list[str]:
+    """n sequences in equal partitions; each partition starts as copies of a mutated earlier sequence (or, controlled, of the
+    partition before's template with `assure` forced changes), and all mutate on.  max_time -1 is one cycle."""
+    if partitions < 1 or n % partitions:
+        raise ValueError("n must be divisible by the partitions")
+    draw = np.random.default_rng(seed)
+    base = np.array([max(0, "ACGT".find(c)) for c in template], dtype=np.int8)
+    size, width = n // partitions, len(base)
+    rows = np.repeat(base[None, :], size, axis=0)
+    source = base.copy()
+
+    def cycles() -> int:
+        return 1 if max_time == -1 else int(draw.integers(0, max_time + 1))
+
+    def mutate(times: int) -> None:
+        count = times * rate * (len(rows) // size)
+        if count and width:
+            rows[draw.integers(0, len(rows), count), draw.integers(0, width, count)] = draw.integers(0, 4, count)
+
+    for _ in range(1, partitions):
+        mutate(cycles())
+        start = source if controlled else rows[draw.integers(0, len(rows))].copy()
+        for at in draw.permutation(width)[: max(0, assure)]:
+            start[at] = (start[at] + draw.integers(1, 4)) % 4 if controlled else draw.integers(0, 4)
+        source = start.copy()
+        rows = np.concatenate([rows, np.repeat(start[None, :], size, axis=0)])
+    mutate(cycles())
+    return ["".join("ACGT"[c] for c in r) for r in rows]
+
+
+def simulated(templates: DataFrame, n: int, partitions: int, max_time: int, rate: int, assure: int = 0, controlled: bool = False) -> DataFrame:
+    """(template_id, seq_id, seq): a family for every row of templates(seq_id, seq), seeded by its id."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for i, seq in zip(p["seq_id"], p["seq"], strict=True):
+                found = evolve(int(i), seq or "", n, partitions, max_time, rate, assure, controlled)
+                yield pd.DataFrame({"template_id": i, "seq_id": range(len(found)), "seq": found})
+
+    return templates.select("seq_id", "seq").mapInPandas(run, "template_id long, seq_id long, seq string")
