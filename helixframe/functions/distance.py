@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,11 +63,15 @@ def alignment_distances(a: list[str], b: list[str], textbook: bool = False, cell
     return out
 
 
-@F.pandas_udf("double")
-def sw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+def sw_series(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(alignment_distances(a.tolist(), b.tolist()))
 
 
+def register_sw_distance(spark: SparkSession, name: str = "sw_distance") -> None:
+    """Make the distance a function of two strings in SQL."""
+    spark.udf.register(name, F.pandas_udf(sw_series, "double"))
+
+
 def sw_distances(pairs: DataFrame, a: str, b: str, to: str = "dist") -> DataFrame:
     """pairs with the alignment distance of columns a and b."""
     schema = T.StructType([*pairs.schema.fields, T.StructField(to, T.DoubleType())])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.distance import pairs_within
-from ..storage import saved
+from ..storage import saved, small
 
 
 def neighbour_counts(pairs: DataFrame) -> DataFrame:
@@ -25,16 +25,21 @@ def density_labels(pairs: DataFrame, minpts: int, most_rounds: int = 500) -> Dat
     """(seq_id, label) of the members of pairs(i, j), both directions and i = j included."""
     links = saved(pairs.select("i", "j"))
     degree = saved(neighbour_counts(links).where(F.col("n") >= minpts))
-    edges = saved(links.where("i <> j").join(degree.select(F.col("seq_id").alias("i"), (F.col("n") > minpts).alias("strong")), "i"))
-    labels = saved(degree.where(F.col("n") > minpts).select("seq_id", F.col("seq_id").alias("label")))
+    edges = links.where("i <> j").join(degree.select(F.col("seq_id").alias("i"), (F.col("n") > minpts).alias("strong")), "i")
+    edges = saved(edges)
+    labels = degree.where(F.col("n") > minpts).select("seq_id", F.col("seq_id").alias("label"))
+    n = labels.count()
+    if not n:
+        return labels
     for _ in range(most_rounds):
-        jump = labels.select(F.col("seq_id").alias("label"), F.col("label").alias("far"))
-        short = labels.join(jump, "label", "left").select("seq_id", F.coalesce("far", "label").alias("label"))
-        offers = edges.join(short.withColumnRenamed("seq_id", "i"), "i").where("strong or label < i").select(F.col("j").alias("seq_id"), "label")
-        new = saved(offers.unionByName(short).groupBy("seq_id").agg(F.min("label").alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "was"), "seq_id", "left").where("was is null or was <> label").limit(1).count()
-        labels = new
-        if not changed:
+        offers = edges.join(small(labels.withColumnRenamed("seq_id", "i"), n), "i").where("strong or label < i").select(F.col("j").alias("seq_id"), "label", F.lit(None).cast("long").alias("was"))
+        best = offers.unionByName(labels.select("seq_id", "label", F.col("label").alias("was"))).groupBy("seq_id").agg(F.min("label").alias("near"), F.max("was").alias("was"))
+        jump = small(labels.select(F.col("seq_id").alias("near"), F.col("label").alias("far")), n)
+        new = best.join(jump, "near", "left").select("seq_id", F.least("near", F.coalesce("far", "near")).alias("label"), "was")
+        new = saved(new.select("seq_id", "label", F.expr("was is null or was <> label").alias("moved")))
+        labels = new.select("seq_id", "label")
+        n, moved = new.agg(F.count("*"), F.count_if("moved")).first()
+        if not moved:
             return labels
     raise RuntimeError("the labels did not settle")
 

@@ -93,9 +93,9 @@ def max_length(spark, d):
     return O.max_length(seqs(spark, d))
 
 
-@query("SELECT doc_id, upper(regexp_extract(text, '^\\s*(\\S+)', 1)) AS token FROM documents WHERE text IS NOT NULL")
+@query("SELECT p_partkey, upper(regexp_extract(p_name, '^\\s*(\\S+)', 1)) AS token FROM part")
 def first_token(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", S.first_token(F.col("text")).alias("token"))
+    return table(spark, d, "part").select("p_partkey", S.first_token(F.col("p_name")).alias("token"))
 
 
 MASKED = "WITH {seq}, m AS (SELECT doc_id AS seq_id, quality AS mask FROM labels) SELECT seq_id, CASE WHEN mask = 1 THEN {x} ELSE seq END AS seq FROM seqs LEFT JOIN m USING (seq_id)"
@@ -366,8 +366,20 @@ def cluster_fasta(spark, d):
     return W.cluster_records(seqs(spark, d), C.dbscan(points(spark, d), 1.15, MINPTS))
 
 
+_LAYERS: dict[tuple[str, str], DataFrame] = {}
+
+
 def membership(spark: SparkSession, d: str) -> DataFrame:
-    return saved(C.layers_at(points(spark, d), list(EPSILONS), MINPTS))
+    """The layers of a session's input: a table in the shared folder that the queries on layers have in common."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LAYERS:
+        _LAYERS[key] = saved(C.layers_at(points(spark, d), list(EPSILONS), MINPTS))
+    return _LAYERS[key]
+
+
+def rooted(nodes: DataFrame) -> DataFrame:
+    """-1 for no parent."""
+    return nodes.withColumn("parent", F.coalesce("parent", F.lit(-1)))
 
 
 LAYERS = (
@@ -376,7 +388,7 @@ LAYERS = (
     + ", mm AS MATERIALIZED ("
     + " UNION ALL ".join(f"SELECT {k} AS layer, cluster, id AS seq_id FROM m{k}" for k in range(len(EPSILONS)))
     + """), sz AS MATERIALIZED (SELECT layer, cluster, count(*) AS n_members FROM mm GROUP BY ALL),
-ed AS MATERIALIZED (SELECT layer, parent, child, overlap FROM (SELECT u.layer, u.cluster AS parent, l.cluster AS child, count(*) AS overlap FROM mm l JOIN mm u ON u.layer = l.layer + 1 AND u.seq_id = l.seq_id GROUP BY ALL) x
+ed AS MATERIALIZED (SELECT x.layer, parent, child, overlap FROM (SELECT u.layer, u.cluster AS parent, l.cluster AS child, count(*) AS overlap FROM mm l JOIN mm u ON u.layer = l.layer + 1 AND u.seq_id = l.seq_id GROUP BY ALL) x
   JOIN sz ON sz.layer = x.layer - 1 AND sz.cluster = x.child WHERE overlap > 0.8 * n_members),
 nd AS MATERIALIZED (SELECT sz.layer, sz.cluster, n_members, 'L' || sz.layer || 'C' || sz.cluster || 'N' || n_members AS label, parent FROM sz LEFT JOIN ed ON ed.layer = sz.layer + 1 AND ed.child = sz.cluster),
 re(layer, cluster) AS (SELECT layer, cluster FROM nd WHERE layer = 2 AND cluster = 0 UNION SELECT nd.layer, nd.cluster FROM re JOIN nd ON nd.layer = re.layer - 1 AND nd.parent = re.cluster),
@@ -394,19 +406,19 @@ def layer_edges(spark, d):
     return L.layer_edges(membership(spark, d))
 
 
-@query(LAYERS + "SELECT * FROM nd")
+@query(LAYERS + "SELECT layer, cluster, n_members, label, coalesce(parent, -1) AS parent FROM nd")
 def tree_nodes(spark, d):
-    return L.tree_nodes(membership(spark, d))
+    return rooted(L.tree_nodes(membership(spark, d)))
 
 
-@query(LAYERS + "SELECT * FROM nd WHERE parent IS NULL AND layer < (SELECT max(layer) FROM mm)")
+@query(LAYERS + "SELECT layer, cluster, n_members, label, coalesce(parent, -1) AS parent FROM nd WHERE parent IS NULL AND layer < (SELECT max(layer) FROM mm)")
 def tree_orphans(spark, d):
-    return L.orphans(membership(spark, d))
+    return rooted(L.orphans(membership(spark, d)))
 
 
-@query(LAYERS + "SELECT nd.layer, nd.cluster, n_members, label, parent FROM nd JOIN re ON nd.layer = re.layer AND nd.cluster = re.cluster")
+@query(LAYERS + "SELECT nd.layer, nd.cluster, n_members, label, coalesce(parent, -1) AS parent FROM nd JOIN re ON nd.layer = re.layer AND nd.cluster = re.cluster")
 def tree_reachable(spark, d):
-    return L.reachable(membership(spark, d))
+    return rooted(L.reachable(membership(spark, d)))
 
 
 @query(LAYERS + "SELECT layer, dense_rank() OVER (PARTITION BY layer ORDER BY cluster) - 1 AS cluster, seq_id FROM mm JOIN sz USING (layer, cluster) WHERE n_members >= 8")
