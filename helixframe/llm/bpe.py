@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .textscan import slices
 
 #: Pieces whose encoding a Python worker keeps; those beyond are encoded each time they come.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -296,7 +296,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         gc.disable()  # millions of small tuples without cycles
-        for b in slices(batches, "text", 1 << 25):
+        for b in slices(batches, "text", 1 << 23):
             n, ids, raw = [], [], []
             for count, text, data in own.summaries([t or "" for t in b.column(1).to_pylist()]):
                 n.append(count)
