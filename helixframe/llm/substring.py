@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, small
+from ..storage import saved, small
 from .textscan import Scan, _powers, mix, slices, windows
 
 WINDOW, GRAM, ORDER = 20, 5, 32
@@ -270,7 +270,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = [r[0] for r in found.where(F.col("n") > max(64.0, n_docs * HOT_SHARE)).select("key").collect()]  # 64 times the mean text at most
     keys = None
     if total[0] <= MOST_KEYS:
-        keys = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in found.select("key").collect()], dtype=np.int64).view(np.uint64)))
+        keys = spark.sparkContext.broadcast(np.sort(np.asarray(found.select("key").toArrow().column(0).combine_chunks()).view(np.uint64)))
     rows = repeated_segments(docs, keys, np.sort(np.array(hot, dtype=np.int64).view(np.uint64)))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-28 * (total[1] or 0) // SHARD_WORDS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
