@@ -292,7 +292,7 @@ def digest_repeats(docs: DataFrame) -> DataFrame:
 def _remove(docs: DataFrame, digest: bool) -> DataFrame:
     several, equal = repeats(docs)
     gone = saved(several.unionByName(equal).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("gone")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id()).join(small(gone), "rid", "left").select("doc_id", "text", F.col("gone.start").alias("start"), F.col("gone.n").alias("n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id()).join(small(gone, gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]), "rid", "left").select("doc_id", "text", F.col("gone.start").alias("start"), F.col("gone.n").alias("n"))
     name = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
