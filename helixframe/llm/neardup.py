@@ -7,9 +7,9 @@ document frequencies that matter are exact: a shingle above that share is above
 gathers the chunks' candidates and a second counts them everywhere; the table is bounded by 64 times the mean text.
 
 A text gets 56 consistent weighted samples in 14 bands of 4: a pair with similarity 0.8 meets in a band with probability
-0.9994.  Equal texts are one class.  Within a bucket every class is compared with the bucket's first; what these links connect
+0.9994.  Equal texts are one class.  Within a bucket every class is compared with the bucket's lead, the one that shares most buckets; what these links connect
 is one component, and pairs are formed only between classes of a bucket that are still in different components, and only if
-more samples agree than chance leaves a pair of similarity 0.8 without (30 of 56: one in a million).  Every pair is verified on its texts.
+their sketches allow the similarity (see alike).  Every pair is verified on its texts.
 
 Defined results: a text under five words has no shingles and is near equal texts only; a null text is a class of its own
 document; repeated rows fall into one class; class_id is the smallest doc_id of the class.
@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .decontam import _WORD, _fold
-from .shared import components, saved, small
+from ..storage import saved, small
+from .shared import components, led_buckets
 from .textscan import Scan, mix, per_doc, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -131,7 +131,7 @@ def document_frequencies(docs: DataFrame) -> Idf:
     if not n_maybe:
         return Idf(np.zeros(0, np.uint64), np.zeros(0), n_docs)
     if n_maybe <= MOST_CANDIDATES:
-        own = np.sort(np.array([r[0] for r in maybe.collect()], dtype=np.int64).view(np.uint64))
+        own = np.sort(np.asarray(maybe.toArrow().column(0).combine_chunks()).view(np.uint64))
         exact = counted(docs.sparkSession.sparkContext.broadcast(own))
     else:
         exact = counted("all")
@@ -168,11 +168,14 @@ def samples(e: np.ndarray, w: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 
 _SIGS = [f"s{i}" for i in range(SAMPLES // 8)]
-_SIGNATURE = "doc_id long, cls long, total double, " + ", ".join(f"{s} long" for s in _SIGS) + ", bands array<long>"
+_ODD = [f"o{i}" for i in range(16)]
+_COLUMNS = ["total", *_SIGS, *_ODD]
+_SIGNATURE = "doc_id long, cls long, total double, " + ", ".join(f"{s} long" for s in _SIGS + _ODD) + ", bands array<long>"
 
 
 def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
-    """For every row: its class (a hash of the text), total weight, a byte of each sample in seven numbers, and its buckets."""
+    """For every row: its class (a hash of the text), total weight, a byte of each sample in seven numbers, the parities of its
+    elements over 1024 bits in sixteen numbers, and its buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +186,12 @@ def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
             has = np.flatnonzero(np.diff(ptr))
             sig = np.zeros((len(_SIGS), b.num_rows), dtype=np.uint64)
             bands = np.zeros((BANDS, len(has)), dtype=np.uint64)
+            odd = np.zeros((b.num_rows, 1024), dtype=np.uint8)
             if len(has):
-                s = samples(elements(h, ptr), w, np.append(ptr[has], ptr[-1]))
+                e = elements(h, ptr)
+                cell = np.repeat(np.arange(b.num_rows), np.diff(ptr)) * 1024 + (e >> _U(54)).astype(np.int64)
+                odd = (np.bincount(cell, minlength=odd.size) & 1).astype(np.uint8).reshape(odd.shape)
+                s = samples(e, w, np.append(ptr[has], ptr[-1]))
                 for k in range(SAMPLES):
                     sig[k // 8, has] |= (mix(s[k].astype(np.uint64)) & _U(255)) << _U(8 * (k % 8))
                 for k in range(BANDS):
@@ -192,10 +199,11 @@ def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
                     for x in s[k * ROWS : (k + 1) * ROWS]:
                         key = mix(key * _U(0x9E3779B97F4A7C15) + x)
                     bands[k] = key
+            parity = np.ascontiguousarray(np.packbits(odd, axis=1).view(np.int64).T)
             off = np.zeros(b.num_rows + 1, dtype=np.int32)
             off[1:] = np.cumsum(np.where(np.diff(ptr) > 0, BANDS, 0))
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(bands.T.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(per_doc(w, ptr).astype(float)), *[pa.array(x.view(np.int64)) for x in sig], lists], names=["doc_id", "cls", "total", *_SIGS, "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(per_doc(w, ptr).astype(float)), *[pa.array(x.view(np.int64)) for x in sig], *[pa.array(x) for x in parity], lists], names=["doc_id", "cls", *_COLUMNS, "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class(), "text").mapInArrow(run, _SIGNATURE)
 
@@ -217,12 +225,20 @@ def agreeing(a: str, b: str) -> Column:
 
 
 def prefixed(sigs: DataFrame, p: str) -> DataFrame:
-    return sigs.select(F.col("cls").alias(p), F.col("total").alias(f"{p}_total"), *[F.col(s).alias(f"{p}_{s}") for s in _SIGS])
+    return sigs.select(F.col("cls").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in _COLUMNS])
 
 
 def alike() -> Column:
-    """Whether classes a and b can reach the similarity: by their weights and their samples."""
-    return (F.least("a_total", "b_total") >= SIMILARITY * F.greatest("a_total", "b_total")) & (agreeing("a", "b") >= LEAST_AGREEING)
+    """Whether classes a and b can reach the similarity.
+
+    Their weights and samples must allow it, and their parities: every element that only one of them has flips one bit, so no
+    more bits differ than there are such elements, and at the similarity these weigh (1 - s) / (1 + s) of both texts at most.
+    """
+    differ = F.lit(0)
+    for o in _ODD:
+        differ = differ + F.bit_count(F.col(f"a_{o}").bitwiseXOR(F.col(f"b_{o}")))
+    near = differ <= (F.col("a_total") + F.col("b_total")) * ((1 - SIMILARITY) / (1 + SIMILARITY) / LOWEST) + 1e-6
+    return near & (F.least("a_total", "b_total") >= SIMILARITY * F.greatest("a_total", "b_total")) & (agreeing("a", "b") >= LEAST_AGREEING)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, idf: Idf) -> DataFrame:
@@ -254,24 +270,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     idf = document_frequencies(docs)
     rows = saved(signatures(docs, idf))
-    own = [F.first(c).alias(c) for c in ["total", *_SIGS, "bands"]]
+    own = [F.first(c).alias(c) for c in [*_COLUMNS, "bands"]]
     classes = saved(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), *own))
     sigs = classes.drop("bands", "first")
 
-    by = Window.partitionBy("bucket").orderBy("cls")
-    lead = F.first("cls").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = classes.select("cls", F.explode("bands").alias("bucket")).select("bucket", "cls", lead.alias("lead"), F.lead("cls").over(by).alias("next"))
-    near = saved(near.where("next is not null or lead <> cls").select("bucket", "cls", "lead"))
+    near = saved(led_buckets(classes.select("cls", F.explode("bands").alias("bucket"))))
     stars = near.where("lead <> cls").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
     stars = stars.join(prefixed(sigs, "a"), "a").join(prefixed(sigs, "b"), "b").where(alike())
     links = verified(docs, stars, idf)
     comp = components(links, "a", "b")
 
-    member = saved(near.select("bucket", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    member = saved(near.select("bucket", "cls").join(small(comp.withColumnRenamed("id", "cls")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
     mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     open_ = saved(member.join(mixed, "bucket").join(sigs, "cls"))
-    left = open_.select("bucket", F.col("comp").alias("a_comp"), F.col("cls").alias("a"), F.col("total").alias("a_total"), *[F.col(s).alias(f"a_{s}") for s in _SIGS])
-    right = open_.select("bucket", F.col("comp").alias("b_comp"), F.col("cls").alias("b"), F.col("total").alias("b_total"), *[F.col(s).alias(f"b_{s}") for s in _SIGS])
+    left, right = (open_.select("bucket", F.col("cls").alias(p), F.col("comp").alias(f"{p}_comp"), *[F.col(c).alias(f"{p}_{c}") for c in _COLUMNS]) for p in ("a", "b"))
     cross = left.join(right, "bucket").where("a < b and a_comp <> b_comp").where(alike())
     links = links.unionByName(verified(docs, cross, idf))
     comp = components(links, "a", "b").withColumnRenamed("id", "cls")
