@@ -1,54 +1,44 @@
-"""Tables in the cluster's shared folder, and connected components of links."""
+"""Leads of buckets, and connected components of links."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: A side of a join may be broadcast if it has at most so many rows of two or three numbers (64 MB as a hash table).
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine where none is set, as in tests."""
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not own:
-        own = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own.rstrip("/")
+from ..storage import saved, small
 
+def led_buckets(rows: DataFrame) -> DataFrame:
+    """rows(bucket, cls) of buckets with several classes, and lead, the class of the bucket that shares most buckets with others.
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: the lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, marked for broadcast if it is found to have at most BROADCAST_ROWS rows; a shuffled join serves beyond that."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    In a group of copies with changes of their own, that is the text they were made from: it is closer to each of them
+    than they are to each other.  Ties go to the smallest class.
+    """
+    several = saved(rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1"))
+    degree = several.groupBy("cls").agg(F.sum("size").alias("degree"))
+    own = Window.partitionBy("bucket").orderBy(F.desc("degree"), "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return several.select("bucket", "cls").join(small(degree), "cls").select("bucket", "cls", F.first("cls").over(own).alias("lead"))
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(id, comp) for every node of the links: comp is the smallest id that its links lead to.
 
     Every round each node takes the smallest label among its own and its neighbours', and then that node's label; the labels
-    are a table in the shared folder.  Hubs are split by the skew handling of the joins and by partial aggregation.
+    are a table in the shared folder.  They are broadcast if found small enough; beyond that, hubs are split by the skew
+    handling of the joins.  Either way labels are combined before the round's shuffle.
     """
     both = saved(edges.select(F.col(a).alias("id"), F.col(b).alias("to")).unionByName(edges.select(F.col(b).alias("id"), F.col(a).alias("to"))).where("id <> to").distinct())
     labels = saved(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("comp")))
-    for _ in range(most_rounds):
-        offers = both.join(labels.withColumnRenamed("id", "to"), "to").select("id", "comp")
-        best = offers.unionByName(labels).groupBy("id").agg(F.min("comp").alias("near"))
-        jump = labels.select(F.col("id").alias("near"), F.col("comp").alias("far"))
-        new = saved(best.join(jump, "near", "left").select("id", F.least("near", F.coalesce("far", "near")).alias("comp")))
-        changed = new.join(labels.withColumnRenamed("comp", "was"), "id").where("comp <> was").limit(1).count()
-        labels = new
-        if not changed:
+    n = labels.count()
+    for _ in range(most_rounds if n else 0):
+        offers = both.join(small(labels.select(F.col("id").alias("to"), "comp"), n), "to").select("id", "comp", F.lit(None).cast("long").alias("was"))
+        best = offers.unionByName(labels.select("id", "comp", F.col("comp").alias("was"))).groupBy("id").agg(F.min("comp").alias("near"), F.max("was").alias("was"))
+        jump = small(labels.select(F.col("id").alias("near"), F.col("comp").alias("far")), n)
+        new = best.join(jump, "near", "left").select("id", F.least("near", F.coalesce("far", "near")).alias("comp"), "was")
+        new = saved(new.select("id", "comp", F.expr("comp <> was").alias("moved")))
+        labels = new.select("id", "comp")
+        if not new.where("moved").limit(1).count():
             return labels
-    raise RuntimeError("the components did not settle")
+    if n:
+        raise RuntimeError("the components did not settle")
+    return labels
