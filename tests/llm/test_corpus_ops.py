@@ -121,6 +121,44 @@ def test_line_dedup_keeps_lines_that_differ_in_numbers(spark):
     assert out == {**dict(rows), 4: "", 5: ""}
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def line_pairs():
+    """Pairs of a line and its edited copy, of 4 to 30 words, with an edit similarity of 0.8 or more: (kind, line, copy)."""
+    draw, out = random.Random(11), []
+    for n in (4, 6, 8, 10, 15, 20, 30):
+        for kind in ("word", "typo", "words", "typos"):
+            for _ in range(12):
+                a = " ".join("".join(draw.choice("abcdefghiklmnoprstuvw") for _ in range(draw.randint(2, 9))) for _ in range(n))
+                k = 1 if kind in ("word", "typo") else max(2, n // 8)
+                if kind.startswith("word"):
+                    b = edited(draw, a, k)
+                else:
+                    b = list(a)
+                    for at in draw.sample(range(len(b)), k):
+                        b[at] = draw.choice("xyz")
+                    b = "".join(b)
+                if a != b and 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8:
+                    out.append((kind, a, b))
+    return out
+
+
+def test_line_dedup_recall(spark):
+    pairs = line_pairs()
+    rows = [(k, f"{a}\n{b}") for k, (_, a, b) in enumerate(pairs)]
+    gone = {r.doc_id: r._n_removed for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    share = {kind: sum(gone[k] for k, p in enumerate(pairs) if p[0] == kind) / sum(p[0] == kind for p in pairs) for kind in ("word", "typo", "words", "typos")}
+    print(len(pairs), share)
+    assert share["word"] == share["typo"] == 1 and share["words"] >= 0.9 and share["typos"] >= 0.9
+
+
 def removed(rows):
     first, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
