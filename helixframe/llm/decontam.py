@@ -3,8 +3,9 @@
 Words are lower-cased; numbers, units after numbers and names (capitalised words inside a sentence) become typed
 placeholders.  Windows of 8 template words are looked up among those of the benchmark by hash.  Matches of one document
 and item on one diagonal form an alignment; it counts if it has as many windows as a passage of 13 words (all, for a
-shorter item), and if its slots are consistent: equal benchmark values stand for equal document values and the other way
-round.  So verbatim passages and re-parameterised questions are both found, and a chance template is not.
+shorter item), and if its slots are consistent: equal benchmark values stand for equal document values.  Where one clashes,
+only the windows without a slot of that value count; a verbatim stretch of VERBATIM words counts whatever clashes elsewhere.
+So verbatim passages and re-parameterised questions are both found, and a chance template is not.
 
 The benchmark is read in blocks of at most BLOCK_CHARS characters, each broadcast and matched in one pass over the documents;
 there is no limit on its size.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .textscan import Scan, mix, slices
 
-WINDOW, PASSAGE, SHORTEST = 8, 13, 5
+WINDOW, PASSAGE, SHORTEST, VERBATIM = 8, 13, 5, 26
 BLOCK_CHARS = 8_000_000
 #: Units (fixed values).
 UNITS = "mg g kg t mm cm m km in ft mi ml l s sec min h hr hrs hour hours day days week weeks month months year years percent pct usd eur gbp dollar dollars euro euros cent cents mile miles foot feet inch inches meter meters metre metres gram grams liter liters litre litres w kw v hz k c f".split()
@@ -138,6 +139,29 @@ class Index:
         self.maybe[(h >> _U(44)).astype(np.int64)] = True
         self.windows = np.bincount(own, minlength=len(ids))
 
+    def consistent(self, i: int, at: np.ndarray, value: np.ndarray, diag: int) -> tuple[int, bool] | None:
+        """(windows, verbatim) of the part of an alignment that has no clash, if it is large enough; at is where the windows begin."""
+        k = min(WINDOW, int(self.ptr[i + 1] - self.ptr[i]))
+        inside = at[:, None] + np.arange(k)
+        words = np.unique(inside)
+        slots = words[self.slot[words]]
+        pairs = {}
+        for theirs, ours in zip(self.value[slots].tolist(), value[slots + diag].tolist(), strict=True):
+            pairs.setdefault(theirs, set()).add(ours)
+        clashing = np.array([v for v, ours in pairs.items() if len(ours) > 1], dtype=np.uint64)
+        if len(clashing):
+            bad = self.slot[inside] & np.isin(self.value[inside], clashing)
+            free = at[~bad.any(axis=1)]
+            if len(free) < min(PASSAGE - WINDOW + 1, self.windows[i]):
+                same = at[(self.value[inside] == value[inside + diag]).all(axis=1)]
+                runs = np.split(same, np.flatnonzero(np.diff(same) > WINDOW) + 1)
+                free = max(runs, key=lambda run: run[-1] - run[0] if len(run) else -1)
+                if not len(free) or free[-1] - free[0] + k < VERBATIM:
+                    return None
+            at = free
+        inside = at[:, None] + np.arange(k)
+        return len(at), bool((self.value[inside] == value[inside + diag]).all())
+
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, bool]]:
         """(text, item id, matched windows, windows of the item, verbatim) of every consistent alignment's best."""
         t = Template(texts)
@@ -164,13 +188,8 @@ class Index:
             i = item[a]
             if z - a < min(PASSAGE - WINDOW + 1, self.windows[i]):
                 continue
-            k = min(WINDOW, int(self.ptr[i + 1] - self.ptr[i]))
-            words = np.unique((iat[a:z, None] + np.arange(k)).ravel())
-            words = words[self.slot[words]]
-            theirs, ours = self.value[words], t.value[words + diag[a]]
-            pairs = len(set(zip(theirs.tolist(), ours.tolist(), strict=True)))
-            if pairs == len(set(theirs.tolist())) == len(set(ours.tolist())):
-                found = (int(z - a), bool((theirs == ours).all()))
+            found = self.consistent(i, np.unique(iat[a:z]), t.value, int(diag[a]))
+            if found:
                 key = (int(doc[a]), int(i))
                 best[key] = max(best.get(key, (0, False)), found)
         return [(d, int(self.ids[i]), n, int(self.windows[i]), same) for (d, i), (n, same) in best.items()]

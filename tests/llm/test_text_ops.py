@@ -147,6 +147,18 @@ def test_decontamination_wants_consistent_slots():
     assert not index.matches(pa.array([text.replace("5", "8", 1)]))
 
 
+def test_decontamination_survives_a_clash():
+    near = "The farmer has 3 apples and 5 pears in the old basket near the wooden gate of the garden today"
+    assert decontam.Index([1], [near]).matches(pa.array([near.replace("5", "3")]))  # two values become equal
+    rest = "and the baker counts all loaves of bread that lie on the long table by the door before the guests come in to eat"
+    twice = f"Take 5 apples and 5 pears then walk home slowly with the basket {rest}"
+    for text in (twice, f"{twice} then 5 more cakes"):
+        index = decontam.Index([1], [text])
+        assert index.matches(pa.array([text.replace("5", "8", 1)]))
+    names = "Then we saw 5 men come over 5 hills to find 5 stones under 5 trees where 5 birds sing for 5 hours about 5 kings who own 5 crowns and wear 5 coats in the town"
+    assert decontam.Index([1], [names]).matches(pa.array([names.replace("5", "8", 1)]))  # a long verbatim stretch
+
+
 def test_scan_agrees_with_a_pattern():
     texts = [t for t in ODD] + [" a\x85b"]
     scan = Scan(pa.array(texts, pa.string()))
