@@ -1,7 +1,9 @@
 """Benchmark decontamination by templates.
 
 Words are lower-cased; numbers, units after numbers and names (capitalised words inside a sentence) become typed
-placeholders.  Windows of 8 template words are looked up among those of the benchmark by hash.  Matches of one document
+placeholders.  A capitalised word that opens a sentence has two forms, literal and name.  Windows of 8 template words are
+looked up among those of the benchmark by hash, on three levels: with opening words literal, in either form, and with all words
+literal, so that what stands verbatim is found in any context and however many numbers it has.  Matches of one document
 and item on one diagonal form an alignment; it counts if it has as many windows as a passage of 13 words (all, for a
 shorter item), and if its slots are consistent: equal benchmark values stand for equal document values.  Where one clashes,
 only the windows without a slot of that value count; a verbatim stretch of VERBATIM words counts whatever clashes elsewhere.
@@ -11,8 +13,8 @@ The benchmark is read in blocks of at most BLOCK_CHARS characters, each broadcas
 there is no limit on its size.
 
 Defined results: null and empty texts match nothing; items under 5 template words are not searched for; items of 5 to 7
-words are one window of their own length; windows with fewer literals than placeholders are passed over; repeated rows give
-repeated results.
+words are one window of their own length; template windows with fewer literals than placeholders (with opening words as names:
+with less than a third literal) are passed over, literal windows are not; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -83,25 +85,44 @@ class Template(Scan):
         gap[1:] = stops[self.starts[1:]] > stops[self.ends[:-1]]
         cap = _upper(self.raw)
         after = np.minimum(self.starts + 1 + (self.raw[self.starts] == 0xC3), self.ends - 1) if n else self.starts
-        name = cap[self.starts] & (self.ends - self.starts > 1) & ~cap[after] & ~number & ~first & ~gap if n else number
+        capital = cap[self.starts] & (self.ends - self.starts > 1) & ~cap[after] & ~number if n else number
+        name = capital & ~first & ~gap
         unit = np.zeros(n, dtype=bool)
         if n > 1:
             unit[1:] = number[:-1] & (self.starts[1:] - self.ends[:-1] <= 1) & ~first[1:] & np.isin(self.value[1:], unit_hashes())
         self.slot = number | name | unit
         self.form = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.value)))
+        self.opening = capital & ~self.slot
+        self.loose = self.slot | self.opening
+
+    def opened(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        """(form, slot) with opening words as names: the odd ones if which has bit 1, the even ones if it has bit 2."""
+        odd = np.cumsum(self.opening) & 1 == 1
+        names = self.opening & np.where(odd, bool(which & 1), bool(which & 2))
+        return np.where(names, _NAME, self.form), self.slot | names
 
     def template_windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of the windows of k words of which at least half are literal."""
-        n = len(self.form) - k + 1
+        return self.windows(k, self.form, self.slot, -(-k // 2))
+
+    def opened_windows(self, k: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.windows(k, *self.opened(which), -(-k // (3 if k == WINDOW else 2)))
+
+    def literal_windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.windows(k, self.value, np.zeros(len(self.value), dtype=bool), 0)
+
+    def windows(self, k: int, form: np.ndarray, slot: np.ndarray, literals: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the windows of k words of which so many are literal."""
+        n = len(form) - k + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         h = np.full(n, k, dtype=np.uint64)
         for j in range(k):
             h *= _U(0xD6E8FEB86659FD93)
-            h += self.form[j : j + n]
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
+            h += form[j : j + n]
+        slots = np.concatenate([[0], np.cumsum(slot)])
         end = np.repeat(self.ptr[1:], np.diff(self.ptr))
-        at = np.flatnonzero((np.arange(n) + k <= end[:n]) & (2 * (slots[k:] - slots[:-k]) <= k))
+        at = np.flatnonzero((np.arange(n) + k <= end[:n]) & (slots[k:] - slots[:-k] <= k - literals))
         return at, mix(h[at])
 
 
@@ -115,44 +136,70 @@ def unit_hashes() -> np.ndarray:
     return _UNIT_HASHES
 
 
+class Table:
+    """Windows of a block of benchmark items by hash."""
+
+    def __init__(self, h: np.ndarray, at: np.ndarray, own: np.ndarray, n_items: int):
+        order = np.lexsort((at, h))
+        h, at, own = h[order], at[order], own[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (np.diff(at) != 0) | (h[1:] != h[:-1])
+        self.hash, self.at, self.item = h[new], at[new], own[new]
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[(self.hash >> _U(44)).astype(np.int64)] = True
+        starts = np.unique(np.stack([own, at], axis=1), axis=0)[:, 0] if len(own) else own
+        self.windows = np.bincount(starts, minlength=n_items)
+
+    def find(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the document, entry) of every window that is in the table."""
+        likely = np.flatnonzero(self.maybe[(h >> _U(44)).astype(np.int64)])
+        at, h = at[likely], h[likely]
+        lo, hi = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, side="right")
+        count = hi - lo
+        return np.repeat(at, count), np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
 class Index:
-    """Template windows of a block of benchmark items."""
+    """The three tables of windows of a block of benchmark items."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids = np.array(ids, dtype=np.int64)
         t = Template(pa.array(texts, pa.string()))
-        self.ptr, self.value, self.slot = t.ptr, t.value, t.slot
+        self.ptr, self.value = t.ptr, t.value
+        self.slots = t.slot, t.loose, t.loose
         size = np.diff(t.ptr)
         self.lengths = sorted({WINDOW, *(int(k) for k in size[(size >= SHORTEST) & (size < WINDOW)])})
-        hashes, words, owners = [], [], []
-        for k in self.lengths:
-            at, h = t.template_windows(k)
-            own = np.searchsorted(t.ptr, at, side="right") - 1
-            ok = (size[own] == k) if k < WINDOW else np.ones(len(at), dtype=bool)
-            hashes.append(h[ok])
-            words.append(at[ok])
-            owners.append(own[ok])
-        h, at, own = (np.concatenate(x) for x in (hashes, words, owners))
-        order = np.argsort(h, kind="stable")
-        self.hash, self.at, self.item = h[order], at[order], own[order]
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(h >> _U(44)).astype(np.int64)] = True
-        self.windows = np.bincount(own, minlength=len(ids))
-
-    def consistent(self, i: int, at: np.ndarray, value: np.ndarray, diag: int) -> tuple[int, bool] | None:
+        kinds = [[t.template_windows], [t.template_windows, *(lambda k, w=w: t.opened_windows(k, w) for w in (1, 2, 3))], [t.literal_windows]]
+        self.tables = []
+        for kind in kinds:
+            hashes, words, owners = [], [], []
+            for k in self.lengths:
+                for windows in kind:
+                    at, h = windows(k)
+                    own = np.searchsorted(t.ptr, at, side="right") - 1
+                    ok = (size[own] == k) if k < WINDOW else np.ones(len(at), dtype=bool)
+                    hashes.append(h[ok])
+                    words.append(at[ok])
+                    owners.append(own[ok])
+            self.tables.append(Table(*(np.concatenate(x) for x in (hashes, words, owners)), len(ids)))
+
+    def consistent(self, level: int, i: int, at: np.ndarray, value: np.ndarray, diag: int) -> tuple[int, bool] | None:
         """(windows, verbatim) of the part of an alignment that has no clash, if it is large enough; at is where the windows begin."""
         k = min(WINDOW, int(self.ptr[i + 1] - self.ptr[i]))
         inside = at[:, None] + np.arange(k)
         words = np.unique(inside)
-        slots = words[self.slot[words]]
+        slot, least = self.slots[level], min(PASSAGE - WINDOW + 1, self.tables[level].windows[i])
+        if len(at) < least:
+            return None
+        slots = words[slot[words]]
         pairs = {}
         for theirs, ours in zip(self.value[slots].tolist(), value[slots + diag].tolist(), strict=True):
             pairs.setdefault(theirs, set()).add(ours)
         clashing = np.array([v for v, ours in pairs.items() if len(ours) > 1], dtype=np.uint64)
         if len(clashing):
-            bad = self.slot[inside] & np.isin(self.value[inside], clashing)
+            bad = slot[inside] & np.isin(self.value[inside], clashing)
             free = at[~bad.any(axis=1)]
-            if len(free) < min(PASSAGE - WINDOW + 1, self.windows[i]):
+            if len(free) < least:
                 same = at[(self.value[inside] == value[inside + diag]).all(axis=1)]
                 runs = np.split(same, np.flatnonzero(np.diff(same) > WINDOW) + 1)
                 free = max(runs, key=lambda run: run[-1] - run[0] if len(run) else -1)
@@ -165,34 +212,31 @@ class Index:
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, bool]]:
         """(text, item id, matched windows, windows of the item, verbatim) of every consistent alignment's best."""
         t = Template(texts)
-        pos, ref = [], []
-        for k in self.lengths:
-            at, h = t.template_windows(k)
-            likely = np.flatnonzero(self.maybe[(h >> _U(44)).astype(np.int64)])
-            at, h = at[likely], h[likely]
-            lo, hi = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, side="right")
-            count = hi - lo
-            pos.append(np.repeat(at, count))
-            ref.append(np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-        pos, ref = np.concatenate(pos), np.concatenate(ref)
-        if not len(pos):
-            return []
-        doc = np.searchsorted(t.ptr, pos, side="right") - 1
-        item, iat = self.item[ref], self.at[ref]
-        order = np.lexsort((iat, pos - iat, item, doc))
-        doc, item, iat, pos = doc[order], item[order], iat[order], pos[order]
-        diag = pos - iat
-        cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diag) != 0)) + 1
         best: dict[tuple[int, int], tuple[int, bool]] = {}
-        for a, z in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]]), strict=True):
-            i = item[a]
-            if z - a < min(PASSAGE - WINDOW + 1, self.windows[i]):
+        hits = [[], [], [], []]
+        for level, table in enumerate(self.tables):
+            for k in self.lengths:
+                lookups = [t.template_windows(k)] if level == 0 else [t.template_windows(k), t.opened_windows(k, 3)] if level == 1 else [t.literal_windows(k)]
+                for at, h in lookups:
+                    pos, entry = table.find(at, h)
+                    for x, more in zip(hits, (np.searchsorted(t.ptr, pos, side="right") - 1, table.item[entry], table.at[entry], pos), strict=True):
+                        x.append(more)
+            doc, item, iat, pos = (np.concatenate(x) for x in hits)
+            if not len(pos):
                 continue
-            found = self.consistent(i, np.unique(iat[a:z]), t.value, int(diag[a]))
-            if found:
-                key = (int(doc[a]), int(i))
-                best[key] = max(best.get(key, (0, False)), found)
-        return [(d, int(self.ids[i]), n, int(self.windows[i]), same) for (d, i), (n, same) in best.items()]
+            order = np.lexsort((iat, pos - iat, item, doc))
+            doc, item, iat, pos = doc[order], item[order], iat[order], pos[order]
+            diag = pos - iat
+            cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diag) != 0)) + 1
+            for a, z in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]]), strict=True):
+                i = item[a]
+                if z - a < min(PASSAGE - WINDOW + 1, table.windows[i]):
+                    continue
+                found = self.consistent(level, i, np.unique(iat[a:z]), t.value, int(diag[a]))
+                if found:
+                    key = (int(doc[a]), int(i))
+                    best[key] = max(best.get(key, (0, False)), found)
+        return [(d, int(self.ids[i]), n, int(self.tables[-1].windows[i]), same) for (d, i), (n, same) in best.items()]
 
 
 SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, verbatim boolean"

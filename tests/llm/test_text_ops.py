@@ -147,6 +147,18 @@ def test_decontamination_wants_consistent_slots():
     assert not index.matches(pa.array([text.replace("5", "8", 1)]))
 
 
+def test_decontamination_at_sentence_starts():
+    names = "Tom has 3 apples. Tom gives 2 to Ann. How many are left now?"
+    assert decontam.Index([1], [names]).matches(pa.array([names.replace("Tom", "Bob").replace("3", "5").replace("2", "1")]))
+    found = lambda item, text: [m[4] for m in decontam.Index([1], [item]).matches(pa.array([text]))]
+    item = "Water boils at a lower temperature on high mountains"
+    assert found(item, f"and as we know, {item} because of pressure") == [True]
+    assert found(item, f"and as we know {item.lower()} because of pressure") == [True]
+    heavy = "Add 1 2 3 4 5 6 7 to 8 9 10 11 12 13"
+    assert found(heavy, f"so {heavy} and stop") == [True]
+    assert not found(heavy, "so add 1 2 3 4 6 5 7 to 9 8 10 11 13 12 and stop")
+
+
 def test_decontamination_survives_a_clash():
     near = "The farmer has 3 apples and 5 pears in the old basket near the wooden gate of the garden today"
     assert decontam.Index([1], [near]).matches(pa.array([near.replace("5", "3")]))  # two values become equal
