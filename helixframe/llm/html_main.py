@@ -2,10 +2,11 @@
 
 The standard library's parser streams a page into blocks (runs of text between block-level tags).  Blocks inside
 navigation, headers, footers, asides, forms, scripts, styles, notices, adverts and comment sections are set aside by their
-tags and by whole words of class, id and role.  Each remaining block has a text-to-tag ratio; the ratios are smoothed with
+tags and by class, id and role: a whole token that is a mark, or a compound that names such a part
+(ad-box, cookie-notice, site-header), but not a wrapper that only mentions one (no-sidebar, has-header, with-comments).  Each remaining block has a text-to-tag ratio; the ratios are smoothed with
 a Gaussian and split at a threshold, and the clusters above it vote, with their text, for a container.  If an article or
-main element holds most of that text, all its blocks are the content; otherwise the content is what lies between the
-first and the last block of the clusters, and headings right before.
+main element holds most of that text, all blocks of these elements are the content; otherwise the body is the container, and all
+blocks are.  So nothing goes from the container but what is set aside.
 
 Defined results: a null or empty page, or one without text outside of what is set aside, gives an empty text; unclosed
 and stray tags never fail; repeated rows give repeated results.
@@ -29,12 +30,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Whole words of class, id or role that mark what is not content.
+#: Whole tokens of class, id or role that mark what is not content.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist disqus discussion replies cookie cookies consent gdpr notice notices alert popup modal overlay "
     "footer sitefooter header siteheader masthead topbar menu menus nav navbar navigation navigate sidebar sidebars sidenav aside widget widgets related recommended recommendations promo promos promotion promoted sponsor sponsored sponsors share sharing social "
     "newsletter subscribe subscription signup login search toolbar pagination pager copyright legal disclaimer skip tags tagcloud contentinfo complementary".split()
 )
+#: Marks that also stand in names of wrappers: in a compound they count only beside one of PLACES (before) or PIECES (after).
+LAYOUT = frozenset("header sidebar sidebars aside footer nav navigation menu menus banner banners notice notices search skip legal disclaimer copyright overlay toolbar".split())
+PLACES = frozenset("site page main top bottom left right global primary secondary mobile sub nav cookie cookies".split())
+PIECES = frozenset("inner wrap wrapper container area bar box links list menu nav item items widget widgets top bottom link text".split())
+#: Parts of a compound that say a page has or lacks something.
+SAYS = frozenset("no not non has have with without is hide hidden show open enable enabled disable disabled".split())
 #: Elements whose marks are ignored: a page or an article is never set aside as a whole.
 WHOLE = frozenset(("html", "body", "article", "main"))
 #: Elements that an opening tag of the same kind closes.
@@ -43,6 +50,18 @@ SPACES = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
 
 
+def names_mark(token: str) -> bool:
+    parts = WORDS.findall(token)
+    if len(parts) < 2:
+        return bool(parts) and parts[0] in MARKS
+    if not SAYS.isdisjoint(parts):
+        return False
+    first, last = parts[0], parts[-1]
+    if first in MARKS and (first not in LAYOUT or parts[1] in PIECES):
+        return True
+    return last in MARKS and (last not in LAYOUT or first in PLACES)
+
+
 def marked(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -50,7 +69,7 @@ def marked(attrs: list[tuple[str, str | None]]) -> bool:
         if value and name in ("class", "id", "role"):
             low = value.lower()
             for token in low.split():
-                if token in MARKS or not MARKS.isdisjoint(WORDS.findall(token)):
+                if token in MARKS or names_mark(token):
                     return True
         elif value and name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
@@ -159,15 +178,10 @@ def content(blocks: list[tuple[str, int, int, bool]], sigma: float = 1.0) -> lis
     votes: dict[int, float] = {}
     for k in np.flatnonzero(high):
         votes[blocks[k][2]] = votes.get(blocks[k][2], 0.0) + size[k]
-    best = max(sorted(votes), key=lambda c: votes[c])
     inside = sum(v for c, v in votes.items() if c)
     if inside >= 0.5 * sum(votes.values()):
         return [b[0] for b in blocks if b[2]]
-    own = np.flatnonzero(high & np.array([b[2] == best for b in blocks]))
-    first, last = own[0], own[-1]
-    while first and blocks[first - 1][3]:
-        first -= 1
-    return [b[0] for b in blocks[first : last + 1]]
+    return [b[0] for b in blocks]
 
 
 def extract(html: str | None) -> str:

@@ -74,6 +74,16 @@ def test_html(spark):
     assert {r.page_id: r.n_chars for r in html_main.main_text(pages).collect()} == {1: len(html_main.extract(PAGE)), 2: 0}
 
 
+def test_html_drops_nothing_else():
+    long = "<p>" + "long text " * 40 + "</p>"
+    page = f"<body><div class=menu>a</div><p>Short start.</p>{long * 4}<p>The end.</p><div class=footer>f</div>"
+    lines = html_main.extract(page).split("\n")
+    assert lines[0] == "Short start." and lines[-1] == "The end." and len(lines) == 6
+    for wrapper in ("content no-sidebar", "has-header", "with-comments"):
+        assert len(html_main.extract(f"<div class='{wrapper}'>{long * 2}</div>").split("\n")) == 2
+    assert all(html_main.marked([("class", c)]) for c in ("ad", "ad1", "box ad-box", "cookie-notice", "site-header", "footer-links", "post-comments"))
+
+
 def held_out(text, m):
     return zlib.crc32(str(text).encode()) % m
 
