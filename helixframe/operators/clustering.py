@@ -79,10 +79,17 @@ def layers_at(points: DataFrame, epsilons: list[float], minpts: int, metric: str
     return out
 
 
-def adaptive_dbscan(points: DataFrame, eps: float, step: float, minpts: int, metric: str = "l2", max_steps: int = 100, halvings: int = 20) -> tuple[DataFrame, DataFrame]:
+def least_core(pairs: DataFrame, minpts: int) -> float | None:
+    """The least epsilon at which a point is strong, if these pairs reach it."""
+    nth = F.row_number().over(Window.partitionBy("i").orderBy("dist"))
+    return pairs.select("dist", nth.alias("nth")).where(F.col("nth") == minpts + 1).agg(F.min("dist")).first()[0]
+
+
+def adaptive_dbscan(points: DataFrame, eps: float, step: float, minpts: int, metric: str = "l2", max_steps: int | None = None, halvings: int = 20) -> tuple[DataFrame, DataFrame]:
     """(membership, layers): density clustering with a growing epsilon until one cluster is left.
 
-    If the first scan has one cluster, epsilon is halved up to 20 times.  A layer is kept if it has fewer clusters than the last
+    If the first scan has one cluster, epsilon is halved up to 20 times.  The scan ends with one cluster, or when epsilon has
+    reached the largest distance, or after max_steps if given.  Steps before the first strong point are passed over.  A layer is kept if it has fewer clusters than the last
     kept one.  Every finished layer is in the shared folder at once.  Pairs are found for a reach that doubles when it is passed.
     """
     n = points.count()
@@ -98,7 +105,8 @@ def adaptive_dbscan(points: DataFrame, eps: float, step: float, minpts: int, met
         eps, halvings = eps / 2, halvings - 1
         found, clusters = scan(pairs, eps)
     rows, membership, last, first = [], None, None, eps
-    for k in range(max_steps):
+    k = 0
+    while max_steps is None or k < max_steps:
         if k:
             eps = first + k * step
             if eps > reach:
@@ -110,8 +118,20 @@ def adaptive_dbscan(points: DataFrame, eps: float, step: float, minpts: int, met
             own = found.select(F.lit(len(rows)).alias("layer"), "cluster", "seq_id")
             membership = own if membership is None else membership.unionByName(own)
             rows.append((len(rows), float(eps), float(first + (k + 1) * step), clusters, found.count() / n))
-        if clusters == 1:
+        if clusters == 1 or pairs.where(F.col("dist") <= eps).count() == n * n:
             break
+        k += 1
+        while not clusters and (max_steps is None or k < max_steps):
+            core = least_core(pairs, minpts)
+            if core is not None:
+                k = max(k, int((core - first) / step))
+                break
+            if pairs.count() == n * n:
+                k = max(k, int((pairs.agg(F.max("dist")).first()[0] - first) / step))
+                break
+            k = max(k, int((reach - first) / step))
+            reach *= 2
+            pairs = saved(pairs_within(points, reach, metric))
     spark = points.sparkSession
     table = spark.createDataFrame(rows, "layer int, epsilon double, epsilon_printed double, n_clusters int, coverage double")
     return membership if membership is not None else spark.createDataFrame([], "layer int, cluster int, seq_id long"), table

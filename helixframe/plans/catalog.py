@@ -465,7 +465,7 @@ def newick(spark, d):
 
 @query()
 def adaptive_layers(spark, d):
-    return C.adaptive_dbscan(points(spark, d), 1.13, 0.01, MINPTS, max_steps=6)[1]
+    return C.adaptive_dbscan(points(spark, d), 1.13, 0.01, MINPTS)[1]
 
 
 @query("SELECT label AS cluster, vec_id AS seq_id FROM embeddings")

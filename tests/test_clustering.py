@@ -96,3 +96,13 @@ def test_evolution():
     assert len(rows) == 12 and all(len(r) == 40 for r in rows) and rows == evolve(1, "ACGT" * 10, 12, 4, 3, 2, 5)
     with pytest.raises(ValueError):
         evolve(1, "ACGT", 10, 4, 3, 2, 5)
+
+
+def test_adaptive_layers_runs_until_one_cluster(spark, tmp_path):
+    """One cluster at 1.13, none at half of it and up to 0.7: the scan has to go on."""
+    from helixframe.plans import catalog
+
+    rows = [(5 * x + y, [0.7 * x, 0.7 * y], 0) for x in range(5) for y in range(5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["adaptive_layers"](spark, str(tmp_path)).collect()
+    assert [(r.n_clusters, r.coverage) for r in got] == [(1, 1.0)] and abs(got[0].epsilon - 0.705) < 1e-9
