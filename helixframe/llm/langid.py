@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textscan import slices
-from .training import MAX_TRAIN_CHARS, crc_remainder
+from .training import crc_remainder, with_room
 
 BITS = 15
 MAX_TRAIN_ROWS = 4000
@@ -142,11 +142,10 @@ def fit(sample: list[tuple[str, str]], epochs: int = 4, batch: int = 32, alpha:
 
 def training_sample(docs: DataFrame, max_rows: int) -> list[tuple[str, str]]:
     """At most max_rows (text, lang) whose crc32(doc_id) mod 3 is not 1: the smallest hashes of doc_id."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", 3) != 1))
-    rows = rows.where(F.length("text") <= MAX_TRAIN_CHARS)
-    drawn = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # ids first: only they are sorted
-    got = rows.join(F.broadcast(drawn.distinct().withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "lang").collect()
-    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"], r["lang"]))][:max_rows]
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.col("lang").cast("string").alias("_lang")).where("text is not null and _lang is not null and _id is not null")
+    rows = rows.where(crc_remainder("_id", 3) != 1)
+    drawn = rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # ids first: only they are sorted
+    return with_room(rows.join(F.broadcast(drawn.distinct()), "_id"), "_lang", max_rows)
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"

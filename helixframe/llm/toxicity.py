@@ -1,10 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word is a run of letters, lower-cased.  Its input joins a hashed word embedding, the mean of hashed character trigram
-embeddings, and what the training labels say of the word and of its 5-grams (so that new forms of a known stem are seen).  Windows of 16 words that overlap by half pass through a gated recurrent layer in both directions;
-attention pools the states into one logit.  A document's logit is that of its worst window, so every word of every text
-is read in two contexts.  Training alternates between choosing the worst window of each toxic document and Adam steps
-over these and windows of other documents; scores are calibrated on held-out rows by Platt's method.
+A word is a run of letters, lower-cased.  Its input joins a hashed embedding of the word and the mean of the hashed embeddings
+of its character 3- and 5-grams, with marks where it begins and ends; all are learned by gradient descent.  A gated recurrent
+layer reads the words in both directions, in stretches of CHUNK words that overlap, so that every word has MARGIN words of
+context on either side.  Attention pools the states of every window of WINDOW consecutive words, one at each word of the text,
+into a logit; prefix sums of the attention weights make each of these overlapping windows one difference.  A document's logit
+is that of its worst window.
+
+Training takes three rounds of Adam steps over stretches: first of all toxic documents with attention over the
+whole stretch, then of the stretch with the worst window of each toxic document against the worst and random ones of others,
+attention over the worst window.  Scores are calibrated on rows that were not learned from by Platt's method.
 
 Defined results: a null text, or one without a letter, scores 0; repeated rows are scored alike; with no labelled row, or
 one class only, every text scores 0.
@@ -25,8 +30,10 @@ from .textscan import Scan, mix, slices
 from .training import crc_remainder, labelled_sample
 
 MAX_TRAIN_ROWS = 4000
-WINDOW, STRIDE = 16, 8
-WORD_BITS, GRAM_BITS, STEM_BITS, EMBED, HIDDEN = 18, 13, 18, 5, 8
+WINDOW, CHUNK, MARGIN = 16, 64, 8
+WORD_BITS, GRAM_BITS, GRAMS, EMBED, HIDDEN = 17, 16, (3, 5), 8, 16
+#: Characters scanned at once in training.
+BLOCK = 1 << 20
 _U = np.uint64
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -40,9 +47,21 @@ def words_of(texts: pa.Array) -> Scan:
     return Scan(texts, _LETTER, _FOLD)
 
 
-def distinct_words(scan: Scan) -> tuple["Words", np.ndarray]:
-    """The distinct words of a scan, and which of them each word of the scan is."""
-    _, first, inverse = np.unique(scan.words, return_index=True, return_inverse=True)
+class Words(NamedTuple):
+    """Buckets of words and of their grams, with the first gram of every word."""
+
+    bucket: np.ndarray
+    gram: np.ndarray
+    ptr: np.ndarray
+
+    def take(self, used: np.ndarray) -> "Words":
+        own = np.concatenate([[0], np.cumsum(np.diff(self.ptr)[used])])
+        return Words(self.bucket[used], self.gram[np.repeat(self.ptr[used] - own[:-1], np.diff(own)) + np.arange(own[-1])], own)
+
+
+def distinct_words(scan: Scan) -> tuple[np.ndarray, Words, np.ndarray]:
+    """(hashes of the distinct words of a scan, their buckets and grams, which of them each word of the scan is)."""
+    key, first, inverse = np.unique(scan.words, return_index=True, return_inverse=True)
     a, z = scan.starts[first], scan.ends[first]
     size = z - a + 2  # a mark before and one after
     total = np.concatenate([[0], np.cumsum(size)])
@@ -50,53 +69,82 @@ def distinct_words(scan: Scan) -> tuple["Words", np.ndarray]:
     left = np.repeat(size, size) - place
     inner = (place > 0) & (left > 1)
     b = np.where(inner, scan.buf[np.where(inner, np.repeat(a, size) + place - 1, 0)] if len(scan.buf) else 0, 1).astype(np.uint64)
-    grams = []
-    for n, bits in ((3, GRAM_BITS), (5, STEM_BITS)):
+    count = sum(np.maximum(0, size - n + 1) for n in GRAMS)
+    ptr = np.concatenate([[0], np.cumsum(count)])
+    gram = np.empty(ptr[-1], dtype=np.int32)
+    before = ptr[:-1].copy()
+    for n in GRAMS:
         g = b.copy()
         for j in range(1, n):
             g[: len(g) - j] |= b[j:] << _U(8 * j)
-        g = (mix(g) >> _U(64 - bits)).astype(np.int64)
-        grams += [g[left >= n], np.concatenate([[0], np.cumsum(np.maximum(0, size - n + 1))])]
-    return Words((scan.words[first] >> _U(64 - WORD_BITS)).astype(np.int64), *grams), inverse
-
-
-class Words(NamedTuple):
-    """Buckets of words, of their trigrams and of their 5-grams, each with the first gram of every word."""
-
-    bucket: np.ndarray
-    gram: np.ndarray
-    gram_ptr: np.ndarray
-    stem: np.ndarray
-    stem_ptr: np.ndarray
-
-    def take(self, used: np.ndarray) -> "Words":
-        out = [self.bucket[used]]
-        for g, ptr in ((self.gram, self.gram_ptr), (self.stem, self.stem_ptr)):
-            own = np.concatenate([[0], np.cumsum(np.diff(ptr)[used])])
-            out += [g[np.repeat(ptr[used] - own[:-1], np.diff(own)) + np.arange(own[-1])], own]
-        return Words(*out)
-
-
-def evidence(toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """How far the toxic count exceeds what chance gives: the smaller of a normal score and a shrunken log ratio."""
-    expected = seen * (toxic.sum() / max(1, seen.sum()))
-    return np.clip(np.minimum((toxic - expected) / np.sqrt(expected + 1), 3 * np.log((toxic + 1) / (expected + 1))), -1, 6).astype(np.float32)
-
-
-def window_starts(ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, text) of all windows: one each STRIDE words, until a window reaches the end of the text."""
-    n = np.diff(ptr)
-    count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
+        ok = left >= n
+        gram[np.repeat(before, size)[ok] + place[ok]] = (mix(g[ok] + _U(n)) >> _U(64 - GRAM_BITS)).astype(np.int32)
+        before += np.maximum(0, size - n + 1)
+    return key, Words((key >> _U(64 - WORD_BITS)).astype(np.int32), gram, ptr), inverse.astype(np.int32)
+
+
+def read(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """(distinct words, which of them stands at each place, first place of each text), scanned in blocks of BLOCK characters."""
+    keys, blocks, index, sizes, lo = [], [], [], [], 0
+    while lo < len(texts):
+        hi, n = lo, 0
+        while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= BLOCK):
+            n += len(texts[hi])
+            hi += 1
+        scan = words_of(pa.array(texts[lo:hi], pa.string()))
+        key, words, at = distinct_words(scan)
+        index.append(at + sum(map(len, keys)))
+        keys.append(key)
+        blocks.append(words)
+        sizes.append(np.diff(scan.ptr))
+        lo = hi
+    if not keys:
+        return Words(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    shift = np.cumsum([0, *(len(w.gram) for w in blocks)])
+    every = Words(np.concatenate([w.bucket for w in blocks]), np.concatenate([w.gram for w in blocks]), np.concatenate([[0], *(w.ptr[1:] + s for w, s in zip(blocks, shift, strict=False))]))
+    _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return every.take(first), inverse[np.concatenate(index)], np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+class Chunks(NamedTuple):
+    """Stretches of texts: first place, length, and the places lo..hi whose states are taken from them."""
+
+    first: np.ndarray
+    size: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    doc: np.ndarray
+
+
+def chunks_of(ptr: np.ndarray) -> Chunks:
+    n, step = np.diff(ptr), CHUNK - 2 * MARGIN
+    count = np.where(n > 0, 1 + np.maximum(0, -(-(n - CHUNK) // step)), 0)
     doc = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    return ptr[doc] + k * STRIDE, doc
+    first = ptr[doc] + k * step
+    size = np.minimum(CHUNK, ptr[doc + 1] - first)
+    return Chunks(first, size, np.where(k == 0, first, first + MARGIN), np.where(k == count[doc] - 1, first + size, first + CHUNK - MARGIN), doc)
+
+
+def window_logits(e: np.ndarray, y: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, logit) of every window of WINDOW places of a text; of the whole text, if it is shorter."""
+    weight = np.exp(np.clip(e.astype(np.float64), -20, 20))
+    total = np.zeros((2, len(e) + 1))
+    np.cumsum(weight, out=total[0, 1:])
+    np.cumsum(weight * y, out=total[1, 1:])
+    end = np.repeat(ptr[1:], np.diff(ptr))
+    begin = np.repeat(ptr[:-1], np.diff(ptr))
+    at = np.arange(len(e))
+    at = at[(at + WINDOW <= end) | (at == begin)]
+    stop = np.minimum(at + WINDOW, end[at])
+    return at, (total[1, stop] - total[1, at]) / (total[0, stop] - total[0, at])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def run_gru(x: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list | None = None) -> np.ndarray:
+def run_gru(x: np.ndarray, mask: np.ndarray | None, u: np.ndarray, keep: list | None = None) -> np.ndarray:
     """States (T, B, H) for projected inputs (T, B, 3H); a masked step keeps the state."""
     steps, n, _ = x.shape
     hid = u.shape[0]
@@ -108,10 +156,10 @@ def run_gru(x: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list | None =
         r, z = rz[:, :hid], rz[:, hid:]
         c = np.tanh(x[t, :, 2 * hid :] + r * hu[:, 2 * hid :])
         new = c + z * (h - c)
-        m = mask[t][:, None]
+        m = None if mask is None else mask[t][:, None]
         if keep is not None:
             keep.append((h, r, z, c, hu[:, 2 * hid :], m))
-        h = np.where(m, new, h)
+        h = new if m is None else np.where(m, new, h)
         out[t] = h
     return out
 
@@ -139,53 +187,58 @@ class ToxicityModel:
 
     def __init__(self, seed: int = 5):
         draw = np.random.default_rng(seed)
-        d, h = 2 * EMBED + 2, HIDDEN
+        d, h = 2 * EMBED, HIDDEN
         shape = {"word": (1 << WORD_BITS, EMBED), "gram": (1 << GRAM_BITS, EMBED), "wf": (d, 3 * h), "wb": (d, 3 * h), "bf": (3 * h,), "bb": (3 * h,), "uf": (h, 3 * h), "ub": (h, 3 * h), "att": (2 * h, h), "v": (h,), "out": (2 * h,), "o": (1,)}
         size = {"word": 0.05, "gram": 0.05, "bf": 0, "bb": 0, "o": 0}
         self.p = {k: (draw.standard_normal(s) * size.get(k, 0.35)).astype(np.float32) for k, s in shape.items()}
-        self.word_evidence = np.zeros(1 << WORD_BITS, dtype=np.float32)
-        self.stem_evidence = np.zeros(1 << STEM_BITS, dtype=np.float32)
         self.scale, self.shift, self.trained = 1.0, 0.0, False
 
     def inputs(self, words: Words) -> np.ndarray:
-        """Word embedding, mean trigram embedding, evidence of the word and the strongest evidence of its 5-grams."""
-        total = np.zeros((len(words.gram) + 1, EMBED))
-        np.cumsum(self.p["gram"][words.gram], axis=0, out=total[1:])
-        ptr = words.gram_ptr
-        mean = (total[ptr[1:]] - total[ptr[:-1]]) / np.maximum(1, np.diff(ptr))[:, None]
-        strongest = np.full(len(words.bucket), -1, dtype=np.float32)
-        has = np.flatnonzero(np.diff(words.stem_ptr))
+        """Word embedding and mean gram embedding of every word."""
+        size = np.diff(words.ptr)
+        mean = np.zeros((len(size), EMBED), dtype=np.float32)
+        has = np.flatnonzero(size)
         if len(has):
-            strongest[has] = np.maximum.reduceat(self.stem_evidence[words.stem], words.stem_ptr[has])
-        return np.concatenate([self.p["word"][words.bucket], mean.astype(np.float32), self.word_evidence[words.bucket][:, None], strongest[:, None]], axis=1)
-
-    def pool(self, hs: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a = np.tanh(hs @ self.p["att"])
-        e = np.where(mask, a @ self.p["v"], -1e9)
-        e = np.exp(e - e.max(axis=0))
-        return a, e / e.sum(axis=0), hs @ self.p["out"]
-
-    def window_logits(self, x: np.ndarray, idx: np.ndarray, mask: np.ndarray, block: int = 4096) -> np.ndarray:
-        """Logits of windows idx (T, B) into word inputs x."""
-        p = self.p
-        xf, xb = x @ p["wf"] + p["bf"], x @ p["wb"] + p["bb"]
-        out = np.empty(idx.shape[1], dtype=np.float32)
-        for lo in range(0, idx.shape[1], block):
-            i, m = idx[:, lo : lo + block], mask[:, lo : lo + block]
-            hs = np.concatenate([run_gru(xf[i], m, p["uf"]), run_gru(xb[i[::-1]], m[::-1], p["ub"])[::-1]], axis=2)
-            _, alpha, y = self.pool(hs, m)
-            out[lo : lo + block] = (alpha * y).sum(axis=0) + p["o"]
-        return out
-
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean logistic loss of windows with inputs x (T, B, D); also with respect to x."""
+            mean[has] = np.add.reduceat(self.p["gram"][words.gram], words.ptr[has], axis=0) / size[has, None]
+        return np.concatenate([self.p["word"][words.bucket], mean], axis=1)
+
+    def projected(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x @ self.p["wf"] + self.p["bf"], x @ self.p["wb"] + self.p["bb"]
+
+    def windows(self, x: tuple[np.ndarray, np.ndarray], index: np.ndarray, ptr: np.ndarray, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """(first place, logit) of every window; x holds the projected inputs of the distinct words."""
+        p, c, (xf, xb) = self.p, chunks_of(ptr), x
+        e, y = np.empty(len(index), dtype=np.float32), np.empty(len(index), dtype=np.float32)
+        order = np.argsort(c.size, kind="stable")
+        for lo in range(0, len(order), batch):
+            own = order[lo : lo + batch]
+            steps = int(c.size[own[-1]])
+            at = c.first[own] + np.arange(steps)[:, None]
+            even = c.size[own[0]] == steps
+            mask = None if even else np.arange(steps)[:, None] < c.size[own]
+            i = index[at if even else np.where(mask, at, c.first[own])]
+            back = None if even else mask[::-1]
+            hs = np.concatenate([run_gru(xf[i], mask, p["uf"]), run_gru(xb[i[::-1]], back, p["ub"])[::-1]], axis=2)
+            take = (at >= c.lo[own]) & (at < c.hi[own])
+            e[at[take]] = (np.tanh(hs @ p["att"]) @ p["v"])[take]
+            y[at[take]] = (hs @ p["out"])[take]
+        first, logits = window_logits(e, y, ptr)
+        return first, logits + p["o"]
+
+    def gradients(self, x: np.ndarray, mask: np.ndarray, pooled: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean logistic loss of stretches with inputs x (T, B, D), attention over the places `pooled`; also with respect
+        to x."""
         p, (steps, n, _) = self.p, x.shape
         kf: list = []
         kb: list = []
         hf = run_gru(x @ p["wf"] + p["bf"], mask, p["uf"], kf)
         hb = run_gru(x[::-1] @ p["wb"] + p["bb"], mask[::-1], p["ub"], kb)[::-1]
         hs = np.concatenate([hf, hb], axis=2)
-        a, alpha, s = self.pool(hs, mask)
+        a = np.tanh(hs @ p["att"])
+        e = np.where(pooled, a @ p["v"], np.float32(-1e9))
+        alpha = np.exp(e - e.max(axis=0))
+        alpha /= alpha.sum(axis=0)
+        s = hs @ p["out"]
         logit = (alpha * s).sum(axis=0) + p["o"]
         d = (sigmoid(logit) - y) / n
         g = {"o": d.sum(keepdims=True)}
@@ -194,25 +247,23 @@ class ToxicityModel:
         de = alpha * d * (s - (alpha * s).sum(axis=0))
         g["v"] = np.einsum("tb,tbh->h", de, a)
         da = de[..., None] * p["v"] * (1 - a * a)
-        g["att"] = np.einsum("tbh,tbk->hk", hs, da)
+        flat = lambda z: z.reshape(steps * n, -1)
+        g["att"] = flat(hs).T @ flat(da)
         dhs = ds[..., None] * p["out"] + da @ p["att"].T
         dxf, g["uf"] = back_gru(kf, dhs[..., :HIDDEN], p["uf"])
         dxb, g["ub"] = back_gru(kb, dhs[::-1, :, HIDDEN:], p["ub"])
         dxb = dxb[::-1]
-        g["wf"], g["wb"] = np.einsum("tbd,tbk->dk", x, dxf), np.einsum("tbd,tbk->dk", x, dxb)
+        g["wf"], g["wb"] = flat(x).T @ flat(dxf), flat(x).T @ flat(dxb)
         g["bf"], g["bb"] = dxf.sum(axis=(0, 1)), dxb.sum(axis=(0, 1))
         return g, dxf @ p["wf"].T + dxb @ p["wb"].T
 
     def doc_logits(self, texts: pa.Array) -> np.ndarray:
         """The worst window's logit of every text; -inf without words."""
         scan = words_of(texts)
-        out = np.full(scan.n_docs, -np.inf)
         if not len(scan.starts):
-            return out
-        words, index = distinct_words(scan)
-        idx, mask, doc = window_index(scan.ptr, index)
-        np.maximum.at(out, doc, self.window_logits(self.inputs(words), idx, mask))
-        return out
+            return np.full(scan.n_docs, -np.inf)
+        _, words, index = distinct_words(scan)
+        return worst(self.windows(self.projected(self.inputs(words)), index, scan.ptr)[1], scan.ptr)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if not self.trained:
@@ -221,69 +272,78 @@ class ToxicityModel:
         return np.where(np.isfinite(z), sigmoid(np.clip(self.scale * np.where(np.isfinite(z), z, 0) + self.shift, -40, 40)), 0.0)
 
 
-def window_index(ptr: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct word at each step, which steps hold a word, text) of all windows; steps first."""
-    first, doc = window_starts(ptr)
-    at = first[None, :] + np.arange(WINDOW)[:, None]
-    mask = at < ptr[doc + 1]
-    return index[np.where(mask, at, first)], mask, doc
+def worst(logits: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """The largest of each text's window logits."""
+    n = np.diff(ptr)
+    count = np.where(n > 0, np.maximum(1, n - WINDOW + 1), 0)
+    out, has = np.full(len(n), -np.inf), np.flatnonzero(count)
+    if len(has):
+        out[has] = np.maximum.reduceat(logits, (np.cumsum(count) - count)[has])
+    return out
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 2, steps: int = 200, batch: int = 96, rate: float = 0.01, table_rate: float = 0.2, decay: float = 1e-4) -> ToxicityModel:
+def worst_windows(model: ToxicityModel, words: Words, index: np.ndarray, ptr: np.ndarray, c: Chunks, texts: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logit of the worst window of every stretch, its first place, logit of every text), by blocks of texts."""
+    top, lo, logit = np.full(len(c.first), -np.inf), c.first.copy(), np.full(len(ptr) - 1, -np.inf)
+    x = model.projected(model.inputs(words))
+    for k in range(0, len(ptr) - 1, texts):
+        own = ptr[k : k + texts + 1]
+        start, z = model.windows(x, index[own[0] : own[-1]], own - own[0])
+        if not len(start):
+            continue
+        logit[k : k + texts] = worst(z, own - own[0])
+        start = start + own[0]
+        home = np.searchsorted(c.first, start, side="right") - 1
+        order = np.lexsort((z, home))
+        last = order[np.append(np.diff(home[order]) != 0, True)]
+        top[home[last]], lo[home[last]] = z[last], start[last]
+    return top, lo, logit
+
+
+def fit(sample: list[tuple[str, int]], rounds: tuple[int, ...] = (220, 160, 120), batch: int = 96, rate: float = 0.01, table_rate: float = 0.6, decay: float = 1e-4) -> ToxicityModel:
     """Train on (text, label); every fifth row only calibrates."""
     model = ToxicityModel()
-    y = np.array([t[1] for t in sample], dtype=np.float32)
-    if len(y) == 0 or y.min() == y.max():
+    label = np.array([t[1] for t in sample], dtype=np.float32)
+    if len(label) == 0 or label.min() == label.max():
         return model
-    scan = words_of(pa.array([t[0] for t in sample], pa.string()))
-    words, index = distinct_words(scan)
-    idx, mask, doc = window_index(scan.ptr, index)
-    held = np.arange(len(y)) % 5 == 4
-    if not (y[~held] == 1).any() or not (y[~held] == 0).any():
+    words, index, ptr = read([t[0] for t in sample])
+    held = np.arange(len(label)) % 5 == 4
+    if not (label[~held] == 1).any() or not (label[~held] == 0).any():
         held[:] = False
-    # evidence counts distinct contexts, of words and of 5-grams: copies of a document share theirs and so count once
-    word_doc = np.repeat(np.arange(len(y)), np.diff(scan.ptr))
-    h = scan.words
-    _, once = np.unique(mix(h + np.roll(h, 1) * _U(3) + np.roll(h, -1) * _U(5)), return_index=True)
-    once = once[~held[word_doc[once]]]
-    is_toxic = y[word_doc[once]] == 1
-    seen = np.bincount(words.bucket[index[once]], minlength=1 << WORD_BITS)
-    model.word_evidence = evidence(np.bincount(words.bucket[index[once[is_toxic]]], minlength=1 << WORD_BITS), seen)
-    by_word = [np.bincount(index[own], minlength=len(words.bucket)) for own in (once[is_toxic], once)]
-    count = [np.bincount(words.stem, np.repeat(c, np.diff(words.stem_ptr)), minlength=1 << STEM_BITS) for c in by_word]
-    model.stem_evidence = evidence(*count)
-    positive = [np.flatnonzero(doc == k) for k in np.flatnonzero((y == 1) & ~held)]
-    positive = [own for own in positive if len(own)]
-    negative = np.flatnonzero((y[doc] == 0) & ~held[doc])
-    x = model.inputs(words)
-    worth = np.where(mask, x[:, -2:].max(axis=1)[idx], -9).max(axis=0)
+    c = chunks_of(ptr)
+    toxic, calm = (np.flatnonzero((label[c.doc] == k) & ~held[c.doc]) for k in (1, 0))
     draw, moment, var, t = np.random.default_rng(11), {}, {}, 0
-    for _ in range(rounds):
-        chosen = np.array([own[np.argmax(worth[own])] for own in positive])
-        hard = negative[np.argsort(-worth[negative], kind="stable")[: 4 * len(chosen) + batch]]
+    chosen, hard = toxic, calm
+    lo, hi = c.first, c.first + c.size  # where attention pools
+    if not len(toxic) or not len(calm):
+        return model
+    for steps in rounds:
         for _ in range(steps):
             t += 1
-            own = np.concatenate([draw.choice(chosen, batch // 3), draw.choice(hard, batch // 3), draw.choice(negative, batch // 3)])
-            i, m = idx[:, own], mask[:, own]
-            used, at = np.unique(i, return_inverse=True)
+            own = np.concatenate([draw.choice(chosen, batch // 3), draw.choice(hard, batch // 3), draw.choice(calm, batch // 3)])
+            at = c.first[own] + np.arange(int(c.size[own].max()))[:, None]
+            mask = at < c.first[own] + c.size[own]
+            pooled = (at >= lo[own]) & (at < hi[own])
+            used, place = np.unique(index[np.where(mask, at, c.first[own])], return_inverse=True)
             own_words = words.take(used)
-            spans = own_words.gram_ptr
-            x = model.inputs(own_words)
-            g, dx = model.gradients(x[at.reshape(i.shape)], m, y[doc[own]])
-            du = np.stack([np.bincount(at.ravel(), dx[..., k].ravel(), minlength=len(used)) for k in range(2 * EMBED)], axis=1).astype(np.float32)
+            g, dx = model.gradients(model.inputs(own_words)[place.reshape(at.shape)], mask, pooled, label[c.doc[own]])
+            du = np.stack([np.bincount(place.ravel(), dx[..., k].ravel(), minlength=len(used)) for k in range(2 * EMBED)], axis=1).astype(np.float32)
             # the tables take plain gradient steps: a word seen once moves little, one that recurs moves far
+            size = np.diff(own_words.ptr)
             np.add.at(model.p["word"], own_words.bucket, -table_rate * du[:, :EMBED])
-            np.add.at(model.p["gram"], own_words.gram, -table_rate * np.repeat(du[:, EMBED:] / np.maximum(1, np.diff(spans))[:, None].astype(np.float32), np.diff(spans), axis=0))
+            np.add.at(model.p["gram"], own_words.gram, -table_rate * np.repeat(du[:, EMBED:], size, axis=0))
             for k, grad in g.items():
                 grad = grad + decay * model.p[k]
                 moment[k] = 0.9 * moment.get(k, 0) + 0.1 * grad
                 var[k] = 0.99 * var.get(k, 0) + 0.01 * grad * grad
                 model.p[k] = (model.p[k] - rate * moment[k] / (1 - 0.9**t) / (np.sqrt(var[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-        worth = model.window_logits(model.inputs(words), idx, mask)
-    top = np.full(len(y), -np.inf)
-    np.maximum.at(top, doc, worth)
-    calm = np.isfinite(top) & (held if (y[held] == 1).any() and (y[held] == 0).any() else True)
-    model.scale, model.shift = platt(top[calm].astype(float), y[calm].astype(float))
+        top, lo, logit = worst_windows(model, words, index, ptr, c)
+        hi = np.minimum(lo + WINDOW, c.first + c.size)
+        order = toxic[np.lexsort((top[toxic], c.doc[toxic]))]
+        chosen = order[np.append(np.diff(c.doc[order]) != 0, True)]
+        hard = calm[np.argsort(-top[calm], kind="stable")[: 4 * len(chosen) + batch]]
+    own = np.isfinite(logit) & (held if (label[held] == 1).any() and (label[held] == 0).any() else True)
+    model.scale, model.shift = platt(logit[own].astype(float), label[own].astype(float))
     model.trained = True
     return model
 

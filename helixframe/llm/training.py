@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A training text may have so many characters; longer ones are scored, but not learned from.
-MAX_TRAIN_CHARS = 50_000
+from ..storage import saved
+
+#: A sample holds so many characters at most.  It is filled in its fixed order with every row that still has room.
+MAX_SAMPLE_CHARS = 24_000_000
 
 
 def crc_remainder(doc_id: str, m: int) -> Column:
@@ -14,16 +16,32 @@ def crc_remainder(doc_id: str, m: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(m))
 
 
+def with_room(rows: DataFrame, target: str, max_rows: int, max_chars: int = MAX_SAMPLE_CHARS) -> list[tuple]:
+    """(text, target) of the first max_rows of rows(_id, text, target) by hash of _id, as far as max_chars allows.
+
+    The lengths alone are ordered; the texts that have room are read after.
+    """
+    rows = saved(rows.select("_id", "text", target))
+    order = [F.xxhash64("_id"), "_id", F.xxhash64("text"), target]
+    room, ids = max_chars, set()
+    for r in rows.select("_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), target).orderBy(F.xxhash64("_id"), "_id", "h", target).limit(max_rows).collect():
+        if r["n"] <= room:
+            room -= r["n"]
+            ids.add((r["_id"], r["h"], r[target]))
+    picked = rows.sparkSession.createDataFrame(sorted(ids), f"_id long, h long, {target} {rows.schema[target].dataType.simpleString()}")
+    got = rows.join(F.broadcast(picked), (rows["_id"] == picked["_id"]) & (F.xxhash64("text") == picked["h"]) & (rows[target] == picked[target]), "left_semi")
+    return [(r["text"], r[target]) for r in got.dropDuplicates().orderBy(*order).collect()]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, folds: int | None = None) -> list[tuple[str, int]]:
     """At most max_rows (text, label) pairs in a fixed order: those with the smallest hashes of doc_id.
 
     Rows whose crc32(doc_id) mod `folds` is 0 are never drawn.  Null labels and null texts are left out.  The drawn ids
     number max_rows at most, so they are broadcast; the documents are read once and not shuffled.
     """
-    rows = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null")
+    rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null")
     if folds:
         rows = rows.where(crc_remainder("_id", folds) != 0)
     drawn = rows.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS))
-    got = texts.join(F.broadcast(drawn), texts["doc_id"] == drawn["_id"]).select("_id", "text", "_y").collect()
-    return [(r["text"], r["_y"]) for r in sorted(got, key=lambda r: (r["_id"], r["text"]))][:max_rows]
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").where(F.col("text").isNotNull())
+    return with_room(texts.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")), "_y", max_rows)

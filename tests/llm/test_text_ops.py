@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -88,16 +90,57 @@ def held_out(text, m):
     return zlib.crc32(str(text).encode()) % m
 
 
+def found_and_false(rows):
+    hits = sum(r.predicted and r.toxic for r in rows)
+    return hits / max(1, sum(r.toxic for r in rows)), hits / max(1, sum(r.predicted for r in rows))
+
+
 def test_toxicity(spark):
-    d, labels = queries.table(spark, DATA, "documents"), queries.table(spark, DATA, "labels")
+    """Held out, at sf0.1: far more than a constant answer finds, and than one word of the label's odds does."""
+    d, labels = (queries.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     model = toxicity.train(d, labels)
     got = toxicity.score(d, model).join(labels, "doc_id").where("held_out").collect()
     assert all(held_out(r.doc_id, 5) == 0 for r in got)
-    assert sum(r.predicted == r.toxic for r in got) >= 0.9 * len(got)
+    recall, precision = found_and_false(got)
+    assert recall >= 0.8 and precision >= 0.9
+    words = lambda t: set(re.findall(r"[^\W\d_]+", t.lower()))
+    rows = d.join(labels, "doc_id").select("doc_id", "text", "toxic").where("text is not null").collect()
+    seen, bad = Counter(), Counter()
+    for r in rows:
+        if held_out(r.doc_id, 5):
+            seen.update(words(r.text))
+            bad.update(words(r.text) if r.toxic else ())
+    listed = {w for w in bad if bad[w] >= 5 and bad[w] >= 0.9 * seen[w]}
+    theirs = [r for r in rows if not held_out(r.doc_id, 5)]
+    odds = sum(bool(words(r.text) & listed) for r in theirs if r.toxic) / sum(r.toxic for r in theirs)
+    print("recall", recall, "precision", precision, "recall of a word list", odds)
+    assert recall > odds - 0.1
     odd = toxicity.score(odd_docs(spark), model).collect()
     assert len(odd) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in odd)
     assert toxicity.drop_toxic(odd_docs(spark), model).columns == odd_docs(spark).columns
     assert toxicity.toxicity(d.limit(5), labels.limit(0)).where("score <> 0").count() == 0
+    assert toxicity.toxicity(d.limit(0), labels).count() == 0
+
+
+def test_toxicity_windows():
+    """The windows' logits, against the network run plainly over one stretch and each window pooled by itself."""
+    model = toxicity.ToxicityModel()
+    texts = ["one", "b c d", " ".join(f"w{k % 7}x" for k in range(40)), "", " ".join(chr(97 + k % 26) * (1 + k % 5) for k in range(200))]
+    words, index, ptr = toxicity.read(texts)
+    x = model.inputs(words)
+    start, z = model.windows(model.projected(x), index, ptr)
+    p = model.p
+    for d, n in enumerate(np.diff(ptr)):
+        own = slice(*np.searchsorted(start, ptr[d : d + 2]))
+        assert len(z[own]) == (max(1, n - toxicity.WINDOW + 1) if n else 0)
+        if 0 < n <= toxicity.CHUNK:
+            h = x[index[ptr[d] : ptr[d + 1]]][:, None, :]
+            mask = np.ones((n, 1), dtype=bool)
+            hs = np.concatenate([toxicity.run_gru(h @ p["wf"] + p["bf"], mask, p["uf"]), toxicity.run_gru(h[::-1] @ p["wb"] + p["bb"], mask, p["ub"])[::-1]], axis=2)[:, 0]
+            e, y = np.exp(np.tanh(hs @ p["att"]) @ p["v"]), hs @ p["out"]
+            for k, got in enumerate(z[own]):
+                w = slice(k, k + toxicity.WINDOW)
+                assert abs((e[w] * y[w]).sum() / e[w].sum() + p["o"][0] - got) < 1e-3
 
 
 def test_language(spark):
