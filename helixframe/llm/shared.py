@@ -1,4 +1,4 @@
-"""Leads of buckets, and connected components of links."""
+"""Leads of buckets, connected components of links, and names that no column has."""
 
 from __future__ import annotations
 
@@ -8,6 +8,18 @@ from pyspark.sql.window import Window
 
 from ..storage import saved, small
 
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that stand among the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def led_buckets(rows: DataFrame) -> DataFrame:
     """rows(bucket, cls) of buckets with several classes, and lead, the class of the bucket that shares most buckets with others.
 
@@ -16,8 +28,8 @@ def led_buckets(rows: DataFrame) -> DataFrame:
     """
     several = saved(rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1"))
     degree = several.groupBy("cls").agg(F.sum("size").alias("degree"))
-    own = Window.partitionBy("bucket").orderBy(F.desc("degree"), "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return several.select("bucket", "cls").join(small(degree), "cls").select("bucket", "cls", F.first("cls").over(own).alias("lead"))
+    leads = several.join(small(degree), "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls"))["cls"].alias("lead"))
+    return several.select("bucket", "cls").join(leads, "bucket")
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -29,9 +41,9 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """
     both = saved(edges.select(F.col(a).alias("id"), F.col(b).alias("to")).unionByName(edges.select(F.col(b).alias("id"), F.col(a).alias("to"))).where("id <> to").distinct())
     labels = saved(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("comp")))
-    n = labels.count()
+    kind, n = edges.schema[a].dataType, labels.count()
     for _ in range(most_rounds if n else 0):
-        offers = both.join(small(labels.select(F.col("id").alias("to"), "comp"), n), "to").select("id", "comp", F.lit(None).cast("long").alias("was"))
+        offers = both.join(small(labels.select(F.col("id").alias("to"), "comp"), n), "to").select("id", "comp", F.lit(None).cast(kind).alias("was"))
         best = offers.unionByName(labels.select("id", "comp", F.col("comp").alias("was"))).groupBy("id").agg(F.min("comp").alias("near"), F.max("was").alias("was"))
         jump = small(labels.select(F.col("id").alias("near"), F.col("comp").alias("far")), n)
         new = best.join(jump, "near", "left").select("id", F.least("near", F.coalesce("far", "near")).alias("comp"), "was")
