@@ -13,9 +13,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir; where none is set and Spark runs in this process, as in tests, one of this machine."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
