@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .decontam import _WORD, _fold
 from ..storage import saved, small
-from .shared import components, led_buckets
+from .shared import components, led_buckets, unused
 from .textscan import Scan, mix, per_doc, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -170,12 +170,12 @@ def samples(e: np.ndarray, w: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 _SIGS = [f"s{i}" for i in range(SAMPLES // 8)]
 _ODD = [f"o{i}" for i in range(16)]
 _COLUMNS = ["total", *_SIGS, *_ODD]
-_SIGNATURE = "doc_id long, cls long, total double, " + ", ".join(f"{s} long" for s in _SIGS + _ODD) + ", bands array<long>"
+_SIGNATURE = "doc_id long, cls binary, total double, " + ", ".join(f"{s} long" for s in _SIGS + _ODD) + ", bands array<long>"
 
 
 def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
     """For every row: its class (a hash of the text), total weight, a byte of each sample in seven numbers, the parities of its
-    elements over 1024 bits in sixteen numbers, and its buckets."""
+    elements of weight 1 over 1024 bits in sixteen numbers, and its buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
             odd = np.zeros((b.num_rows, 1024), dtype=np.uint8)
             if len(has):
                 e = elements(h, ptr)
-                cell = np.repeat(np.arange(b.num_rows), np.diff(ptr)) * 1024 + (e >> _U(54)).astype(np.int64)
+                cell = (np.repeat(np.arange(b.num_rows), np.diff(ptr)) * 1024 + (e >> _U(54)).astype(np.int64))[w == 1]
                 odd = (np.bincount(cell, minlength=odd.size) & 1).astype(np.uint8).reshape(odd.shape)
                 s = samples(e, w, np.append(ptr[has], ptr[-1]))
                 for k in range(SAMPLES):
@@ -209,8 +209,9 @@ def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
 
 
 def text_class() -> Column:
-    """A hash of the text; of the id, where the text is null."""
-    return F.when(F.col("text").isNull(), F.xxhash64(F.lit("null"), F.col("doc_id").cast("long"))).otherwise(F.xxhash64("text")).alias("cls")
+    """128 bits of a digest of the text; of the id and a further byte, where the text is null."""
+    null = F.concat(F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).cast("binary"))), F.lit(b"\x00"))
+    return F.when(F.col("text").isNull(), null).otherwise(F.unhex(F.md5(F.col("text").cast("binary")))).alias("cls")
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -231,13 +232,14 @@ def prefixed(sigs: DataFrame, p: str) -> DataFrame:
 def alike() -> Column:
     """Whether classes a and b can reach the similarity.
 
-    Their weights and samples must allow it, and their parities: every element that only one of them has flips one bit, so no
-    more bits differ than there are such elements, and at the similarity these weigh (1 - s) / (1 + s) of both texts at most.
+    Their weights and samples must allow it, and their parities: every element of weight 1 that only one of them has flips one
+    bit, so no more bits differ than there are such elements, and at the similarity these weigh (1 - s) / (1 + s) of both texts
+    at most.
     """
     differ = F.lit(0)
     for o in _ODD:
         differ = differ + F.bit_count(F.col(f"a_{o}").bitwiseXOR(F.col(f"b_{o}")))
-    near = differ <= (F.col("a_total") + F.col("b_total")) * ((1 - SIMILARITY) / (1 + SIMILARITY) / LOWEST) + 1e-6
+    near = differ <= (F.col("a_total") + F.col("b_total")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
     return near & (F.least("a_total", "b_total") >= SIMILARITY * F.greatest("a_total", "b_total")) & (agreeing("a", "b") >= LEAST_AGREEING)
 
 
@@ -246,9 +248,8 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: Idf) -> DataFrame:
     pairs = saved(pairs.select("a", "b").distinct())
     if not pairs.count():
         return pairs
-    need = saved(pairs.select(F.explode(F.array("a", "b")).alias("_cls")).distinct())
-    texts = docs.select(text_class(), "text").join(small(need), F.col("cls") == F.col("_cls")).groupBy("cls").agg(F.first("text").alias("text"))
-    texts = saved(texts)
+    need = saved(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
+    texts = saved(docs.select(text_class(), "text").join(small(need), "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text")))
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -262,11 +263,12 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: Idf) -> DataFrame:
             union = per_doc(wa.astype(float), pa_) + per_doc(idf.weights(hb).astype(float), pb) - common
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(common >= SIMILARITY * union - 1e-9))
 
-    return saved(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return saved(both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, class_id, n_links) for every row of docs(doc_id, text): n_links counts the verified links of its text."""
+    """(doc_id, cls, class_id, n_links) for every row of docs(doc_id, text): n_links counts the links of its text that were
+    verified to form the classes: those to leads of buckets, and those between components."""
     docs = docs.select("doc_id", "text")
     idf = document_frequencies(docs)
     rows = saved(signatures(docs, idf))
@@ -287,7 +289,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     cross = left.join(right, "bucket").where("a < b and a_comp <> b_comp").where(alike())
     links = links.unionByName(verified(docs, cross, idf))
     comp = components(links, "a", "b").withColumnRenamed("id", "cls")
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
+    degree = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
     named = classes.select("cls", "first").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     best = named.groupBy("comp").agg(F.min("first").alias("class_id"))
     named = named.join(best, "comp").join(degree, "cls", "left").select("cls", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -301,7 +304,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each class, that with the smallest doc_id, with its columns unchanged; of repeated rows one stays too."""
-    keep = near_classes(docs).where("doc_id <=> class_id").groupBy("cls").agg(F.min("doc_id").alias("_keep")).select(F.col("cls").alias("_cls"), "_keep")
-    rows = docs.withColumn("_own", text_class())
-    kept = rows.join(keep, (F.col("_own") == F.col("_cls")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
-    return kept.dropDuplicates(["_own"]).select(*docs.columns)
+    own, cls, least = unused(docs.columns, "_own", "_cls", "_keep")
+    keep = near_classes(docs.select("doc_id", "text")).where("doc_id <=> class_id").groupBy("cls").agg(F.min("doc_id").alias("least")).toDF(cls, least)
+    rows = docs.select("*", text_class().alias(own))
+    kept = rows.join(keep, (F.col(own) == F.col(cls)) & F.col("doc_id").cast("long").eqNullSafe(F.col(least)))
+    return kept.dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
