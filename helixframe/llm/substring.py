@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import saved, small
+from ..storage import saved
 from .textscan import Scan, _powers, mix, slices, windows
 
 WINDOW, GRAM, ORDER = 20, 5, 32
@@ -126,7 +126,7 @@ def repeated_segments(docs: DataFrame, keys, hot: np.ndarray) -> DataFrame:
             size = np.where(later, 0, end - first)
             off = np.concatenate([[0], np.cumsum(size)])
             flat = scan.words[np.repeat(first - off[:-1], size) + np.arange(off[-1])]
-            blob = pa.Array.from_buffers(pa.binary(), len(key), [pa.array(~later).buffers()[1], pa.py_buffer((8 * off).astype(np.int32)), pa.py_buffer(flat)])
+            blob = pa.Array.from_buffers(pa.large_binary(), len(key), [pa.array(~later).buffers()[1], pa.py_buffer(8 * off), pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(rids[doc]), pa.array(start), pa.array(count), blob], names=[f.split()[0] for f in _SEGMENT.split(", ")])
 
     return docs.select(ordered_id(), row_id(), "text").mapInArrow(run, _SEGMENT)
@@ -137,7 +137,8 @@ def ordered_id() -> Column:
 
 
 def row_id() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rid")
+    """With the id, the identity of a row."""
+    return F.xxhash64(F.col("doc_id").isNull(), "text").alias("rid")
 
 
 class WaveletMatrix:
@@ -200,11 +201,11 @@ class FMIndex:
         return own, lo
 
 
-_GONE = "rid long, start long, n long"
+_GONE = "doc long, rid long, start long, n long"
 
 
 def shard_repeats(shard: pa.Table) -> pa.Table:
-    """(rid, start, n): windows start..start+n of a document that have occurred before."""
+    """(doc, rid, start, n): windows start..start+n of a document that have occurred before."""
     column = lambda k: np.asarray(shard.column(k).combine_chunks())
     key, doc, rid, start, count = (column(k) for k in ("key", "doc", "rid", "start", "n"))
     order = np.lexsort((start, doc))
@@ -217,7 +218,7 @@ def shard_repeats(shard: pa.Table) -> pa.Table:
     _, lead, inverse = np.unique(content, return_index=True, return_inverse=True)
     lead = lead[inverse]
     later = (doc > doc[lead]) | ((doc == doc[lead]) & (start > start[lead]))
-    out = [(rid[later], start[later], count[later])]
+    out = [(doc[later], rid[later], start[later], count[later])]
 
     lone = np.flatnonzero(lead == np.arange(len(lead)))  # one of each content, the earliest
     _, inverse, n = np.unique(key[lone], return_inverse=True, return_counts=True)
@@ -248,20 +249,20 @@ def shard_repeats(shard: pa.Table) -> pa.Table:
         d, s = doc[lone][owner], start[lone][owner] + head[own] - place[owner]
         lead = earliest[inverse]
         later = (d > d[lead]) | ((d == d[lead]) & (s > s[lead]))
-        out.append((rid[lone][owner][later], s[later], np.ones(int(later.sum()), dtype=np.int64)))
-    r, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((s, r))
-    r, s, n = r[order], s[order], n[order]
+        out.append((d[later], rid[lone][owner][later], s[later], np.ones(int(later.sum()), dtype=np.int64)))
+    d, r, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((s, r, d))
+    d, r, s, n = d[order], r[order], s[order], n[order]
     new = np.ones(len(r), dtype=bool)  # windows that follow each other become one row
-    new[1:] = (r[1:] != r[:-1]) | (s[1:] > (s + n)[:-1])
+    new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] > (s + n)[:-1])
     group = np.cumsum(new) - 1
     end = np.zeros(int(new.sum()), dtype=np.int64)
     np.maximum.at(end, group, s + n)
-    return pa.table({"rid": pa.array(r[new]), "start": pa.array(s[new]), "n": pa.array(end - s[new])})
+    return pa.table({"doc": pa.array(d[new]), "rid": pa.array(r[new]), "start": pa.array(s[new]), "n": pa.array(end - s[new])})
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables (rid, start, n) of the windows to be removed: what the shards report, and copies that were met before."""
+    """Two tables (doc, rid, start, n) of the windows to be removed: what the shards report, and copies that were met before."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     n_docs = docs.count()
@@ -274,7 +275,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = repeated_segments(docs, keys, np.sort(np.array(hot, dtype=np.int64).view(np.uint64)))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-28 * (total[1] or 0) // SHARD_WORDS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    empty = dealt.where("words is null").select("rid", "start", "n")
+    empty = dealt.where("words is null").select("doc", "rid", "start", "n")
     kept = dealt.where("words is not null")
     return kept.groupBy("shard").applyInArrow(shard_repeats, _GONE), empty
 
@@ -291,8 +292,9 @@ def digest_repeats(docs: DataFrame) -> DataFrame:
 
 def _remove(docs: DataFrame, digest: bool) -> DataFrame:
     several, equal = repeats(docs)
-    gone = saved(several.unionByName(equal).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("gone")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id()).join(small(gone, gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]), "rid", "left").select("doc_id", "text", F.col("gone.start").alias("start"), F.col("gone.n").alias("n"))
+    gone = saved(several.unionByName(equal).groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "n")).alias("gone")))
+    # what goes grows with the texts, so they meet by a shuffle at every size
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ordered_id(), row_id()).join(gone.hint("merge"), ["doc", "rid"], "left").select("doc_id", "text", F.col("gone.start").alias("start"), F.col("gone.n").alias("n"))
     name = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
