@@ -84,31 +84,57 @@ def sw_distances(pairs: DataFrame, a: str, b: str, to: str = "dist") -> DataFram
     return pairs.mapInPandas(run, schema)
 
 
+#: Points of a block; a cell of the pair join holds two blocks.
+BLOCK = 1024
+
+
+def norms(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """The distances of rows of a from those of b, all of them; l2 squared."""
+    if metric == "l1":
+        return np.stack([np.abs(b - x).sum(axis=1) for x in a]) if len(a) else np.zeros((0, len(b)))
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0)
+
+
 def pairs_within(points: DataFrame, eps: float, metric: str = "l2") -> DataFrame:
     """(i, j, dist), i and j of points(seq_id, values or seq), for every pair, i = j included, with dist at most eps.
 
-    A lower bound of the distance makes the join an equi-join on bands of width eps: for l1 and l2 the difference of the
-    distances to a pivot (the mean point; triangle inequality), for sw four times the difference of the lengths.  Every point
-    meets the points of its own band and of the next; the exact predicate follows.
+    l1 and l2: points are dealt into blocks of about BLOCK by hash, and every two blocks meet in a cell of their own, where numpy
+    finds the pairs; so no key holds more than two blocks, however the points lie.  sw: four times the difference of
+    the lengths bounds the distance, which makes the join an equi-join on bands of lengths.
     """
     if metric == "sw":
-        key, value, columns = F.lit(4.0) * F.length("seq"), "seq", ["seq"]
-        own = points.select("seq_id", "seq", key.alias("key"))
-    else:
-        value = "values"
-        dist = l1 if metric == "l1" else l2
-        mean = points.select(F.posexplode("values").alias("p", "v")).groupBy("p").agg(F.avg("v").alias("m"))
-        pivot = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("pivot"))
-        own = points.join(F.broadcast(pivot)).select("seq_id", "values", dist(F.col("values"), F.col("pivot")).alias("key"))
-    band = F.floor(F.col("key") / F.lit(float(eps))).cast("long")
-    left = own.select(F.col("seq_id").alias("i"), F.col(value).alias("a"), band.alias("band"))
-    right = own.select(F.col("seq_id").alias("j"), F.col(value).alias("b"), F.col("key").alias("kb"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    both = left.join(right, "band").where("i <= j")
-    if metric == "sw":
-        found = sw_distances(both.where(F.abs(F.length("a") - F.length("b")) * 4 <= eps).select("i", "j", "a", "b"), "a", "b").where(F.col("dist") <= eps)
-    elif metric == "l1":
-        found = both.withColumn("dist", l1(F.col("a"), F.col("b"))).where(F.col("dist") <= eps)
-    else:
-        found = both.withColumn("sq", squared_l2(F.col("a"), F.col("b"))).where(F.col("sq") <= eps * eps).withColumn("dist", F.sqrt("sq"))
-    half = found.select("i", "j", "dist")
-    return half.unionByName(half.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
+        band = F.floor(F.length("seq") / F.lit(max(1, int(eps // 4) + 1))).cast("long")
+        left = points.select(F.col("seq_id").alias("i"), F.col("seq").alias("a"), band.alias("band"))
+        right = points.select(F.col("seq_id").alias("j"), F.col("seq").alias("b"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+        both = left.join(right, "band").where("i <= j").where(F.abs(F.length("a") - F.length("b")) * 4 <= eps)
+        half = sw_distances(both.select("i", "j", "a", "b"), "a", "b").where(F.col("dist") <= eps).select("i", "j", "dist")
+        return half.select("dist", F.explode(F.when(F.col("i") < F.col("j"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j")))).alias("p")).select("p.i", "p.j", "dist")
+    blocks = -(-points.count() // BLOCK) or 1
+    own = points.select("seq_id", "values", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).alias("block"))
+    own = own.select("seq_id", "values", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    cell = F.least("block", "other") * blocks + F.greatest("block", "other")
+    lower = F.col("block") <= F.col("other")
+
+    def run(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        (first,), second = key, cell[~cell["lower"]]
+        own = cell[cell["lower"]]
+        if first % (blocks + 1) == 0:  # a block with itself
+            second = own
+        out = []
+        ids, theirs = own["seq_id"].to_numpy(), second["seq_id"].to_numpy()
+        if len(ids) and len(theirs):
+            a, b = (np.stack(x["values"].to_numpy()).astype(np.float64) for x in (own, second))
+            limit = eps if metric == "l1" else eps * eps
+            for lo in range(0, len(a), 256):
+                r, c = np.nonzero(norms(a[lo : lo + 256], b, metric) <= limit + 1e-9 * max(1.0, limit))
+                diff = a[lo + r] - b[c]
+                dist = np.abs(diff).cumsum(axis=1)[:, -1] if metric == "l1" else (diff * diff).cumsum(axis=1)[:, -1]
+                ok = dist <= limit
+                i, j, dist = ids[lo + r][ok], theirs[c][ok], dist[ok]
+                dist = dist if metric == "l1" else np.sqrt(dist)
+                out.append(pd.DataFrame({"i": i, "j": j, "dist": dist}))
+                if second is not own:
+                    out.append(pd.DataFrame({"i": j, "j": i, "dist": dist}))
+        return pd.concat(out) if out else pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "dist": np.zeros(0)})
+
+    return own.select("seq_id", "values", cell.alias("cell"), lower.alias("lower")).groupBy("cell").applyInPandas(run, "i long, j long, dist double")

@@ -34,11 +34,10 @@ def decode_2bit(code: Column) -> Column:
 
 
 def kmers(seq: Column, k: int, include_last_window: bool = False) -> Column:
-    """The windows of k letters in order; the last one is left out unless asked for.  Linear in the length."""
-    chars = F.split(seq, "")
-    last = F.length(seq) - k - (0 if include_last_window else 1)
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.concat(*[F.element_at(chars, i + (j + 1)) for j in range(k)]))
+    """The windows of k letters in order; the last one is left out unless asked for.  Linear in the length: a look-ahead matches
+    at every letter."""
+    windows = F.regexp_extract_all(seq, F.lit(rf"(?s)(?=(\P{{Cs}}.{{{k - 1}}}))"), F.lit(1))
+    return windows if include_last_window else F.slice(windows, F.lit(1), F.greatest(F.size(windows) - 1, F.lit(0)))
 
 
 def dna_kmer_index(kmer: Column, k: int) -> Column:
@@ -49,6 +48,14 @@ def dna_kmer_index(kmer: Column, k: int) -> Column:
     return F.when(kmer.rlike(f"^[{DNA}]{{{k}}}$"), total)
 
 
+def protein_kmer_index(kmer: Column, k: int) -> Column:
+    """Base 20, the first letter most significant; null for other letters."""
+    total = F.lit(0)
+    for j in range(k):
+        total = total * 20 + (F.instr(F.lit(PROTEIN), F.substring(kmer, j + 1, 1)) - 1)
+    return F.when(kmer.rlike(f"^[{PROTEIN}]{{{k}}}$"), total)
+
+
 def dna_kmer_universe(spark: SparkSession, k: int) -> DataFrame:
     """(kmer_idx, kmer) of all 4^k DNA k-mers."""
     if not 1 <= k <= 15:
@@ -63,31 +70,20 @@ def protein_kmer_universe(spark: SparkSession, k: int) -> DataFrame:
     return spark.range(20**k).select(F.col("id").cast("int").alias("kmer_idx"), F.concat(*[F.substring(F.lit(PROTEIN), digit(j), F.lit(1)) for j in range(k)]).alias("kmer"))
 
 
-def cut_sites(seq: Column, site: str, before: int, after: int) -> Column:
-    """0-based cut positions of a recognition site (N: any base); a site flush with the end is not cut."""
-    chars = F.split(seq, "")
-    last = F.length(seq) - after - 1
-    at = F.when(last >= before, F.sequence(F.lit(before), last)).otherwise(F.array().cast("array<int>"))
-    fixed = [(j, c) for j, c in enumerate(site) if c != "N"]
+def fragments(seq: Column, site: str, before: int, after: int) -> Column:
+    """The pieces of a sequence cut at a recognition site (N: any base); a site flush with the end is not cut.  Linear in the
+    length: the sequence is split where the site stands around a place."""
+    letters = site.replace("N", ".")
+    return F.split(seq, f"(?s)(?<={letters[:before]})(?={letters[before : before + after]}.)", -1)
 
-    def cut(i: Column) -> Column:
-        ok = F.lit(True)
-        for j, c in fixed:
-            ok = ok & (F.element_at(chars, i + (j - before + 1)) == c)
-        return ok
 
-    return F.filter(at, cut)
+def n_count(seq: Column) -> Column:
+    return F.length(seq) - F.length(F.replace(seq, F.lit("N"), F.lit("")))
 
 
-def n_expansions(seq: Column, most: int = 15) -> Column:
-    """All sequences that the letters N of one stand for, in k-mer order; the sequence itself if it has none."""
-    chars = F.split(seq, "")
-    n = F.length(seq) - F.length(F.replace(seq, F.lit("N"), F.lit("")))
+def n_expansion(seq: Column, code: Column) -> Column:
+    """The sequence in which the digits of code in base 4, least significant first, replace the letters N."""
     state = lambda out, left: F.struct(out.alias("out"), left.alias("left"))
-
-    def one(code: Column) -> Column:
-        step = lambda acc, c: F.when(c == "N", state(F.concat(acc["out"], F.substring(F.lit(DNA), (acc["left"] % 4).cast("int") + 1, F.lit(1))), F.shiftright(acc["left"], 2))).otherwise(state(F.concat(acc["out"], c), acc["left"]))
-        return F.aggregate(chars, state(F.lit(""), code.cast("long")), step, lambda acc: acc["out"])
-
-    total = F.pow(F.lit(4), F.least(n, F.lit(most))).cast("long")
-    return F.transform(F.sequence(F.lit(0).cast("long"), total - 1), one)
+    base = lambda acc: F.substring(F.lit(DNA), (acc["left"] % 4).cast("int") + 1, F.lit(1))
+    step = lambda acc, c: F.when(c == "N", state(F.concat(acc["out"], base(acc)), F.shiftright(acc["left"], 2))).otherwise(state(F.concat(acc["out"], c), acc["left"]))
+    return F.aggregate(F.split(seq, ""), state(F.lit(""), code.cast("long")), step, lambda acc: acc["out"])

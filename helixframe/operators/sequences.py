@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sequences as S
 from ..functions.distance import sw_distances
+from ..storage import saved
 
 
 def with_lengths(seqs: DataFrame) -> DataFrame:
@@ -39,12 +40,14 @@ def kmer_counts(seqs: DataFrame, k: int, protein: bool = False, include_last_win
 
 
 def kmer_dense(seqs: DataFrame, k: int, protein: bool = False) -> DataFrame:
-    """(seq_id, counts): one array a sequence in the order of the k-mer universe."""
-    universe = (S.protein_kmer_universe if protein else S.dna_kmer_universe)(seqs.sparkSession, k)
-    order = F.broadcast(universe.agg(F.transform(F.array_sort(F.collect_list(F.struct("kmer_idx", "kmer"))), lambda s: s["kmer"]).alias("universe")))
-    counts = kmer_counts(seqs, k, protein).groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "cnt"))).alias("own"))
-    rows = seqs.select("seq_id").join(counts, "seq_id", "left").join(order)
-    return rows.select("seq_id", F.transform("universe", lambda x: F.coalesce(F.element_at("own", x), F.lit(0)).cast("int")).alias("counts"))
+    """(seq_id, counts): one array a sequence in the order of the k-mer universe; k-mers are counted before the only shuffle, and
+    an array is as long as the universe by definition."""
+    size, letters = (20**k, S.PROTEIN) if protein else (4**k, S.DNA)
+    index = S.protein_kmer_index if protein else S.dna_kmer_index
+    counts = kmer_counts(seqs, k, protein).select("seq_id", index(F.col("kmer"), k).alias("at"), F.col("cnt").cast("int").alias("cnt"))
+    own = seqs.select("seq_id", F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("cnt")).unionByName(counts)
+    maps = own.groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "cnt")))).alias("own"))
+    return maps.select("seq_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("own", i), F.lit(0))).alias("counts"))
 
 
 def kmer_lines(dense: DataFrame) -> DataFrame:
@@ -104,11 +107,8 @@ def consensus_report(cons: DataFrame) -> DataFrame:
 def digest(seqs: DataFrame, enzyme: str | tuple[str, int, int]) -> DataFrame:
     """(seq_id, fragment, fragment_seq, fragment_len) of every sequence."""
     site, before, after = S.ENZYMES[enzyme] if isinstance(enzyme, str) else enzyme
-    cuts = F.concat(F.array(F.lit(0)), S.cut_sites(F.col("seq"), site, before, after))
-    ends = F.concat(F.slice(F.col("cuts"), 2, F.size("cuts")), F.array(F.length("seq")))
-    rows = seqs.select("seq_id", "seq", cuts.alias("cuts")).withColumn("ends", ends).select("seq_id", "seq", F.posexplode(F.arrays_zip("cuts", "ends")).alias("fragment", "f"))
-    size = (F.col("f.ends") - F.col("f.cuts")).alias("fragment_len")
-    return rows.select("seq_id", "fragment", F.substring(F.col("seq"), F.col("f.cuts") + 1, size).alias("fragment_seq"), size)
+    rows = seqs.where("seq is not null").select("seq_id", F.posexplode(S.fragments(F.col("seq"), site, before, after)).alias("fragment", "fragment_seq"))
+    return rows.select("*", F.length("fragment_seq").alias("fragment_len"))
 
 
 def length_window(seqs: DataFrame, size: int, plus: int, minus: int) -> DataFrame:
@@ -120,23 +120,55 @@ def exact_lookup(seqs: DataFrame, queries: DataFrame) -> DataFrame:
     return seqs.join(queries.select("seq").distinct(), "seq", "left_semi")
 
 
+def near_lengths(seqs: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """The pairs (seq_id, seq, target_id, target) whose lengths allow an alignment distance of at most `most`: an equi-join on bands
+    of lengths."""
+    width = F.lit(max(1, int(most // 4) + 1))
+    band = F.floor(F.length("seq") / width)
+    own = seqs.select("seq_id", "seq", band.alias("band"))
+    theirs = targets.select(F.col("seq_id").alias("target_id"), F.col("seq").alias("target"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    return own.join(theirs, "band").where(4 * F.abs(F.length("seq") - F.length("target")) <= most).select("seq_id", "seq", "target_id", "target")
+
+
 def near_sequences(seqs: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     """(seq_id, target_id, dist) of the sequences within an alignment distance; lengths that cannot reach it go first."""
-    pairs = seqs.join(targets.select(F.col("seq_id").alias("target_id"), F.col("seq").alias("target")), 4 * F.abs(F.length("seq") - F.length("target")) <= most)
-    return sw_distances(pairs.select("seq_id", "target_id", "seq", "target"), "seq", "target").where(F.col("dist") <= most).select("seq_id", "target_id", "dist")
+    return sw_distances(near_lengths(seqs, targets, most), "seq", "target").where(F.col("dist") <= most).select("seq_id", "target_id", "dist")
 
 
 def satellites(seqs: DataFrame, target: DataFrame, size: int, plus: int, minus: int, most: float) -> DataFrame:
     return near_sequences(length_window(seqs, size, plus, minus), target, most)
 
 
-def closest(seqs: DataFrame, queries: DataFrame) -> DataFrame:
-    """For every query its nearest sequence; ties go to the smallest id."""
-    pairs = queries.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("query")).join(seqs)
-    rows = sw_distances(pairs.select("query_id", "seq_id", "query", "seq"), "query", "seq")
-    best = rows.groupBy("query_id").agg(F.min(F.struct("dist", "seq_id")).alias("best"))
-    return best.select("query_id", F.col("best.seq_id").alias("seq_id"), F.col("best.dist").alias("dist"))
+def closest(seqs: DataFrame, queries: DataFrame, radius: float = 64) -> DataFrame:
+    """For every query its nearest sequence; ties go to the smallest id.
+
+    Sequences of similar length are tried first.  The distance is at least four times the difference of the lengths, so a query
+    whose best distance lies within the radius is settled; for the others the radius grows fourfold.
+    """
+    left = saved(queries.select("seq_id", "seq"))
+    done = None
+    longest = max(x or 0 for t in (seqs, left) for x in t.agg(F.max(F.length("seq"))).first())
+    while True:
+        pairs = near_lengths(seqs, left, radius).select("target_id", "seq_id", "target", "seq")
+        rows = sw_distances(pairs, "target", "seq")
+        best = saved(rows.groupBy("target_id").agg(F.min(F.struct("dist", "seq_id")).alias("best")).select(F.col("target_id").alias("query_id"), "best.seq_id", "best.dist"))
+        settled = best if radius >= 4 * longest else best.where(F.col("dist") <= radius)
+        done = settled if done is None else done.unionByName(settled)
+        left = left.join(settled.select(F.col("query_id").alias("seq_id")), "seq_id", "left_anti")
+        if radius >= 4 * longest or not left.limit(1).count():
+            return done
+        left, radius = saved(left), 4 * radius
 
 
 def n_expanded(seqs: DataFrame) -> DataFrame:
-    return seqs.select("seq_id", F.posexplode(S.n_expansions(F.col("seq"))).alias("k", "seq"))
+    """(seq_id, k, seq): every sequence that the letters N of one stand for, in k-mer order; one without N as it is.
+
+    The codes are dealt out in levels of six letters each, so no row holds more than 4096 of them.
+    """
+    rows = seqs.select("seq_id", "seq", S.n_count(F.col("seq")).alias("n"), F.lit(0).cast("long").alias("k"))
+    rows = rows.where(F.when(F.col("n") > 30, F.raise_error("more than 30 letters N stand for over 2^60 sequences")).otherwise(F.lit(True)))
+    for level in range(5):
+        count = F.pow(F.lit(4), F.greatest(F.lit(0), F.least(F.lit(6), F.col("n") - 6 * level))).cast("long")
+        rows = rows.select("seq_id", "seq", "n", "k", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("more"))
+        rows = rows.select("seq_id", "seq", "n", (F.col("k") + F.shiftleft("more", 12 * level)).alias("k"))
+    return rows.select("seq_id", "k", S.n_expansion(F.col("seq"), F.col("k")).alias("seq"))
