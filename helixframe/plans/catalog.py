@@ -20,7 +20,6 @@ from ..operators import compare as K
 from ..operators import layers as L
 from ..operators import projection as P
 from ..operators import sequences as O
-from ..operators.simulate import simulated
 from ..sources import readers as R
 from ..sources import writers as W
 from ..storage import saved
@@ -241,10 +240,17 @@ def expand_n(spark, d):
     return O.n_expanded(own).select("seq_id", F.col("k").cast("long").alias("k"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE s AS (SELECT p_partkey AS seq_id, regexp_replace(upper(p_name), '[^ACGTN]', '', 'g') AS s FROM part), "
+    "n AS (SELECT seq_id, s, length(s) - length(replace(s, 'N', '')) AS n FROM s), "
+    "e AS (SELECT seq_id, unnest(range(CAST(power(4, n) AS BIGINT))) AS k, s FROM n), "
+    "r(seq_id, k, rest, done, todo) AS (SELECT seq_id, k, k, '', s FROM e UNION ALL "
+    "SELECT seq_id, k, CASE WHEN todo[1] = 'N' THEN rest // 4 ELSE rest END, done || CASE WHEN todo[1] = 'N' THEN substr('ACGT', (rest % 4 + 1)::BIGINT, 1) ELSE todo[1] END, substr(todo, 2) FROM r WHERE todo <> '') "
+    "SELECT seq_id, k, done AS seq FROM r WHERE todo = ''"
+)
 def expand_n_sequences(spark, d):
     own = table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.regexp_replace(F.upper("p_name"), "[^ACGTN]", "").alias("seq"))
-    return O.n_expanded(own)
+    return O.n_expanded(own).select("seq_id", F.col("k").cast("long").alias("k"), "seq")
 
 
 @query("SELECT (doc_id * 1000000 + line_no) AS line_no, CASE WHEN line_no % 4 = 0 THEN regexp_replace(value, '^@', '>') ELSE value END AS value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL) WHERE line_no % 4 < 2")
@@ -253,44 +259,86 @@ def fastq_lines(spark, d):
     return own.where("k % 4 < 2").select((F.col("doc_id") * 1000000 + F.col("k")).alias("line_no"), F.when(F.col("k") % 4 == 0, F.regexp_replace("value", "^@", ">")).otherwise(F.col("value")).alias("value"))
 
 
-@query()
+def sw_cte(pairs: str) -> str:
+    """CTEs ending in sw(i, j, dist), the alignment distance of pairs(i, j, x, y): one row of the score matrix a step, as a list."""
+    letters = lambda c: f"CASE WHEN length({c}) < 2 THEN ['$'] ELSE list_append(string_split(substr({c}, 2), ''), '$') END"
+    score = "greatest(0, h[k] + CASE WHEN ca[k] = cb[step + 1] THEN 4 ELSE -4 END, h[k + 1] - 3)"
+    row = "list_transform(range(1, len(t) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda z: t[z] - 3 * (k - z))))"
+    return f"""sp AS MATERIALIZED (SELECT i, j, {letters('x')} AS ca, {letters('y')} AS cb, 4 * greatest(length(x), length(y)) AS top FROM ({pairs})),
+sr(i, j, step, h, mx) AS (SELECT i, j, 0, list_transform(range(len(ca) + 1), lambda k: 0::BIGINT), 0::BIGINT FROM sp
+  UNION ALL SELECT i, j, step + 1, [0::BIGINT] || g, greatest(mx, list_max(g)) FROM (
+    SELECT i, j, step, mx, {row} AS g FROM (
+      SELECT sp.i, sp.j, step, mx, list_transform(range(1, len(ca) + 1), lambda k: {score}) AS t FROM sr JOIN sp ON sp.i = sr.i AND sp.j = sr.j WHERE step < len(cb)))),
+sw AS MATERIALIZED (SELECT sr.i, sr.j, (top - mx)::DOUBLE AS dist FROM sr JOIN sp ON sp.i = sr.i AND sp.j = sr.j WHERE step = len(cb))"""
+
+
+def near_sql(where: str, most: int) -> str:
+    """The documents' sequences within an alignment distance of a probe."""
+    pairs = f"SELECT s.seq_id AS i, p.seq_id AS j, s.seq AS x, p.seq AS y FROM seqs s JOIN probes p ON 4 * abs(length(s.seq) - length(p.seq)) <= {most} WHERE {where}"
+    return f"WITH RECURSIVE {SEQ}, {PROBE}, {sw_cte(pairs)} SELECT i AS seq_id, j AS target_id, dist FROM sw WHERE dist <= {most}"
+
+
+#: Probes against their reverse complements: all distances, and those of the probes among themselves.
+COMPLEMENTS = f"""WITH RECURSIVE {PROBE}, b AS (SELECT seq_id, translate(reverse(seq), 'ACGT', 'TGCA') AS seq FROM probes),
+{sw_cte("SELECT a.seq_id AS i, b.seq_id AS j, a.seq AS x, b.seq AS y FROM probes a, b UNION ALL SELECT a.seq_id, -1 - b.seq_id, a.seq, b.seq FROM probes a, probes b")} """
+
+
+@query(near_sql("true", 120))
 def sw_filter(spark, d):
     return O.near_sequences(seqs(spark, d), probes(spark, d), 120)
 
 
-@query()
+@query(near_sql("length(s.seq) BETWEEN 50 AND 90", 150))
 def satellites(spark, d):
     return O.satellites(seqs(spark, d), probes(spark, d), 70, 20, 20, 150)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {PROBE}, {sw_cte('SELECT a.seq_id AS i, -b.seq_id - 1 AS j, reverse(b.seq) AS x, a.seq AS y FROM probes a, probes b')} "
+    "SELECT j AS query_id, arg_min(i, struct_pack(dist := dist, i := i)) AS seq_id, min(dist) AS dist FROM sw GROUP BY j"
+)
 def sw_closest(spark, d):
     return O.closest(probes(spark, d), probes(spark, d).select((-F.col("seq_id") - 1).alias("seq_id"), F.reverse("seq").alias("seq")))
 
 
-@query()
+@query(COMPLEMENTS + "SELECT round(avg(dist), 6) AS mean, round(sqrt(var_pop(dist) * count(*)) / (2 * (SELECT count(*) FROM probes)), 6) AS sigma, round(stddev_pop(dist), 6) AS stddev_pop, min(dist) AS shortest, max(dist) AS longest FROM sw WHERE j >= 0")
 def sw_compare_stats(spark, d):
     a = probes(spark, d)
     b = a.select("seq_id", S.reverse_complement(F.col("seq")).alias("seq"))
     n = a.count()
-    return K.distance_stats(K.distance_matrix(a, b), n, n)
+    rounded = [F.round(c, 6).alias(c) for c in ("mean", "sigma", "stddev_pop")]
+    return K.distance_stats(K.distance_matrix(a, b), n, n).select(*rounded, "shortest", "longest")
 
 
-@query()
+@query(
+    COMPLEMENTS + "SELECT round(avg(CASE WHEN x < y THEN 1 - x / y WHEN x = y THEN 0.0 ELSE y / x - 1 END), 6) AS silhouette FROM (SELECT i, sum(dist) FILTER (j < 0) / ((SELECT count(*) FROM probes) - 1) AS x, sum(dist) FILTER (j >= 0) / (SELECT count(*) FROM probes) AS y FROM sw GROUP BY i)"
+)
 def sw_silhouette(spark, d):
     a = probes(spark, d)
-    return K.silhouette(a, a.select("seq_id", S.reverse_complement(F.col("seq")).alias("seq")))
+    found = K.silhouette(a, a.select("seq_id", S.reverse_complement(F.col("seq")).alias("seq")))
+    return found.select(F.round("silhouette", 6).alias("silhouette"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {PROBE}, {sw_cte('SELECT a.seq_id AS i, b.seq_id AS j, a.seq AS x, b.seq AS y FROM probes a, probes b')}, "
+    "p AS MATERIALIZED (SELECT i, j FROM sw WHERE dist <= 150), d AS MATERIALIZED (SELECT i, count(*) AS n FROM p GROUP BY i), "
+    "r(seed, id) AS (SELECT i, i FROM d WHERE n > 2 UNION SELECT r.seed, p.j FROM r JOIN d ON d.i = r.id JOIN p ON p.i = r.id WHERE d.n > 2 OR (d.n = 2 AND r.id > r.seed)) "
+    "SELECT dense_rank() OVER (ORDER BY l) - 1 AS cluster, id AS seq_id FROM (SELECT id, min(seed) AS l FROM r GROUP BY id)"
+)
 def sw_dbscan(spark, d):
     return C.dbscan(probes(spark, d), 150, 2, "sw")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {PROBE}, {sw_cte('SELECT a.seq_id AS i, b.seq_id AS j, a.seq AS x, b.seq AS y FROM probes a JOIN probes b ON b.seq_id < a.seq_id')}, "
+    "km AS (SELECT seq_id, kmer, count(*) AS n FROM (SELECT seq_id, unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 2))) AS kmer FROM probes) GROUP BY ALL), "
+    "dv AS (SELECT i, j, u.kmer, coalesce(a.n, 0) - coalesce(b.n, 0) AS v FROM sw JOIN (SELECT DISTINCT kmer FROM km) u ON true LEFT JOIN km a ON a.seq_id = i AND a.kmer = u.kmer LEFT JOIN km b ON b.seq_id = j AND b.kmer = u.kmer) "
+    "SELECT i, j, dist AS dist_sw, l1::DOUBLE AS dist_l1, round(sqrt(l2), 6) AS dist_l2 FROM sw JOIN (SELECT i, j, sum(abs(v)) AS l1, sum(v * v) AS l2 FROM dv GROUP BY ALL) USING (i, j)"
+)
 def sw_norms(spark, d):
     own = probes(spark, d)
-    return K.compare_norms(own, O.kmer_dense(own, 2).select("seq_id", F.col("counts").cast("array<double>").alias("values")))
+    rows = K.compare_norms(own, O.kmer_dense(own, 2).select("seq_id", F.col("counts").cast("array<double>").alias("values")))
+    return rows.withColumn("dist_l2", F.round("dist_l2", 6))
 
 
 E_CTE = "e AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -579,16 +627,6 @@ def pca_projection_abs(spark, d):
     return P.pca(points(spark, d), 3).select("seq_id", F.transform("values", F.abs).alias("values"))
 
 
-@query()
-def simulate_evolution(spark, d):
-    return simulated(probes(spark, d), 12, 4, 5, 3, 8)
-
-
-@query()
-def simulate_controlled(spark, d):
-    return simulated(probes(spark, d), 12, 4, 5, 3, 8, controlled=True)
-
-
 @query("SELECT user_id AS cluster, count(*) AS n FROM events GROUP BY user_id")
 def swarm_line_sizes(spark, d):
     """Lines of swarm tokens made from events, parsed back: one token an event."""

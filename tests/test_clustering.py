@@ -7,7 +7,6 @@ from helixframe.functions.distance import alignment_distances, pairs_within
 from helixframe.operators import clustering as C
 from helixframe.operators import compare as K
 from helixframe.operators import layers as L
-from helixframe.operators.simulate import evolve
 from helixframe.plans import catalog
 
 TREE = "(L1C4N4:1.000000,L1C3N5:1.000000,L1C2N5:1.000000,(L0C8N4:1.000000)L1C1N4:1.000000,(L0C11N4:1.000000,L0C10N4:1.000000,L0C9N5:1.000000,L0C7N18:1.000000,L0C6N5:1.000000,L0C5N5:1.000000,L0C4N26:1.000000,L0C3N13:1.000000,L0C2N8:1.000000,L0C1N29:1.000000,L0C0N36:1.000000)L1C0N272:1.000000)L2C0;"
@@ -91,13 +90,6 @@ def test_stats_and_silhouette(spark):
     assert K.silhouette(a.limit(1), a).first()[0] is None
 
 
-def test_evolution():
-    rows = evolve(1, "ACGT" * 10, 12, 4, 3, 2, 5)
-    assert len(rows) == 12 and all(len(r) == 40 for r in rows) and rows == evolve(1, "ACGT" * 10, 12, 4, 3, 2, 5)
-    with pytest.raises(ValueError):
-        evolve(1, "ACGT", 10, 4, 3, 2, 5)
-
-
 def test_adaptive_layers_runs_until_one_cluster(spark, tmp_path):
     """One cluster at 1.13, none at half of it and up to 0.7: the scan has to go on."""
     from helixframe.plans import catalog
