@@ -1,8 +1,10 @@
 """License scans by canonical digests.
 
-A text is brought to a canonical form (lower case, copyright lines dropped, punctuation and runs of white space made one
-space, equivalent spellings unified), digested, and joined with the digests of known licence texts.  The unit is the
-whole document; each of its lines is looked up as a text of its own too, for notices that stand between other lines.
+A text is brought to a canonical form (lower case, title and copyright lines dropped, punctuation and runs of white space made one
+space, equivalent spellings unified), digested, and joined with the digests of known licence texts.  A copyright line begins with
+"copyright" and holds a year or the sign, or begins with the sign; "copyright notice and this" is running text.  The unit is the
+whole document; each of its lines is looked up as a text of its own too, for notices that stand between other lines.  The known
+texts are a parameter; the table here has notices and short licences in full, not the long texts of Apache-2.0 or the GPL.
 
 Defined results: a null text, or one without a letter or digit, matches nothing; a line that occurs often counts each
 time; repeated documents give repeated rows summed under one doc_id.
@@ -18,8 +20,40 @@ from pyspark.sql import functions as F
 #: Equivalent spellings, applied in this order to words of the canonical form (fixed values).
 SPELLINGS = [("licences?|licenses", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("v(ersion)? ?([0-9])", "version $2"), ("gpl", "gnu general public license"), ("cc by", "creative commons by")]
 
+#: The two BSD licences share their text; list items are numbered or not (fixed values).
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+{n1}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+{n2}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
 #: Known notices: licence id and text (fixed values).
 KNOWN = [
+    ("BSD-2-Clause", BSD.format(n1="", n2="", third="")),
+    ("BSD-2-Clause", BSD.format(n1="1. ", n2="2. ", third="")),
+    ("BSD-3-Clause", BSD.format(n1="", n2="", third=BSD_THIRD + "\n")),
+    ("BSD-3-Clause", BSD.format(n1="1. ", n2="2. ", third="3. " + BSD_THIRD + "\n")),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "GPL-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    ),
+    (
+        "Zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."),
@@ -42,17 +76,21 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ),
 ]
 
+#: What a title line says, in lower case (fixed values).
+TITLE = r"(the )?(mit|isc|zlib|apache|boost software|(new |modified |simplified )?bsd( [0-9][- ]clause)?)( [a-z\"\']+)? licen[sc]e( - version [0-9.]+|,? version [0-9.]+)?( \([^)\n]*\))?"
 #: (pattern, replacement) of the canonical form, in order; both engines read them alike.
 STEPS = [
-    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "$1"),
+    (rf"(^|\n)[ \t]*{TITLE}[ \t]*(\n|$)", "$1"),
+    (r"(^|\n)[ \t]*(copyright[^\n]*((19|20)[0-9][0-9]|\(c\)|©)|\(c\)[ \t]*(19|20)[0-9][0-9]|©|all rights reserved)[^\n]*", "$1"),
     (r"[^\p{L}\p{N}]+", " "),
 ]
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    x = F.regexp_replace(F.lower(text), STEPS[0][0], "$1")
-    x = F.regexp_replace(x, STEPS[1][0], " ")
+    x = F.lower(text)
+    for pattern, to in STEPS:
+        x = F.regexp_replace(x, pattern, to)
     for pattern, to in SPELLINGS:
         x = F.regexp_replace(x, rf"\b{pattern}\b", to)
     return F.trim(x)
@@ -61,11 +99,14 @@ def canonical(text: Column) -> Column:
 def may_match(text: Column, known: list[tuple[str, str]]) -> Column:
     """Whether a text can have the canonical form of a known one, from its first word: anchored, so it reads little.
 
-    The first word of a canonical form is a first word of the text, unless a copyright line stood before it.
+    The first word of a canonical form is a first word of the text, or of a spelling that is replaced by one that begins so, unless
+    a title or copyright line stood before it.
     """
     first = {re.findall(r"[^\W_]+", t.lower())[0] for _, t in known}
-    words = "|".join(sorted(w.replace("licens", "licen[sc]").replace("licenc", "licen[sc]") for w in first))
-    return text.rlike(rf"(?i)^[^\p{{L}}\p{{N}}©]*({words}|copyright|c\)|©)")
+    for pattern, to in SPELLINGS:
+        first |= {pattern} if to.split()[0] in first or to.split()[0].startswith("licens") and any(w.startswith("licen") for w in first) else set()
+    words = "|".join(sorted(first))
+    return text.rlike(rf"(?i)^[^\p{{L}}\p{{N}}©]*({words}|copyright|c\)|©|all rights reserved|{TITLE})")
 
 
 def digest(text: Column) -> Column:
@@ -99,8 +140,9 @@ def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
     """The same in DuckDB SQL."""
 
     def canon(x: str) -> str:
-        x = f"regexp_replace(lower({x}), '{STEPS[0][0]}', '\\1', 'g')"
-        x = f"regexp_replace({x}, '{STEPS[1][0]}', ' ', 'g')"
+        x = f"lower({x})"
+        for pattern, to in STEPS:
+            x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$1', chr(92) + '1')}', 'g')"
         for pattern, to in SPELLINGS:
             x = f"regexp_replace({x}, '\\b{pattern}\\b', '{to.replace('$2', chr(92) + '2')}', 'g')"
         return f"trim({x})"

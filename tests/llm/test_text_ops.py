@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, decontam, html_main, langid, license, quality, queries, toxicity
 from helixframe.llm.textscan import Scan
@@ -61,6 +62,20 @@ def test_license_scan(spark):
     assert rows == {(1, "text", "Apache-2.0"): 1, (1, "line", "Apache-2.0"): 1, (2, "line", "MIT"): 2}
 
 
+def test_license_texts_in_their_usual_wrapping(spark):
+    wrapped = lambda t, n: re.sub(rf"(.{{1,{n}}})( |$)", r"\1\n", t)
+    texts = dict(license.KNOWN)
+    rows = [(1, "MIT License\n\nCopyright (c) 2024 A Person\n\n" + wrapped(texts["MIT"].replace("\n", "\n\n"), 76)), (2, "Copyright 2001, 2004 Someone\n" + wrapped(texts["ISC"].replace("\n", " "), 72))]
+    rows += [(3, "BSD 3-Clause License\n\nCopyright (c) 2019, X\nAll rights reserved.\n\n" + license.BSD.format(n1="1. ", n2="2. ", third="3. " + license.BSD_THIRD + "\n\n")), (4, "Copyright notice and this and that"), (5, texts["Zlib"])]
+    rows += [(5, texts["Zlib"]), (6, "word " * 100_000 + "\nReleased under the MIT License."), (7, "MIT License")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license_id string")
+    got = {(r.doc_id, r.scope, r.license_id): r.n_matches for r in license.license_scan(docs).collect()}
+    assert got == {(1, "text", "MIT"): 1, (2, "text", "ISC"): 1, (3, "text", "BSD-3-Clause"): 1, (5, "text", "Zlib"): 2, (6, "line", "MIT"): 1}
+    assert license.license_scan(docs.limit(0)).count() == 0
+    own = license.license_scan(docs.select(F.lit(1).alias("doc_id"), F.lit("GPL version 9").alias("text")), [("GPL-9", "GNU General Public License version 9")])
+    assert {r.license_id for r in own.collect()} == {"GPL-9"}
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav>
 <div class="cookie-notice">Accept</div><article><h1>Head&amp;line</h1><p>One
  two&nbsp;three <b>bold</b><p>Second</p><div class="ad-box">Buy</div><ul><li>x<li>y</ul></article><section id="comments"><p>Nice post, long reader comment here</p></section>
