@@ -175,7 +175,7 @@ _SIGNATURE = "doc_id long, cls binary, total double, " + ", ".join(f"{s} long" f
 
 def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
     """For every row: its class (a hash of the text), total weight, a byte of each sample in seven numbers, the parities of its
-    elements of weight 1 over 1024 bits in sixteen numbers, and its buckets."""
+    elements of weight 1 over 512 bits and of the others over 512 more in sixteen numbers, and its buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
             odd = np.zeros((b.num_rows, 1024), dtype=np.uint8)
             if len(has):
                 e = elements(h, ptr)
-                cell = (np.repeat(np.arange(b.num_rows), np.diff(ptr)) * 1024 + (e >> _U(54)).astype(np.int64))[w == 1]
+                cell = np.repeat(np.arange(b.num_rows), np.diff(ptr)) * 1024 + (e >> _U(55)).astype(np.int64) + np.where(w == 1, 0, 512)
                 odd = (np.bincount(cell, minlength=odd.size) & 1).astype(np.uint8).reshape(odd.shape)
                 s = samples(e, w, np.append(ptr[has], ptr[-1]))
                 for k in range(SAMPLES):
@@ -232,13 +232,14 @@ def prefixed(sigs: DataFrame, p: str) -> DataFrame:
 def alike() -> Column:
     """Whether classes a and b can reach the similarity.
 
-    Their weights and samples must allow it, and their parities: every element of weight 1 that only one of them has flips one
-    bit, so no more bits differ than there are such elements, and at the similarity these weigh (1 - s) / (1 + s) of both texts
-    at most.
+    Their weights and samples must allow it, and their parities: every element that only one of them has flips one bit, so no
+    more bits differ than there are such elements, each of which weighs 1 or at least LOWEST; at the similarity they weigh
+    (1 - s) / (1 + s) of both texts at most.
     """
     differ = F.lit(0)
-    for o in _ODD:
-        differ = differ + F.bit_count(F.col(f"a_{o}").bitwiseXOR(F.col(f"b_{o}")))
+    for k, o in enumerate(_ODD):
+        bits = F.bit_count(F.col(f"a_{o}").bitwiseXOR(F.col(f"b_{o}")))
+        differ = differ + (bits if k < 8 else bits * LOWEST)
     near = differ <= (F.col("a_total") + F.col("b_total")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
     return near & (F.least("a_total", "b_total") >= SIMILARITY * F.greatest("a_total", "b_total")) & (agreeing("a", "b") >= LEAST_AGREEING)
 
