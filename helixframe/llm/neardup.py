@@ -229,6 +229,11 @@ def prefixed(sigs: DataFrame, p: str) -> DataFrame:
     return sigs.select(F.col("cls").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in _COLUMNS])
 
 
+def first_meeting() -> Column:
+    """Whether the bucket is the least that classes a and b share, so that a pair is formed in one of its buckets only."""
+    return F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("bucket")
+
+
 def alike() -> Column:
     """Whether classes a and b can reach the similarity.
 
@@ -241,7 +246,7 @@ def alike() -> Column:
         bits = F.bit_count(F.col(f"a_{o}").bitwiseXOR(F.col(f"b_{o}")))
         differ = differ + (bits if k < 8 else bits * LOWEST)
     near = differ <= (F.col("a_total") + F.col("b_total")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
-    return near & (F.least("a_total", "b_total") >= SIMILARITY * F.greatest("a_total", "b_total")) & (agreeing("a", "b") >= LEAST_AGREEING)
+    return (F.least("a_total", "b_total") >= SIMILARITY * F.greatest("a_total", "b_total")) & (agreeing("a", "b") >= LEAST_AGREEING) & near
 
 
 def verified(docs: DataFrame, pairs: DataFrame, idf: Idf) -> DataFrame:
@@ -275,19 +280,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows = saved(signatures(docs, idf))
     own = [F.first(c).alias(c) for c in [*_COLUMNS, "bands"]]
     classes = saved(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), *own))
-    sigs = classes.drop("bands", "first")
+    sigs = classes.drop("first")
 
     near = saved(led_buckets(classes.select("cls", F.explode("bands").alias("bucket"))))
     stars = near.where("lead <> cls").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    stars = stars.join(prefixed(sigs, "a"), "a").join(prefixed(sigs, "b"), "b").where(alike())
+    light = sigs.drop("bands")
+    stars = stars.join(prefixed(light, "a"), "a").join(prefixed(light, "b"), "b").where(alike())
     links = verified(docs, stars, idf)
     comp = components(links, "a", "b")
 
     member = saved(near.select("bucket", "cls").join(small(comp.withColumnRenamed("id", "cls")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
     mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     open_ = saved(member.join(mixed, "bucket").join(sigs, "cls"))
-    left, right = (open_.select("bucket", F.col("cls").alias(p), F.col("comp").alias(f"{p}_comp"), *[F.col(c).alias(f"{p}_{c}") for c in _COLUMNS]) for p in ("a", "b"))
-    cross = left.join(right, "bucket").where("a < b and a_comp <> b_comp").where(alike())
+    left, right = (open_.select("bucket", F.col("cls").alias(p), F.col("comp").alias(f"{p}_comp"), *[F.col(c).alias(f"{p}_{c}") for c in [*_COLUMNS, "bands"]]) for p in ("a", "b"))
+    cross = left.join(right, "bucket").where("a < b and a_comp <> b_comp").where(alike()).where(first_meeting()).drop("bucket")
     links = links.unionByName(verified(docs, cross, idf))
     comp = components(links, "a", "b").withColumnRenamed("id", "cls")
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
