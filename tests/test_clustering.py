@@ -3,10 +3,12 @@ import random
 import numpy as np
 import pytest
 
+from helixframe.functions import distance
 from helixframe.functions.distance import alignment_distances, pairs_within
 from helixframe.operators import clustering as C
 from helixframe.operators import compare as K
 from helixframe.operators import layers as L
+from helixframe.operators import sequences as O
 from helixframe.plans import catalog
 
 TREE = "(L1C4N4:1.000000,L1C3N5:1.000000,L1C2N5:1.000000,(L0C8N4:1.000000)L1C1N4:1.000000,(L0C11N4:1.000000,L0C10N4:1.000000,L0C9N5:1.000000,L0C7N18:1.000000,L0C6N5:1.000000,L0C5N5:1.000000,L0C4N26:1.000000,L0C3N13:1.000000,L0C2N8:1.000000,L0C1N29:1.000000,L0C0N36:1.000000)L1C0N272:1.000000)L2C0;"
@@ -90,6 +92,49 @@ def test_stats_and_silhouette(spark):
     assert K.silhouette(a.limit(1), a).first()[0] is None
 
 
+TEST2 = ["TCAGAAAGCTT", "TCAGGGAAAGCTTA", "TCAGAAAGCTT", "ACAGAACAGCTT"]
+TEST3 = ["TCAGAAAGCT", "TCAGGCAAAG", "TCAGCAAGCT", "ACAGAACAGC", "TCAGAGCTTA"]
+TEST4 = ["TAAGAAAGCT", "TCAGATAGCT", "TCAGTTAGCT", "TCAGATTGCT"]
+MATRICES = [
+    (TEST2, "0 21 0 7 / 21 0 21 24 / 0 21 0 7 / 7 24 7 0"),
+    (TEST3, "0 18 8 10 18 / 18 0 18 20 23 / 8 18 0 18 18 / 10 20 18 0 24 / 18 23 18 24 0"),
+    (TEST4, "0 12 20 20 / 12 0 8 8 / 20 8 0 10 / 20 8 10 0"),
+]
+
+
+def test_alignment_matrices():
+    """Expected values of the fixtures."""
+    for rows, want in MATRICES:
+        got = [alignment_distances([a] * len(rows), rows).tolist() for a in rows]
+        assert got == [[float(x) for x in row.split()] for row in want.split(" / ")]
+
+
+def test_alignment_stats_of_the_fixtures(spark):
+    a, b = (spark.createDataFrame(list(enumerate(x)), "seq_id long, seq string") for x in (TEST3, TEST4))
+    stats = K.distance_stats(K.distance_matrix(a, b), 5, 4).first()
+    assert [round(stats.mean, 6), round(stats.sigma, 6), round(stats.stddev_pop, 6)] == [18.1, 3.181350, 6.402343]
+    assert round(K.silhouette(a, b).first()[0], 6) == -0.000792
+
+
+def test_closest_settles_far_lengths(spark):
+    a = spark.createDataFrame([(0, "ACGT" * 40), (1, "ACGTACGT")], "seq_id long, seq string")
+    q = spark.createDataFrame([(7, "ACGTACGA"), (8, "AC")], "seq_id long, seq string")
+    got = {r.query_id: (r.seq_id, r.dist) for r in O.closest(a, q, radius=4).collect()}
+    pairs = [(i, s, j, t) for i, s in ((0, "ACGT" * 40), (1, "ACGTACGT")) for j, t in ((7, "ACGTACGA"), (8, "AC"))]
+    dist = dict(zip([(j, i) for i, _, j, _ in pairs], alignment_distances([p[3] for p in pairs], [p[1] for p in pairs]), strict=True))
+    assert got == {j: min(((d, i) for (x, i), d in dist.items() if x == j))[::-1] for j in (7, 8)}
+
+
+def test_pairs_within_blocks(spark, monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK", 8)
+    draw = np.random.default_rng(4)
+    pts = draw.random((45, 3))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "seq_id long, values array<double>")
+    for metric, order in (("l1", 1), ("l2", 2)):
+        want = sorted((i, j) for i in range(45) for j in range(45) if np.linalg.norm(pts[i] - pts[j], order) <= 0.4)
+        assert sorted((r.i, r.j) for r in pairs_within(df, 0.4, metric).collect()) == want
+
+
 def test_adaptive_layers_runs_until_one_cluster(spark, tmp_path):
     """One cluster at 1.13, none at half of it and up to 0.7: the scan has to go on."""
     from helixframe.plans import catalog

@@ -64,6 +64,26 @@ def test_expansion_of_n(spark):
     assert [r.seq for r in rows] == ["AAT", "ACT", "AGT", "ATT", "AC"]
 
 
+def test_expansion_of_many_n(spark):
+    rows = O.n_expanded(seqs(spark, ["N" * 8 + "A"]))
+    assert rows.count() == 4**8 == rows.select("seq").distinct().count()
+    assert rows.where("k = 5").first().seq == "CCAAAAAAA"
+
+
+def test_windows_and_cuts_take_time_in_proportion(spark):
+    """Eight times the letters: not nearly sixty-four times the time."""
+    import time
+
+    def took(n):
+        own = seqs(spark, ["ACGTTCTAGAAC" * n] * 4)
+        began = time.time()
+        assert O.kmer_counts(own, 2).agg(F.sum("cnt")).first()[0] == 4 * (12 * n - 2) and O.digest(own, "XbaI").count() == 4 * (n + 1)
+        return time.time() - began
+
+    took(100)
+    assert took(16_000) < 24 * max(0.4, took(2_000))
+
+
 def test_length_window_and_colours(spark):
     assert [r.seq for r in O.length_window(seqs(spark, ["A", "AA", "AAA"]), 2, 0, 5).orderBy("seq_id").collect()] == ["A", "AA"]
     row = spark.range(1).select(G.faded(F.lit("#102040"), F.lit(0.5)).alias("c"), G.parse_node_label(F.lit("L1C2N30")).alias("n")).first()
