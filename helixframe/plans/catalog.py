@@ -22,7 +22,7 @@ from ..operators import projection as P
 from ..operators import sequences as O
 from ..sources import readers as R
 from ..sources import writers as W
-from ..storage import saved
+from ..storage import saved, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -253,10 +253,70 @@ def expand_n_sequences(spark, d):
     return O.n_expanded(own).select("seq_id", F.col("k").cast("long").alias("k"), "seq")
 
 
-@query("SELECT (doc_id * 1000000 + line_no) AS line_no, CASE WHEN line_no % 4 = 0 THEN regexp_replace(value, '^@', '>') ELSE value END AS value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL) WHERE line_no % 4 < 2")
+LINES = "lines AS (SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS n, value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"WITH {LINES} SELECT n AS line_no, CASE WHEN n % 4 = 0 THEN regexp_replace(value, '^@', '>') ELSE value END AS value FROM lines WHERE n % 4 < 2")
 def fastq_lines(spark, d):
-    own = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "value"))
-    return own.where("k % 4 < 2").select((F.col("doc_id") * 1000000 + F.col("k")).alias("line_no"), F.when(F.col("k") % 4 == 0, F.regexp_replace("value", "^@", ">")).otherwise(F.col("value")).alias("value"))
+    """The documents as one file of lines, read as four-line records."""
+    path = shared_path(spark)
+    W.write_text(table(spark, d, "documents").where("text is not null"), "text", path, "doc_id")
+    return R.fastq_to_fasta(spark, path)
+
+
+@query(f"WITH {SEQ} SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, seq, length(seq) AS seq_len FROM seqs")
+def fasta_round_trip(spark, d):
+    """Written as FASTA and read again: ids are places in the file."""
+    path = shared_path(spark)
+    W.write_fasta(seqs(spark, d), path)
+    return R.read_fasta(spark, path)
+
+
+@query(f"WITH {SEQ}, {KMER2}, {UNIVERSE2} SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, counts FROM (SELECT seq_id, string_agg(coalesce(cnt, 0)::VARCHAR, ',' ORDER BY kmer_idx) AS counts FROM (SELECT seq_id, kmer_idx, kmer FROM seqs, u) LEFT JOIN km USING (seq_id, kmer) GROUP BY seq_id)")
+def kmer_table_round_trip(spark, d):
+    path = shared_path(spark)
+    W.write_kmer_table(O.kmer_dense(seqs(spark, d), 2), path)
+    return R.read_kmer_table(spark, path).select("seq_id", F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), ",").alias("counts"))
+
+
+@query(f"WITH {SEQ} SELECT count(*) AS n_samples, 16 AS n_features FROM seqs")
+def kmer_table_shape(spark, d):
+    path = shared_path(spark)
+    W.write_kmer_table(O.kmer_dense(seqs(spark, d), 2), path)
+    return R.table_shape(R.read_kmer_table(spark, path))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id, k) - 1 AS n, round(v, 6) AS value FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS k FROM embeddings)")
+def projection_round_trip(spark, d):
+    """Vectors written with six decimals and read again, value by value."""
+    path = shared_path(spark)
+    W.write_projections(points(spark, d), path)
+    dims = len(points(spark, d).first()["values"])
+    rows = R.read_projections(spark, path, dims).select("seq_id", F.posexplode("values").alias("k", "v"))
+    return rows.select((F.col("seq_id") * dims + F.col("k")).alias("n"), F.round("v", 6).alias("value"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq_id, quality AS mask FROM labels")
+def mask_round_trip(spark, d):
+    path = shared_path(spark)
+    W.write_text(mask(spark, d).select("seq_id", F.col("mask").cast("string").alias("mask")), "mask", path, "seq_id")
+    return R.read_mask(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS seq_id, regexp_extract(p_name, '^\\s*(\\S+)', 1) AS annotation FROM part")
+def annotation_round_trip(spark, d):
+    path = shared_path(spark)
+    W.write_text(table(spark, d, "part"), "p_name", path, "p_partkey")
+    return R.read_annotation(spark, path)
+
+
+@query("SELECT o_orderkey::INTEGER AS layer, o_totalprice::DOUBLE AS epsilon FROM orders")
+def clustering_log_round_trip(spark, d):
+    """Lines of a clustering log among others, one for every order."""
+    path = shared_path(spark)
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("Epsilon at layer "), "o_orderkey", F.lit(": "), F.col("o_totalprice").cast("double").cast("string")).alias("line"))
+    W.write_text(rows.unionByName(rows.select("o_orderkey", F.lit("Coverage at layer").alias("line"))), "line", path, "o_orderkey")
+    return R.read_clustering_log(spark, path)
 
 
 def sw_cte(pairs: str) -> str:
@@ -449,6 +509,12 @@ def layer_membership(spark, d):
     return membership(spark, d)
 
 
+@query(LAYERS + "SELECT * FROM mm")
+def split_set_round_trip(spark, d):
+    """The layers packed as binary split sets and unpacked."""
+    return R.unpacked(W.split_set_bytes(membership(spark, d)))
+
+
 @query(LAYERS + "SELECT * FROM ed")
 def layer_edges(spark, d):
     return L.layer_edges(membership(spark, d))
@@ -622,6 +688,14 @@ def covariance(spark, d):
     return P.covariance(points(spark, d)).select("a", "b", F.round("cov", 9).alias("cov"))
 
 
+@query("WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS k FROM embeddings), c AS (SELECT p.k AS a, q.k AS b, covar_pop(p.v, q.v) AS cov FROM x p JOIN x q ON p.vec_id = q.vec_id GROUP BY ALL) SELECT count(*) FILTER (a = b) AS n_values, round(sum(cov) FILTER (a = b), 6) AS total, round(sum(cov * cov), 6) AS squares FROM c")
+def eigenvalue_sums(spark, d):
+    """Eigenvalues sum to the trace of the covariance, and their squares to its squared norm."""
+    values, _ = P.principal_components(points(spark, d), 1)
+    rows = spark.createDataFrame([(float(v),) for v in values], "value double")
+    return rows.agg(F.count("*").alias("n_values"), F.round(F.sum("value"), 6).alias("total"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("squares"))
+
+
 @query()
 def pca_projection_abs(spark, d):
     return P.pca(points(spark, d), 3).select("seq_id", F.transform("values", F.abs).alias("values"))

@@ -115,3 +115,14 @@ def read_split_sets(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame([(layer, c, m) for c, m in decode_split_set(data)], columns=["layer", "cluster", "seq_id"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "layer int, cluster int, seq_id long")
+
+
+def unpacked(sets: DataFrame) -> DataFrame:
+    """membership of sets(layer, data), binary split sets in a table."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for layer, data in zip(p["layer"], p["data"], strict=True):
+                yield pd.DataFrame([(layer, c, m) for c, m in decode_split_set(data)], columns=["layer", "cluster", "seq_id"])
+
+    return sets.mapInPandas(run, "layer int, cluster int, seq_id long")

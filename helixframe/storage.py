@@ -23,9 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read from there."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
