@@ -200,7 +200,7 @@ class Codec:
         waiting = np.flatnonzero(pair >= 0)
         waiting = waiting[np.argsort(pair[waiting], kind="stable")]
         ranks, first = np.unique(pair[waiting], return_index=True)
-        for r, own in zip(ranks.tolist(), np.split(waiting, first[1:]), strict=True):
+        for r, own in zip(ranks.tolist(), np.split(waiting, first[1:]) if len(ranks) else [], strict=True):
             queue.fill(r, own.tolist())
         while (got := queue.pop_all()) is not None:
             r, own = got
@@ -255,7 +255,11 @@ class Codec:
             known[t] = got[0] if len(got) == 1 else (sum([x[0] for x in got]), " ".join([x[1] for x in got]), b"".join([x[2] for x in got]))
 
     def summaries(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
-        """(number of ids, ids as decimals joined by a space, decoded bytes) of every text."""
+        """(number of ids, ids as decimals joined by a space, decoded bytes) of every text.
+
+        Texts are cut before single spaces that stand between other characters.  That is right for patterns, such as the one of the
+        public tokenizers, whose matches hold a space only as their first character or in a run of white space.
+        """
         split = [t.split(" ") for t in texts]
         words = {w for own in split for w in own[1:]}
         odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
