@@ -54,3 +54,21 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     if n:
         raise RuntimeError("the components did not settle")
     return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, comp) after links(a, b) of nodes have joined their components.  Only the distinct links between components are
+    followed, so links inside a group cost nothing more."""
+    own = labels.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), labels.select(F.col("node").alias("b"), F.col("comp").alias("b_comp"))
+    between = links.join(own[0], "a").join(own[1], "b").where("a_comp <> b_comp").select(F.least("a_comp", "b_comp").alias("lo"), F.greatest("a_comp", "b_comp").alias("hi")).distinct()
+    up = components(between, "lo", "hi").select(F.col("id").alias("comp"), F.col("comp").alias("_up"))
+    return saved(labels.join(small(up), "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp")))
+
+
+def next_leads(rows: DataFrame) -> DataFrame:
+    """A new lead for every bucket of rows(bucket, node, comp, open) with open rows of several components or beside closed ones: the
+    open node that stands in most rows."""
+    degree = rows.where("open").groupBy("node").agg(F.count("*").alias("degree"))
+    picked = rows.where("open").join(small(degree), "node").groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("lead"))
+    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    return picked.join(mixed, "bucket", "left_semi")
