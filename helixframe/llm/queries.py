@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_main, langid, license, linededup, neardup, quality, substring, toxicity
+from . import bpe, decontam, html_main, langid, license, linededup, merkle, neardup, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_license": op2_license,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
     "op10_substring": op10_substring,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLES: dict[str, str] = {"op2_license": license.oracle_sql()}
+ORACLES: dict[str, str] = {"op2_license": license.oracle_sql(), "op11_merkle": merkle.oracle_sql()}

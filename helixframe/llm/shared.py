@@ -72,3 +72,17 @@ def next_leads(rows: DataFrame) -> DataFrame:
     picked = rows.where("open").join(small(degree), "node").groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("lead"))
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     return picked.join(mixed, "bucket", "left_semi")
+
+
+def positions(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows with pos, from 0 in each group in the given order, and n, the size of the group; group columns are never null.
+
+    rows should be a stored table: a range sort samples it first.  No group has to fit in a task: ranges are numbered in place
+    and start where those before them end.  The offsets number as many rows as ranges and groups together.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = saved(rows.repartitionByRange(ranges, *group, *order).sortWithinPartitions(*group, *order).withColumn("_place", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_place", 33)))
+    parts = placed.groupBy(*group, "_range").agg(F.count("*").alias("_m"), F.min("_place").alias("_first"))
+    ahead = Window.partitionBy(*group).orderBy("_range")
+    offsets = saved(parts.select(*group, "_range", (F.sum("_m").over(ahead) - F.col("_m") - F.col("_first")).alias("_shift"), F.sum("_m").over(Window.partitionBy(*group)).alias("n")))
+    return placed.join(small(offsets), [*group, "_range"]).select(*rows.columns, (F.col("_place") + F.col("_shift")).alias("pos"), "n")
