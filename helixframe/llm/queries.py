@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_main, langid, license, linededup, merkle, neardup, quality, substring, toxicity
+from . import bpe, collocations, decontam, html_main, langid, license, linededup, merkle, neardup, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_license": op2_license,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_substring": op10_substring,
     "op11_merkle": op11_merkle,
+    "op12_collocations": op12_collocations,
 }
 
-ORACLES: dict[str, str] = {"op2_license": license.oracle_sql(), "op11_merkle": merkle.oracle_sql()}
+ORACLES: dict[str, str] = {"op2_license": license.oracle_sql(), "op11_merkle": merkle.oracle_sql(), "op12_collocations": collocations.oracle_sql()}
