@@ -35,7 +35,7 @@ from .textscan import Scan, mix, slices
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A longer phrase swallows a part of it if it has at least so many in a hundred of its occurrences.
 SWALLOWS = 50
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 SLICE_GROUPS = 4_000_000
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -98,7 +98,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in _BLOCK.split(", ")])
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 21):
             langs = b.column(0).to_pylist()
             for lang in sorted(set(langs)):
                 words = Words(b.column(1).filter(pa.array([x == lang for x in langs])))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontam, html_main, langid, license, linededup, merkle, neardup, quality, substring, toxicity
+from . import bpe, bytededup, collocations, decontam, html_main, langid, license, linededup, merkle, neardup, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_bytededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytededup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_license": op2_license,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring": op10_substring,
     "op11_merkle": op11_merkle,
     "op12_collocations": op12_collocations,
+    "op13_bytededup": op13_bytededup,
 }
 
 ORACLES: dict[str, str] = {"op2_license": license.oracle_sql(), "op11_merkle": merkle.oracle_sql(), "op12_collocations": collocations.oracle_sql()}

@@ -13,10 +13,10 @@ SCHEMA = "doc_id long, text string, lang string, phrase string, n long"
 
 def plain(rows, least, longest, top):
     out = []
-    for lang in {r[2] or "und" for r in rows}:
+    for lang in {"und" if r[2] is None else r[2] for r in rows}:
         f, n = Counter(), 0
         for r in rows:
-            if (r[2] or "und") == lang and r[1]:
+            if ("und" if r[2] is None else r[2]) == lang and r[1]:
                 for piece in re.split("[.,;:!?\n-\r]", re.sub("[A-Z]", lambda m: m[0].lower(), r[1])):
                     w = re.findall("[^ \t]+", piece)
                     n += len(w)
