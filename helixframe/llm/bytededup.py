@@ -145,17 +145,25 @@ def sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     key = chunk[at]
     new = np.ones(len(at), dtype=bool)
     new[1:] = key[1:] != key[:-1]
-    done = 8
-    while done < depth:
-        lone = new & np.append(new[1:], True)
-        tied = np.flatnonzero(~lone)
+    lone = new & np.append(new[1:], True)
+    tied = np.flatnonzero(~lone)
+    for done in range(8, depth, 8):
         if not len(tied):
             break
-        group = np.cumsum(new[tied])
-        order, fresh = ranked(chunk[at[tied] + done], group)
-        at[tied] = at[tied][order]
-        new[tied] = fresh
-        done += 8
+        # a group whose next symbols are all equal stays as it is; only the others are sorted
+        first = new[tied]
+        key, group = chunk[at[tied] + done], np.cumsum(first) - 1
+        differs = np.zeros(len(tied), dtype=bool)
+        differs[1:] = ~first[1:] & (key[1:] != key[:-1])
+        parted = np.zeros(int(group[-1]) + 1, dtype=bool)
+        parted[group[differs]] = True
+        own = parted[group]
+        if own.any():
+            order, fresh = ranked(key[own], group[own])
+            sub = tied[own]
+            at[sub] = at[sub][order]
+            new[sub] = fresh
+            tied = tied[~(new[tied] & np.append(new, True)[tied + 1])]
     return at
 
 
@@ -202,13 +210,14 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Of each suffix in the order and the next, whether they share `depth` symbols: compared by 8 symbols at a time, as far as they agree."""
+    """Of each suffix in the order and the next, whether they share `depth` symbols: compared by 8 symbols at a time, as far as they
+    agree, from the end, where those that differ do so first."""
     padded = np.concatenate([text, np.zeros(depth + 8, dtype=np.uint8)])
     chunk = np.zeros(len(text) + depth, dtype=np.uint64)
     for j in range(8):
         chunk |= padded[j : j + len(chunk)].astype(np.uint64) << _U(56 - 8 * j)
     left = np.arange(len(order) - 1)
-    for done in range(0, depth, 8):
+    for done in reversed(range(0, depth, 8)):
         left = left[chunk[order[left] + done] == chunk[order[left + 1] + done]]
     out = np.zeros(max(0, len(order) - 1), dtype=bool)
     out[left] = True
