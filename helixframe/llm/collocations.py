@@ -64,12 +64,18 @@ class Words:
         new[1:] = breaks[scan.starts[1:]] != breaks[scan.ends[:-1]]
         first = scan.ptr[:-1]
         new[first[(first > 0) & (first < len(new))]] = 1
-        self.place = np.arange(len(new)) + np.cumsum(new)
+        self.place = (np.arange(len(new)) + np.cumsum(new)).astype(np.int32)
         self.hash = scan.words
         self.size = len(new)
-        key, at = np.unique(self.hash, return_index=True)
-        raw = scan.buf.tobytes()
-        self.text = dict(zip(key.tolist(), (raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(scan.starts[at], scan.ends[at], strict=True)), strict=True))
+        self.key, at = np.unique(self.hash, return_index=True)
+        self.text = strings(scan.buf, scan.starts[at], scan.ends[at])
+
+
+def strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans of a buffer as strings; no Python object is made for a word."""
+    off = np.concatenate([[0], np.cumsum(end - start)])
+    inner = np.repeat(start - off[:-1], end - start) + np.arange(off[-1])
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[inner])))
 
 
 _BLOCK = "lang string, block long, size long, words array<string>, counts array<long>, places binary, codes binary"
@@ -87,16 +93,16 @@ def word_blocks(docs: DataFrame) -> DataFrame:
             own = held.pop(lang)
             places, start = [], 0
             for x in own:
-                places.append(x.place + start)
+                places.append(x.place.astype(np.int64) + start)
                 start += int(x.place[-1]) + 2
             key, code, n = np.unique(np.concatenate([x.hash for x in own]), return_inverse=True, return_counts=True)
-            text: dict[int, str] = {}
-            for x in own:
-                text.update(x.text)
+            _, at = np.unique(np.concatenate([x.key for x in own]), return_index=True)
+            text = pa.concat_arrays([x.text for x in own]).take(pa.array(at))
             made += 1
-            row = [lang, (task << 32) + made, len(code), [text[k] for k in key.tolist()], n.tolist(), packed(np.diff(np.concatenate(places), prepend=0), np.int32), packed(code, np.int32)]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in _BLOCK.split(", ")])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            columns = [pa.array([lang]), pa.array([(task << 32) + made]), pa.array([len(code)]), one(text), one(pa.array(n.astype(np.int64)))]
+            columns += [pa.array([packed(x, np.int32)], pa.binary()) for x in (np.diff(np.concatenate(places), prepend=0), code)]
+            return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _BLOCK.split(", ")])
 
         for b in slices(batches, "text", 1 << 21):
             langs = b.column(0).to_pylist()
