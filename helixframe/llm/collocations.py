@@ -35,7 +35,7 @@ from .textscan import Scan, mix, slices
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A longer phrase swallows a part of it if it has at least so many in a hundred of its occurrences.
 SWALLOWS = 50
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 SLICE_GROUPS = 4_000_000
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
