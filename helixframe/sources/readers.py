@@ -11,34 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sequences import first_token
+from ..storage import saved, small
+from . import fasta_source
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value): the lines of a file, or of several in the order of their names, numbered from 0.
 
-    Spark counts the lines of each partition first and then numbers them in place (zipWithIndex); nothing is collected.
+    Lines are counted for each split of a file first; a line's number is its place in the split after the lines of the splits before.
+    There is one row of offsets a split.
     """
-    lines = spark.read.text(path)
-    rows = lines.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-    return spark.createDataFrame(rows, "line_no long, value string")
-
-
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, seq, seq_len): the first token of each line, in upper case; blank lines and names are passed over."""
-    return fasta_records(numbered_lines(spark, path))
-
-
-def fasta_records(lines: DataFrame) -> DataFrame:
-    """Records of lines(line_no, value).  The running count of headers is made in two steps, so that no task sees all lines:
-    headers per block of lines, then within blocks."""
-    head = F.col("value").startswith(">")
-    rows = lines.select("line_no", head.alias("head"), first_token(F.col("value")).alias("token"), F.floor(F.col("line_no") / 65536).alias("block"))
-    before = rows.groupBy("block").agg(F.count_if("head").alias("n")).select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
-    at = F.sum(F.col("head").cast("long")).over(Window.partitionBy("block").orderBy("line_no"))
-    owned = rows.withColumn("own", at).join(before, "block").select((F.col("before") + F.col("own") - 1).alias("seq_id"), "line_no", "head", "token")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head") & (F.col("token") != ""), F.struct("line_no", "token")))), lambda s: s["token"]), "")
-    return owned.where("seq_id >= 0").groupBy("seq_id").agg(body.alias("seq")).select("seq_id", "seq", F.length("seq").alias("seq_len"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    counts = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")
+    offsets = saved(counts.select("file", "start", (before - F.col("first")).alias("shift")))
+    return lines.join(small(offsets), ["file", "start"]).select((F.col("place") + F.col("shift")).alias("line_no"), "value")
+
+
+def read_fasta(spark: SparkSession, path: str, range_bytes: int = fasta_source.RANGE_BYTES) -> DataFrame:
+    """(seq_id, seq, seq_len): the first token of each line, in upper case; blank lines and names are passed over.  seq_id is the place in the
+    files; records are stored once parsed, and counted for each range."""
+    rows = fasta_source.scan(spark, path, range_bytes).withColumn("place", F.monotonically_increasing_id())
+    rows = saved(rows.select("seq", "seq_len", "place").withColumn("part", F.shiftright("place", 33)))
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = saved(counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")))
+    return rows.join(small(before), "part").select((F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("seq_id"), "seq", "seq_len")
 
 
 def fastq_to_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sequences import fasta_text, kmer_lines
+from . import fasta_source
 from .readers import MAGIC
 
 
@@ -20,7 +21,9 @@ def write_text(rows: DataFrame, column: str, path: str, *order: str) -> None:
 
 
 def write_fasta(seqs: DataFrame, path: str) -> None:
-    write_text(fasta_text(seqs), "record", path, "seq_id")
+    """Files that follow each other by seq_id: a range sort, and the data source's committed files."""
+    fasta_source.register(seqs.sparkSession)
+    seqs.orderBy("seq_id").select("seq_id", "seq").write.format("fasta").mode("overwrite").save(path)
 
 
 def write_kmer_table(dense: DataFrame, path: str) -> None:
