@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sequences import kmers
+
 MATCH, GAP = 4, 3
 
 
@@ -84,6 +86,74 @@ def sw_distances(pairs: DataFrame, a: str, b: str, to: str = "dist") -> DataFram
     return pairs.mapInPandas(run, schema)
 
 
+def lost_grams(most: float, q: int) -> int:
+    """How many q-grams of either sequence an alignment distance of `most` can destroy.
+
+    Let u letters of a sequence have no equal partner.  The distance is at least 4 u + 4 x + 3 g with x mismatches and g gap letters, and u
+    is at least x, the gap letters of this side, and the letters left out at the ends together.  So a mismatch costs 8 and destroys q
+    grams, a gap letter of this side costs 7 and destroys q, one of the other side costs 3 and destroys q - 1, a letter left out
+    costs 4 and destroys 1.  The third of these destroys most for its cost.
+    """
+    return int(max(most, 0) * max((q - 1) / 3, q / 7, 1 / 4) + 1e-9)
+
+
+def gram_length(most: float, typical: float) -> int:
+    """The longest q, 3 to 12, whose loss leaves grams to sequences a tenth shorter than the typical length: the longer, the rarer."""
+    return max([q for q in range(3, 13) if 1.1 * (lost_grams(most, q) + q) <= typical], default=3)
+
+
+def operand_length() -> Column:
+    """Letters of the compared operand: as many as the sequence has, for the end mark stands for the first one, but one at least."""
+    return F.greatest(F.lit(1), F.length("seq"))
+
+
+def rare_grams(seqs: DataFrame, most: float, q: int) -> DataFrame:
+    """(side, id, size, token): the rarest lost_grams + 1 grams of each of seqs(side, id, seq), and none of sequences with no more grams.
+
+    Grams are those of the compared operand, without the first letter and with an end mark; a gram that stands in a sequence for the
+    second time is a token of its own.  Tokens are ordered by their number in all sequences.
+    """
+    loss = lost_grams(most, q)
+    own = seqs.where(F.length("seq") - q + 1 > loss).select("side", "id", operand_length().alias("size"), F.explode(kmers(F.concat(F.expr("substring(seq, 2)"), F.lit("$")), q, True)).alias("gram"))
+    each = own.groupBy("side", "id", "size", "gram").agg(F.count("*").alias("n"))
+    tokens = each.select("side", "id", "size", F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: F.xxhash64("gram", k))).alias("token"))
+    spread = tokens.groupBy("token").agg(F.count("*").alias("spread"))
+    ranked = tokens.join(spread, "token").groupBy("side", "id", "size").agg(F.slice(F.array_sort(F.collect_list(F.struct("spread", "token"))), 1, loss + 1).alias("first"))
+    return ranked.select("side", "id", "size", F.explode("first.token").alias("token"))
+
+
+def near_candidates(left: DataFrame, right: DataFrame, most: float, q: int | None = None) -> DataFrame:
+    """(i, j), each pair once, of left(seq_id, seq) and right(seq_id, seq) that may lie within an alignment distance of `most`.
+
+    Two sequences that lie so near and have more grams than the distance can destroy share a gram, and if each has its grams in one order,
+    also one of the first lost + 1 of both (prefix filter): an equi-join on rare grams, however many sequences have one length.
+    Sequences with fewer grams meet all of lengths in reach, by bands of lengths; they are at most lost + q letters long, and their
+    partners most / 4 longer.
+    """
+    if q is None:
+        q = gram_length(most, left.agg(F.avg(F.length("seq"))).first()[0] or 0)
+    loss = lost_grams(most, q)
+    sides = left.select(F.lit(0).alias("side"), F.col("seq_id").alias("id"), "seq").unionByName(right.select(F.lit(1).alias("side"), F.col("seq_id").alias("id"), "seq"))
+    tokens = rare_grams(sides, most, q)
+    side = lambda k, name: tokens.where(F.col("side") == k).select(F.col("id").alias(name), F.col("size").alias(f"{name}_size"), "token")
+    close = 4 * F.abs(F.col("i_size") - F.col("j_size")) <= most
+    long = side(0, "i").join(side(1, "j"), "token").where(close).select("i", "j")
+    band = F.floor(operand_length() / max(1, int(most // 4) + 1)).cast("long")
+    reach = loss + q - 1 + most / 4
+    plain = lambda t, name, bands: t.where(F.length("seq") <= reach).select(F.col("seq_id").alias(name), operand_length().alias(f"{name}_size"), bands.alias("band"))
+    short = plain(left, "i", band).join(plain(right, "j", F.explode(F.array(band - 1, band, band + 1))), "band")
+    short = short.where(close).where(F.least("i_size", "j_size") - q + 1 <= loss).select("i", "j")
+    return long.unionByName(short).distinct()
+
+
+def near_pairs(left: DataFrame, right: DataFrame, most: float, half: bool = False, q: int | None = None) -> DataFrame:
+    """(i, j, a, b, dist) of the pairs within an alignment distance of `most`; with half those with i <= j only."""
+    found = near_candidates(left, right, most, q)
+    found = found.where("i <= j") if half else found
+    both = found.join(left.select(F.col("seq_id").alias("i"), F.col("seq").alias("a")), "i").join(right.select(F.col("seq_id").alias("j"), F.col("seq").alias("b")), "j")
+    return sw_distances(both.select("i", "j", "a", "b"), "a", "b").where(F.col("dist") <= most)
+
+
 #: Points of a block; a cell of the pair join holds two blocks.
 BLOCK = 1024
 
@@ -99,15 +169,10 @@ def pairs_within(points: DataFrame, eps: float, metric: str = "l2") -> DataFrame
     """(i, j, dist), i and j of points(seq_id, values or seq), for every pair, i = j included, with dist at most eps.
 
     l1 and l2: points are dealt into blocks of about BLOCK by hash, and every two blocks meet in a cell of their own, where numpy
-    finds the pairs; so no key holds more than two blocks, however the points lie.  sw: four times the difference of
-    the lengths bounds the distance, which makes the join an equi-join on bands of lengths.
+    finds the pairs; so no key holds more than two blocks, however the points lie.  sw: see near_candidates.
     """
     if metric == "sw":
-        band = F.floor(F.length("seq") / F.lit(max(1, int(eps // 4) + 1))).cast("long")
-        left = points.select(F.col("seq_id").alias("i"), F.col("seq").alias("a"), band.alias("band"))
-        right = points.select(F.col("seq_id").alias("j"), F.col("seq").alias("b"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-        both = left.join(right, "band").where("i <= j").where(F.abs(F.length("a") - F.length("b")) * 4 <= eps)
-        half = sw_distances(both.select("i", "j", "a", "b"), "a", "b").where(F.col("dist") <= eps).select("i", "j", "dist")
+        half = near_pairs(points, points, eps, half=True).select("i", "j", "dist")
         return half.select("dist", F.explode(F.when(F.col("i") < F.col("j"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j")))).alias("p")).select("p.i", "p.j", "dist")
     blocks = -(-points.count() // BLOCK) or 1
     own = points.select("seq_id", "values", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).alias("block"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sequences as S
-from ..functions.distance import sw_distances
+from ..functions.distance import near_pairs
 from ..storage import saved
 
 
@@ -120,19 +120,9 @@ def exact_lookup(seqs: DataFrame, queries: DataFrame) -> DataFrame:
     return seqs.join(queries.select("seq").distinct(), "seq", "left_semi")
 
 
-def near_lengths(seqs: DataFrame, targets: DataFrame, most: float) -> DataFrame:
-    """The pairs (seq_id, seq, target_id, target) whose lengths allow an alignment distance of at most `most`: an equi-join on bands
-    of lengths."""
-    width = F.lit(max(1, int(most // 4) + 1))
-    band = F.floor(F.length("seq") / width)
-    own = seqs.select("seq_id", "seq", band.alias("band"))
-    theirs = targets.select(F.col("seq_id").alias("target_id"), F.col("seq").alias("target"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    return own.join(theirs, "band").where(4 * F.abs(F.length("seq") - F.length("target")) <= most).select("seq_id", "seq", "target_id", "target")
-
-
 def near_sequences(seqs: DataFrame, targets: DataFrame, most: float) -> DataFrame:
-    """(seq_id, target_id, dist) of the sequences within an alignment distance; lengths that cannot reach it go first."""
-    return sw_distances(near_lengths(seqs, targets, most), "seq", "target").where(F.col("dist") <= most).select("seq_id", "target_id", "dist")
+    """(seq_id, target_id, dist) of the sequences within an alignment distance of targets."""
+    return near_pairs(seqs, targets, most).select(F.col("i").alias("seq_id"), F.col("j").alias("target_id"), "dist")
 
 
 def satellites(seqs: DataFrame, target: DataFrame, size: int, plus: int, minus: int, most: float) -> DataFrame:
@@ -142,17 +132,15 @@ def satellites(seqs: DataFrame, target: DataFrame, size: int, plus: int, minus:
 def closest(seqs: DataFrame, queries: DataFrame, radius: float = 64) -> DataFrame:
     """For every query its nearest sequence; ties go to the smallest id.
 
-    Sequences of similar length are tried first.  The distance is at least four times the difference of the lengths, so a query
-    whose best distance lies within the radius is settled; for the others the radius grows fourfold.
+    All sequences within a radius are found by their rare grams, so a query that has one there is settled; for the others the radius
+    grows fourfold, up to four times the longest length, beyond which no distance lies.
     """
     left = saved(queries.select("seq_id", "seq"))
     done = None
     longest = max(x or 0 for t in (seqs, left) for x in t.agg(F.max(F.length("seq"))).first())
     while True:
-        pairs = near_lengths(seqs, left, radius).select("target_id", "seq_id", "target", "seq")
-        rows = sw_distances(pairs, "target", "seq")
-        best = saved(rows.groupBy("target_id").agg(F.min(F.struct("dist", "seq_id")).alias("best")).select(F.col("target_id").alias("query_id"), "best.seq_id", "best.dist"))
-        settled = best if radius >= 4 * longest else best.where(F.col("dist") <= radius)
+        rows = near_pairs(left, seqs, radius)
+        settled = saved(rows.groupBy("i").agg(F.min(F.struct("dist", F.col("j").alias("seq_id"))).alias("best")).select(F.col("i").alias("query_id"), "best.seq_id", "best.dist"))
         done = settled if done is None else done.unionByName(settled)
         left = left.join(settled.select(F.col("query_id").alias("seq_id")), "seq_id", "left_anti")
         if radius >= 4 * longest or not left.limit(1).count():
