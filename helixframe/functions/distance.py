@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import saved
 from .sequences import kmers
 
 MATCH, GAP = 4, 3
@@ -154,8 +155,8 @@ def near_pairs(left: DataFrame, right: DataFrame, most: float, half: bool = Fals
     return sw_distances(both.select("i", "j", "a", "b"), "a", "b").where(F.col("dist") <= most)
 
 
-#: Points of a block; a cell of the pair join holds two blocks.
-BLOCK = 1024
+#: Points of a block of a cell; cells, at most.
+BLOCK, MOST_CELLS = 1024, 1024
 
 
 def norms(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -165,41 +166,134 @@ def norms(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0)
 
 
-def pairs_within(points: DataFrame, eps: float, metric: str = "l2") -> DataFrame:
+def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    return norms(a, b, metric) if metric == "l1" else np.sqrt(norms(a, b, metric))
+
+
+def pivots(points: DataFrame, n: int, metric: str) -> np.ndarray:
+    """At most n points that lie far from each other, of a sample of 4 n by hash; the sample is all that comes to the driver."""
+    rows = points.select("values", F.xxhash64("seq_id").alias("h"), "seq_id").orderBy("h", "seq_id").limit(4 * n).collect()
+    sample = np.array([r["values"] for r in rows], dtype=np.float64)
+    if not len(sample):
+        return sample
+    picked, away = [0], distances(sample, sample[:1], metric)[:, 0]
+    while len(picked) < n and away.max() > 0:
+        picked.append(int(away.argmax()))
+        away = np.minimum(away, distances(sample, sample[picked[-1:]], metric)[:, 0])
+    return sample[picked]
+
+
+def in_cells(points: DataFrame, eps: float, metric: str, cells: int | None = None) -> DataFrame:
+    """points(seq_id, values) with home, the cell of the nearest pivot, and visits, the earlier cells that it may have partners in.
+
+    A point at distance r from its own pivot and d from another has a partner within eps in that cell only if d is at most the
+    cell's radius + eps and at most r + 2 eps (both by the triangle inequality).  A pair of two cells is found in the earlier one, so later
+    cells are not visited.
+    """
+    centres = pivots(points, cells or min(MOST_CELLS, -(-points.count() // BLOCK) or 1), metric)
+
+    def nearest(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        d = distances(np.stack(p["values"].to_numpy()).astype(np.float64), centres, metric)
+        home = d.argmin(axis=1)
+        return d, home, d[np.arange(len(d)), home]
+
+    def radii(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p):
+                _, home, r = nearest(p)
+                yield pd.DataFrame({"home": home, "r": r}).groupby("home", as_index=False).max()
+
+    far = np.full(max(1, len(centres)), -np.inf)
+    for row in points.mapInPandas(radii, "home long, r double").groupBy("home").agg(F.max("r").alias("r")).collect():  # one row a cell
+        far[row["home"]] = row["r"]
+
+    def visits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p):
+                d, home, r = nearest(p)
+                reach = np.minimum(far + eps, (r + 2 * eps)[:, None])
+                near = (d <= reach + 1e-6 * (1 + d)) & (np.arange(d.shape[1]) < home[:, None])
+                yield pd.DataFrame({"seq_id": p["seq_id"], "values": p["values"], "home": home, "visits": [np.flatnonzero(x) for x in near]})
+
+    return points.select("seq_id", "values").mapInPandas(visits, "seq_id long, values array<double>, home long, visits array<long>")
+
+
+def cell_sizes(placed: DataFrame) -> DataFrame:
+    """(cell, hosts, guests) of points in cells: at most MOST_CELLS rows.  The sum of guests over that of hosts is the number of copies of a
+    point beyond its own."""
+    rows = placed.select(F.explode(F.concat(F.array(F.struct(F.col("home").alias("cell"), F.lit(1).alias("own"))), F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(0).alias("own"))))).alias("s"))
+    return rows.groupBy("s.cell").agg(F.sum("s.own").alias("hosts"), F.sum(1 - F.col("s.own")).alias("guests"))
+
+
+def meetings(placed: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(cell, lo, hi, first, seq_id, values): hosts and guests of a cell in blocks of about `size`; every two blocks of hosts, and every block of
+    hosts and block of guests, meet under a key (cell, lo, hi) of their own, so no key holds more than two blocks."""
+    sizes_ = cell_sizes(placed).select("cell", F.ceil(F.col("hosts") / size).cast("long").alias("hb"), F.ceil(F.col("guests") / size).cast("long").alias("gb"))
+    cells = F.broadcast(saved(sizes_))
+    h = F.xxhash64("seq_id")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    key = lambda lo, hi, first: F.struct(lo.alias("lo"), hi.alias("hi"), first.alias("first"))
+    hosts = placed.select(F.col("home").alias("cell"), "seq_id", "values").join(cells, "cell").withColumn("own", F.pmod(h, F.col("hb")))
+    among = F.transform(upto(F.col("hb")), lambda b: key(F.least(F.col("own"), b), F.greatest(F.col("own"), b), F.col("own") <= b))
+    with_guests = F.transform(upto(F.col("gb")), lambda g: key(F.col("own"), F.col("hb") + g, F.lit(True)))
+    hosts = hosts.select("cell", "seq_id", "values", F.explode(F.concat(among, with_guests)).alias("k"))
+    guests = placed.select(F.explode("visits").alias("cell"), "seq_id", "values").join(cells, "cell").withColumn("own", F.pmod(h, F.col("gb")) + F.col("hb"))
+    guests = guests.select("cell", "seq_id", "values", F.explode(F.transform(upto(F.col("hb")), lambda b: key(b, F.col("own"), F.lit(False)))).alias("k"))
+    return hosts.unionByName(guests).select("cell", "k.lo", "k.hi", "k.first", "seq_id", "values")
+
+
+def both_ways(half: DataFrame) -> DataFrame:
+    """The pairs (i, j, dist) and those turned round, i = j once."""
+    turned = F.when(F.col("i") != F.col("j"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j")))
+    return half.select("dist", F.explode(turned).alias("p")).select("p.i", "p.j", "dist")
+
+
+def pairs_by_function(points: DataFrame, eps: float, metric: Callable[[Column, Column], Column], column: str, bound: Callable[[Column], Column] | None) -> DataFrame:
+    """(i, j, dist) for a distance of two columns.  bound maps a point to a number that differs by at most the distance: pairs meet by bands of
+    it; without one, all points meet, in blocks."""
+    left, right = (points.select(F.col("seq_id").alias(i), F.col(column).alias(v)) for i, v in (("i", "_a"), ("j", "_b")))
+    if bound is not None:
+        band = lambda v: F.floor(bound(F.col(v)) / (eps or 1.0)).cast("long")
+        both = left.withColumn("_band", band("_a")).join(right.withColumn("_band", F.explode(F.array(band("_b") - 1, band("_b"), band("_b") + 1))), "_band")
+    else:
+        blocks = F.lit(-(-points.count() // BLOCK) or 1)
+        both = left.withColumn("_x", F.pmod(F.xxhash64("i"), blocks)).withColumn("_y", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        both = both.join(right.withColumn("_y", F.pmod(F.xxhash64("j"), blocks)).withColumn("_x", F.explode(F.sequence(F.lit(0), blocks - 1))), ["_x", "_y"])
+    return both_ways(both.where("i <= j").select("i", "j", metric(F.col("_a"), F.col("_b")).alias("dist")).where(F.col("dist") <= eps))
+
+
+def pairs_within(points: DataFrame, eps: float, metric: str | Callable[[Column, Column], Column] = "l2", column: str = "values", bound: Callable[[Column], Column] | None = None) -> DataFrame:
     """(i, j, dist), i and j of points(seq_id, values or seq), for every pair, i = j included, with dist at most eps.
 
-    l1 and l2: points are dealt into blocks of about BLOCK by hash, and every two blocks meet in a cell of their own, where numpy
-    finds the pairs; so no key holds more than two blocks, however the points lie.  sw: see near_candidates.
+    l1 and l2: points go to the cell of the nearest pivot and to those that the triangle inequality leaves (in_cells), large cells are
+    split in blocks, and numpy finds the pairs of two blocks.  sw: see near_candidates.  A function of two columns: see
+    pairs_by_function, of `column` and with `bound`.
     """
+    if callable(metric):
+        return pairs_by_function(points, eps, metric, column, bound)
     if metric == "sw":
-        half = near_pairs(points, points, eps, half=True).select("i", "j", "dist")
-        return half.select("dist", F.explode(F.when(F.col("i") < F.col("j"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j")))).alias("p")).select("p.i", "p.j", "dist")
-    blocks = -(-points.count() // BLOCK) or 1
-    own = points.select("seq_id", "values", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).alias("block"))
-    own = own.select("seq_id", "values", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    cell = F.least("block", "other") * blocks + F.greatest("block", "other")
-    lower = F.col("block") <= F.col("other")
+        return both_ways(near_pairs(points, points, eps, half=True).select("i", "j", "dist"))
 
     def run(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        (first,), second = key, cell[~cell["lower"]]
-        own = cell[cell["lower"]]
-        if first % (blocks + 1) == 0:  # a block with itself
-            second = own
+        (_, lo, hi), first = key, cell["first"].to_numpy()
+        own = cell[first]
+        second = own if lo == hi else cell[~first]
         out = []
         ids, theirs = own["seq_id"].to_numpy(), second["seq_id"].to_numpy()
         if len(ids) and len(theirs):
             a, b = (np.stack(x["values"].to_numpy()).astype(np.float64) for x in (own, second))
             limit = eps if metric == "l1" else eps * eps
-            for lo in range(0, len(a), 256):
-                r, c = np.nonzero(norms(a[lo : lo + 256], b, metric) <= limit + 1e-9 * max(1.0, limit))
-                diff = a[lo + r] - b[c]
+            for at in range(0, len(a), 256):
+                r, c = np.nonzero(norms(a[at : at + 256], b, metric) <= limit + 1e-9 * max(1.0, limit))
+                diff = a[at + r] - b[c]
                 dist = np.abs(diff).cumsum(axis=1)[:, -1] if metric == "l1" else (diff * diff).cumsum(axis=1)[:, -1]
                 ok = dist <= limit
-                i, j, dist = ids[lo + r][ok], theirs[c][ok], dist[ok]
+                i, j, dist = ids[at + r][ok], theirs[c][ok], dist[ok]
                 dist = dist if metric == "l1" else np.sqrt(dist)
                 out.append(pd.DataFrame({"i": i, "j": j, "dist": dist}))
                 if second is not own:
                     out.append(pd.DataFrame({"i": j, "j": i, "dist": dist}))
         return pd.concat(out) if out else pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "dist": np.zeros(0)})
 
-    return own.select("seq_id", "values", cell.alias("cell"), lower.alias("lower")).groupBy("cell").applyInPandas(run, "i long, j long, dist double")
+    placed = saved(in_cells(points, eps, metric))
+    return meetings(placed).groupBy("cell", "lo", "hi").applyInPandas(run, "i long, j long, dist double")

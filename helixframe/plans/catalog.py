@@ -420,6 +420,12 @@ def l1_pairs(spark, d):
     return pairs_within(points(spark, d), 7.0, "l1").withColumn("dist", F.round("dist", 6))
 
 
+@query(f"WITH {pairs_cte('l1', 7.0)} SELECT i, j, round(dist, 6) AS dist FROM p")
+def l1_pairs_by_function(spark, d):
+    """The metric is a function of two columns, and sums differ by the distance at most."""
+    return pairs_within(points(spark, d), 7.0, l1, bound=lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).withColumn("dist", F.round("dist", 6))
+
+
 @query(f"WITH {pairs_cte('l2', 1.15)} SELECT i AS seq_id, count(*) AS n FROM p GROUP BY i")
 def neighbour_counts(spark, d):
     return C.neighbour_counts(pairs_within(points(spark, d), 1.15, "l2"))
