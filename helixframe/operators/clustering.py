@@ -9,7 +9,8 @@ whose label is below its own id, offers.  Clusters are numbered in the order of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,69 +70,188 @@ def coverage(points: DataFrame, membership: DataFrame) -> DataFrame:
     return membership.agg(F.count("*").alias("inside")).join(F.broadcast(n)).select((F.col("inside") / F.col("n")).alias("coverage"))
 
 
-def layers_at(points: DataFrame, epsilons: list[float], minpts: int, metric: str = "l2") -> DataFrame:
-    """membership(layer, cluster, seq_id) for ascending epsilons; the pairs are found once, for the largest."""
-    pairs = saved(pairs_within(points, max(epsilons), metric))
-    out = None
-    for k, eps in enumerate(sorted(epsilons)):
-        own = dbscan_pairs(pairs.where(F.col("dist") <= eps), minpts).select(F.lit(k).alias("layer"), "cluster", "seq_id")
-        out = own if out is None else out.unionByName(own)
+def label_steps(pairs: DataFrame, minpts: int, start: DataFrame | None = None, most_rounds: int = 500) -> DataFrame:
+    """(seq_id, at, label): the labels of density clustering at every step of a growing epsilon, in one fixpoint.
+
+    pairs(i, j, at) has both directions and i = j; at is the first step whose epsilon reaches the pair.  Labels only fall as
+    epsilon grows, so a point's labels over all steps are a falling staircase: a row for every step down.  A point's offer to a neighbour
+    holds from the step at which it has the label, reaches the neighbour, and is strong (weak is enough where the label is below its
+    id); staircases meet by keeping what is below all earlier rows.  Only rows that are new make offers in a round, and a label takes
+    over the later labels of the point it is named for.  So the work follows the number of steps down, not that of steps.
+
+    start is a result for a shorter reach of the same steps.
+    """
+    links = saved(pairs.select("i", "j", "at"))
+    nth = F.row_number().over(Window.partitionBy("i").orderBy("at"))
+    ranked = links.select("i", "at", nth.alias("nth")).where(F.col("nth").between(minpts, minpts + 1))
+    core = saved(ranked.groupBy("i").agg(F.max(F.when(F.col("nth") == minpts, F.col("at"))).alias("weak"), F.max(F.when(F.col("nth") == minpts + 1, F.col("at"))).alias("strong")))
+    late = lambda c: F.when(F.col(c).isNotNull(), F.greatest("at", c)).alias(c)
+    edges = saved(links.where("i <> j").join(core, "i").select("i", "j", late("weak"), late("strong")))
+    born = core.where("strong is not null").select(F.col("i").alias("seq_id"), F.col("strong").alias("at"), F.col("i").alias("label"))
+    rows = saved((born if start is None else born.unionByName(start.select("seq_id", "at", "label"))).groupBy("seq_id", "at").agg(F.min("label").alias("label")).withColumn("moved", F.lit(True)))
+    for _ in range(most_rounds):
+        fresh = rows.where("moved").select(F.col("seq_id").alias("i"), F.col("at").alias("since"), "label")
+        opens = F.when(F.col("label") < F.col("i"), F.col("weak")).otherwise(F.col("strong"))
+        offers = edges.join(small(fresh), "i").select(F.col("j").alias("seq_id"), F.greatest("since", opens).alias("at"), "label", opens.alias("opens")).where("opens is not null").drop("opens")
+        named = rows.select(F.col("seq_id").alias("label"), F.col("at").alias("then"), F.col("label").alias("lower")).where("lower < label")
+        jumps = rows.select("seq_id", "at", "label").join(small(named), "label").select("seq_id", F.greatest("at", "then").alias("at"), F.col("lower").alias("label"))
+        none = F.lit(None).cast("long").alias("was")
+        all_ = rows.select("seq_id", "at", "label", F.col("label").alias("was")).unionByName(offers.select("*", none)).unionByName(jumps.select("*", none))
+        best = all_.groupBy("seq_id", "at").agg(F.min("label").alias("label"), F.min("was").alias("was"))
+        above = F.min("label").over(Window.partitionBy("seq_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+        rows = saved(best.withColumn("above", above).where("above is null or label < above").select("seq_id", "at", "label", F.expr("was is null or was <> label").alias("moved")))
+        if not rows.where("moved").limit(1).count():
+            return rows.select("seq_id", "at", "label")
+    raise RuntimeError("the labels did not settle")
+
+
+def staircases(rows: DataFrame) -> DataFrame:
+    """rows(seq_id, at, label) with until, the step at which the next label comes, null for the last."""
+    return rows.withColumn("until", F.lead("at").over(Window.partitionBy("seq_id").orderBy("at")))
+
+
+def step_counts(rows: DataFrame) -> list[tuple[int, int, int]]:
+    """(step, clusters, members), for the steps at which these numbers change.  A cluster lives as long as the point it is named for has its
+    own label.  One row a step comes to the driver."""
+    stairs = staircases(rows)
+    own = F.col("label") == F.col("seq_id")
+    first = F.min("at").over(Window.partitionBy("seq_id")) == F.col("at")
+    births = stairs.select("at", own.cast("long").alias("clusters"), first.cast("long").alias("members"))
+    deaths = stairs.where(own & F.col("until").isNotNull()).select(F.col("until").alias("at"), F.lit(-1).cast("long").alias("clusters"), F.lit(0).cast("long").alias("members"))
+    out, clusters, members = [], 0, 0
+    for r in births.unionByName(deaths).groupBy("at").agg(F.sum("clusters").alias("c"), F.sum("members").alias("m")).orderBy("at").collect():
+        clusters, members = clusters + r["c"], members + r["m"]
+        out.append((r["at"], clusters, members))
     return out
 
 
-def least_core(pairs: DataFrame, minpts: int) -> float | None:
-    """The least epsilon at which a point is strong, if these pairs reach it."""
-    nth = F.row_number().over(Window.partitionBy("i").orderBy("dist"))
-    return pairs.select("dist", nth.alias("nth")).where(F.col("nth") == minpts + 1).agg(F.min("dist")).first()[0]
+def members_at(rows: DataFrame, layers: list[tuple[int, int]]) -> DataFrame:
+    """membership(layer, cluster, seq_id) at the steps of layers(layer, step)."""
+    known = F.array(*[F.struct(F.lit(n).alias("layer"), F.lit(k).cast("long").alias("k")) for n, k in layers])
+    inside = F.filter(known, lambda s: (s["k"] >= F.col("at")) & (F.col("until").isNull() | (s["k"] < F.col("until"))))
+    own = staircases(rows).select("seq_id", "label", F.explode(inside).alias("s")).select("s.layer", "label", "seq_id")
+    rank = own.select("layer", "label").distinct().select("layer", "label", (F.row_number().over(Window.partitionBy("layer").orderBy("label")) - 1).alias("cluster"))
+    return own.join(rank, ["layer", "label"]).select("layer", "cluster", "seq_id")
+
+
+def first_step(dist: Column, first: float, step: float) -> Column:
+    """The least k >= 0 with dist <= first + k * step, in double arithmetic."""
+    k = F.greatest(F.lit(0).cast("long"), F.ceil((dist - first) / step).cast("long"))
+    reach = lambda n: F.lit(first) + n * F.lit(step)
+    return F.when((k > 0) & (dist <= reach(k - 1)), k - 1).when(dist > reach(k), k + 1).otherwise(k)
+
+
+def first_of(dist: Column, epsilons: list[float]) -> Column:
+    """The number of the first of ascending epsilons that reaches dist; null beyond."""
+    out = F.lit(None).cast("long")
+    for k in range(len(epsilons) - 1, -1, -1):
+        out = F.when(dist <= epsilons[k], F.lit(k).cast("long")).otherwise(out)
+    return out
+
+
+def layers_at(points: DataFrame, epsilons: list[float], minpts: int, metric: str = "l2") -> DataFrame:
+    """membership(layer, cluster, seq_id) for ascending epsilons, from one sweep."""
+    epsilons = sorted(epsilons)
+    pairs = pairs_within(points, epsilons[-1], metric).select("i", "j", first_of(F.col("dist"), epsilons).alias("at"))
+    return members_at(label_steps(pairs, minpts), [(k, k) for k in range(len(epsilons))])
+
 
+LAYERS = "layer int, step long, epsilon double, epsilon_printed double, n_clusters int, coverage double"
 
-def adaptive_dbscan(points: DataFrame, eps: float, step: float, minpts: int, metric: str = "l2", max_steps: int | None = None, halvings: int = 20) -> tuple[DataFrame, DataFrame]:
+
+class Finished:
+    """The finished layers of a scan under a path: a table of members for each, and a manifest, which gets a row when a layer's table
+    is complete.  The sweep of the scan is kept beside them.  Another scan's path is refused."""
+
+    def __init__(self, spark: SparkSession, path: str, scan: str):
+        self.spark, self.path, self.scan = spark, path.rstrip("/"), scan
+        for row in self.read("scan", "scan string"):
+            if row["scan"] != scan:
+                raise ValueError(f"{path} holds another scan: {row['scan']}")
+
+    def read(self, name: str, schema: str) -> list:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").collect()
+        except AnalysisException:
+            return []
+
+    def layers(self) -> list[tuple]:
+        return sorted(tuple(r) for r in self.read("manifest", LAYERS))
+
+    def swept(self) -> tuple[DataFrame, list[tuple]] | None:
+        """The sweep, and the layers that it found, if it came to its end."""
+        if not self.read("scan", "scan string"):
+            return None
+        return self.spark.read.parquet(f"{self.path}/sweep"), sorted(tuple(r) for r in self.read("plan", LAYERS))
+
+    def keep_sweep(self, rows: DataFrame, plan: list[tuple]) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/sweep")
+        self.spark.createDataFrame(plan, LAYERS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/plan")
+        self.spark.createDataFrame([(self.scan,)], "scan string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/scan")
+
+    def table(self, layer: int) -> str:
+        return f"{self.path}/members/layer-{layer:05d}"
+
+    def finish(self, members: DataFrame, row: tuple) -> None:
+        members.write.mode("overwrite").parquet(self.table(row[0]))
+        self.spark.createDataFrame([row], LAYERS).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+
+def sweep(points: DataFrame, eps: float, step: float, minpts: int, metric: str, max_steps: int | None, halvings: int) -> tuple[DataFrame, list[tuple]]:
+    """(label_steps, layers) of an adaptive scan."""
+    n = points.count()
+    halves = [eps / 2**h for h in range(halvings, -1, -1)]
+    pairs = pairs_within(points, eps, metric).select("i", "j", first_of(F.col("dist"), halves).alias("at"))
+    clusters, at = [0] * len(halves), 0
+    for k, c, _ in [*step_counts(label_steps(pairs, minpts)), (len(halves), 0, 0)]:
+        clusters[at:k], at = [clusters[at - 1] if at else 0] * (k - at), k
+        if k < len(halves):
+            clusters[k], at = c, k + 1
+    while clusters.pop() == 1 and len(halves) > 1:
+        halves.pop()
+    first, reach, rows = halves[-1], 16, None
+    while True:
+        last = reach if max_steps is None else min(reach, max(0, max_steps - 1))
+        pairs = saved(pairs_within(points, first + last * step, metric))
+        rows = label_steps(pairs.select("i", "j", first_step(F.col("dist"), first, step).alias("at")).where(F.col("at") <= last), minpts, rows)
+        counts = step_counts(rows)
+        whole = last + 1 == max_steps or pairs.count() == n * n
+        end = next((k for k, c, _ in counts if c == 1), None)
+        if end is None and whole:
+            end = last if last + 1 == max_steps else int(pairs.agg(F.max(first_step(F.col("dist"), first, step))).first()[0] or 0)
+        if end is not None:
+            break
+        reach *= 4
+    layers, least = [], None
+    for k, c, m in counts:
+        if k <= end and c and (least is None or c < least):
+            least = c
+            layers.append((len(layers), k, float(first + k * step), float(first + (k + 1) * step), c, m / n))
+    return rows, layers
+
+
+def adaptive_dbscan(points: DataFrame, eps: float, step: float, minpts: int, metric: str = "l2", max_steps: int | None = None, halvings: int = 20, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(membership, layers): density clustering with a growing epsilon until one cluster is left.
 
     If the first scan has one cluster, epsilon is halved up to 20 times.  The scan ends with one cluster, or when epsilon has
-    reached the largest distance, or after max_steps if given.  Steps before the first strong point are passed over.  A layer is kept if it has fewer clusters than the last
-    kept one.  Every finished layer is in the shared folder at once.  Pairs are found for a reach that doubles when it is passed.
-    """
-    n = points.count()
+    reached the largest distance, or after max_steps if given.  A layer is kept if it has fewer clusters than the last kept one.
+    All steps come from one sweep (label_steps); its reach grows fourfold until the scan ends.
 
-    def scan(pairs: DataFrame, e: float) -> tuple[DataFrame, int]:
-        own = saved(dbscan_pairs(pairs.where(F.col("dist") <= e), minpts))
-        return own, own.select("cluster").distinct().count()
-
-    reach = eps
-    pairs = saved(pairs_within(points, reach, metric))
-    found, clusters = scan(pairs, eps)
-    while clusters == 1 and halvings:
-        eps, halvings = eps / 2, halvings - 1
-        found, clusters = scan(pairs, eps)
-    rows, membership, last, first = [], None, None, eps
-    k = 0
-    while max_steps is None or k < max_steps:
-        if k:
-            eps = first + k * step
-            if eps > reach:
-                reach = max(eps, min(2 * reach, eps + 4 * step))
-                pairs = saved(pairs_within(points, reach, metric))
-            found, clusters = scan(pairs, eps)
-        if clusters and (last is None or clusters < last):
-            last = clusters
-            own = found.select(F.lit(len(rows)).alias("layer"), "cluster", "seq_id")
-            membership = own if membership is None else membership.unionByName(own)
-            rows.append((len(rows), float(eps), float(first + (k + 1) * step), clusters, found.count() / n))
-        if clusters == 1 or pairs.where(F.col("dist") <= eps).count() == n * n:
-            break
-        k += 1
-        while not clusters and (max_steps is None or k < max_steps):
-            core = least_core(pairs, minpts)
-            if core is not None:
-                k = max(k, int((core - first) / step))
-                break
-            if pairs.count() == n * n:
-                k = max(k, int((pairs.agg(F.max("dist")).first()[0] - first) / step))
-                break
-            k = max(k, int((reach - first) / step))
-            reach *= 2
-            pairs = saved(pairs_within(points, reach, metric))
+    With path, the sweep and every finished layer are kept there, and a scan that was stopped goes on from what it finds.
+    """
     spark = points.sparkSession
-    table = spark.createDataFrame(rows, "layer int, epsilon double, epsilon_printed double, n_clusters int, coverage double")
-    return membership if membership is not None else spark.createDataFrame([], "layer int, cluster int, seq_id long"), table
+    done = Finished(spark, path, f"eps={eps!r} step={step!r} minpts={minpts} metric={metric} max_steps={max_steps} halvings={halvings}") if path else None
+    known = done.swept() if done else None
+    rows, layers = known or sweep(points, eps, step, minpts, metric, max_steps, halvings)
+    table = spark.createDataFrame(layers, LAYERS).drop("step")
+    if not layers:
+        return spark.createDataFrame([], "layer int, cluster int, seq_id long"), table
+    if not done:
+        return members_at(rows, [x[:2] for x in layers]), table
+    if not known:
+        done.keep_sweep(rows, layers)
+    finished = {x[0] for x in done.layers()}
+    for row in layers:
+        if row[0] not in finished:
+            done.finish(members_at(rows, [row[:2]]), row)
+    return spark.read.parquet(*[done.table(x[0]) for x in layers]), table
