@@ -67,24 +67,48 @@ def reachable(membership: DataFrame) -> DataFrame:
     return out
 
 
+def newick_table(membership: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """(newick) of the tree below cluster 0 of the last layer, one row; `;` without one.
+
+    The text is folded from the first layer up, one aggregation a layer: the texts of a cluster's children, last child first, are joined
+    where the cluster is.  lengths(layer, length) are those of a layer's branches, 1 where null.
+    """
+    nodes = tree_nodes(membership)
+    length = F.lit(1.0)
+    if lengths is not None:
+        nodes, length = nodes.join(F.broadcast(lengths.select("layer", "length")), "layer", "left"), F.coalesce("length", F.lit(1.0))  # a row a layer
+    nodes = nodes.select("layer", "cluster", "parent", F.concat("label", F.format_string(":%f", length)).alias("tail"))
+    last = membership.agg(F.max("layer")).first()[0]
+    own = None
+    for layer in range((last if last is not None else -1) + 1):
+        here = nodes.where(F.col("layer") == layer).select("cluster", "parent", "tail" if layer < last else F.lit(f"L{layer}C0;").alias("tail"))
+        if own is None:
+            own = here.select("cluster", "parent", F.col("tail").alias("text"))
+            continue
+        order = F.array_sort(F.collect_list(F.struct((-F.col("cluster")).alias("at"), "text")))
+        below = own.where("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.concat(F.lit("("), F.array_join(F.transform(order, lambda s: s["text"]), ","), F.lit(")")).alias("inner"))
+        own = here.join(below, "cluster", "left").select("cluster", "parent", F.concat(F.coalesce("inner", F.lit("")), "tail").alias("text"))
+    spark = membership.sparkSession
+    none = spark.range(1).select(F.lit(";").alias("none"))
+    if own is None:
+        return none.select(F.col("none").alias("newick"))
+    return none.join(F.broadcast(own.where("cluster = 0").agg(F.max("text").alias("text")))).select(F.coalesce("text", "none").alias("newick"))  # a row each
+
+
 def newick(membership: DataFrame, lengths: dict[int, float] | None = None) -> str:
-    """The tree as text.  Only its nodes, one a cluster, come to the driver."""
-    rows = reachable(membership).collect()
-    if not rows:
-        return ";"
-    last = max(r["layer"] for r in rows)
-    children: dict[tuple[int, int], list] = {}
-    for r in rows:
-        if r["layer"] < last:
-            children.setdefault((r["layer"] + 1, r["parent"]), []).append(r)
-    done: dict[tuple[int, int], str] = {}
-    for r in sorted(rows, key=lambda r: r["layer"]):
-        key = (r["layer"], r["cluster"])
-        below = sorted(children.get(key, []), key=lambda c: -c["cluster"])
-        inner = "(" + ",".join(done[c["layer"], c["cluster"]] for c in below) + ")" if below else ""
-        tail = f"L{last}C0" if r["layer"] == last else f"{r['label']}:{(lengths or {}).get(r['layer'], 1.0):f}"
-        done[key] = inner + tail
-    return done[last, 0] + ";"
+    """The text of newick_table."""
+    spark = membership.sparkSession
+    table = spark.createDataFrame(list(lengths.items()), "layer int, length double") if lengths else None
+    return newick_table(membership, table).first()[0]
+
+
+def newick_program(membership: DataFrame, layers: DataFrame | None = None, least: int = 0, mode: int = 0, dims: int = 0, minpts: int = 0) -> DataFrame:
+    """(newick) of the clusters with at least `least` members.  mode 0: branches of length 1; 1 and 2: lengths from the densities of
+    layers(layer, epsilon), as in branch_lengths."""
+    if mode not in (0, 1, 2) or (mode and layers is None):
+        raise ValueError("mode is 0, 1 or 2, and 1 and 2 want layers")
+    kept = min_size(membership, least) if least else membership
+    return newick_table(kept, branch_lengths(layers, dims, minpts, mode) if mode else None)
 
 
 def overlaps(membership: DataFrame, target: DataFrame) -> DataFrame:
@@ -161,3 +185,34 @@ def partitions_found(membership: DataFrame, n: int, partitions: int, precision:
     fit = sizes(membership).where(F.abs(F.col("n_members") - size) < slack)
     own = membership.join(fit.select("layer", "cluster"), ["layer", "cluster"], "left_semi").withColumn("partition_no", F.floor(F.col("seq_id") / size))
     return own.groupBy("layer", "cluster", "partition_no").agg(F.count("*").alias("k")).where(F.col("k") > size - slack).select("partition_no").distinct()
+
+
+def packed_mask(mask: DataFrame) -> DataFrame:
+    """(bucket, bits) of mask(seq_id, mask): a bitmap of 32,768 ids a row, for the ids whose mask is 1."""
+    on = mask.where("mask = 1")
+    return on.groupBy(F.bitmap_bucket_number("seq_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("seq_id")).alias("bits"))
+
+
+def mask_or(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The ids that are on in both, packed again where both have a bitmap of their bucket."""
+    shared = a.select("bucket").intersect(b.select("bucket"))
+    own, other = (unpacked_mask(m.join(shared, "bucket", "left_semi")) for m in (a, b))
+    return packed_mask(own.join(other, ["seq_id", "mask"], "left_semi"))
+
+
+def unpacked_mask(packed: DataFrame) -> DataFrame:
+    """(seq_id, mask) of the bits that are on."""
+    byte = "cast(conv(hex(substring(bits, i div 8 + 1, 1)), 16, 10) as int)"
+    at = F.expr(f"filter(sequence(0, 8 * length(bits) - 1), i -> shiftright({byte}, i % 8) & 1 = 1)")
+    # bucket 1 starts with id 1 and goes up, buckets from 0 down hold 0 and negative ids and go down
+    id_ = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + 1 + F.col("at")).otherwise(F.col("bucket") * 32768 - F.col("at"))
+    return packed.select("bucket", F.explode(at).alias("at")).select(id_.cast("long").alias("seq_id"), F.lit(1).alias("mask"))
+
+
+def matrix_annotation(points: DataFrame) -> DataFrame:
+    """(line): the header of a matrix view, the places of all sequences; the format is one line."""
+    return points.agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.array_join(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), "\t")).otherwise("").alias("line"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import sequences as S
+from ..functions import tables
 from ..functions.distance import l1, pairs_within, squared_l2
 from ..operators import clustering as C
 from ..operators import compare as K
@@ -223,6 +224,18 @@ for _name, _enzyme in (("digest_xbai", "XbaI"), ("digest_hindiii", "HindIII"), (
     register_digest(_name, _enzyme)
 
 
+@query(f"WITH {SEQ}, {KMER2} SELECT * FROM km")
+def udtf_fasta_kmers(spark, d):
+    tables.register(spark)
+    return spark.sql("SELECT seq_id, kmer, cnt FROM {own}, LATERAL fasta_kmers(seq, 2)", own=seqs(spark, d))
+
+
+@query(digest_sql(*S.ENZYMES["XbaI"]))
+def udtf_digest(spark, d):
+    tables.register(spark)
+    return spark.sql("SELECT seq_id, fragment, fragment_seq, fragment_len FROM {own}, LATERAL digest(seq, 'XbaI')", own=seqs(spark, d))
+
+
 @query(f"WITH {SEQ} SELECT seq_id, seq FROM seqs WHERE length(seq) BETWEEN 100 AND 250")
 def length_window(spark, d):
     return O.length_window(seqs(spark, d), 200, 50, 100)
@@ -248,6 +261,13 @@ def expand_n(spark, d):
     "SELECT seq_id, k, CASE WHEN todo[1] = 'N' THEN rest // 4 ELSE rest END, done || CASE WHEN todo[1] = 'N' THEN substr('ACGT', (rest % 4 + 1)::BIGINT, 1) ELSE todo[1] END, substr(todo, 2) FROM r WHERE todo <> '') "
     "SELECT seq_id, k, done AS seq FROM r WHERE todo = ''"
 )
+def udtf_expand_n(spark, d):
+    tables.register(spark)
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.regexp_replace(F.upper("p_name"), "[^ACGTN]", "").alias("seq"))
+    return spark.sql("SELECT seq_id, k, expanded AS seq FROM {own}, LATERAL expand_n(seq)", own=own)
+
+
+@query(ORACLES["udtf_expand_n"])
 def expand_n_sequences(spark, d):
     own = table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.regexp_replace(F.upper("p_name"), "[^ACGTN]", "").alias("seq"))
     return O.n_expanded(own).select("seq_id", F.col("k").cast("long").alias("k"), "seq")
@@ -578,9 +598,35 @@ def branch_lengths_sphere(spark, d):
     return branches(spark, d, 2)
 
 
-@query()
+#: Texts of the clusters of the first and of the second layer.
+NEWICK = """, t0 AS (SELECT cluster, parent, label || ':1.000000' AS t FROM nd WHERE layer = 0),
+t1 AS (SELECT nd.cluster, nd.parent, coalesce('(' || k.t || ')', '') || label || ':1.000000' AS t FROM nd LEFT JOIN (SELECT parent, string_agg(t, ',' ORDER BY cluster DESC) AS t FROM t0 WHERE parent IS NOT NULL GROUP BY parent) k ON k.parent = nd.cluster WHERE layer = 1)
+SELECT coalesce('(' || string_agg(t, ',' ORDER BY cluster DESC) || ')', '') || 'L2C0;' AS newick FROM t1 WHERE parent = 0"""
+
+
+@query(LAYERS + NEWICK)
 def newick(spark, d):
-    return spark.createDataFrame([(L.newick(membership(spark, d)),)], "newick string")
+    return L.newick_table(membership(spark, d))
+
+
+MASKS = "WITH m AS (SELECT doc_id AS seq_id, coalesce(quality = 1, false) AS a, coalesce(toxic = 1, false) AS b FROM labels) "
+
+
+@query(MASKS + "SELECT seq_id FROM m WHERE a OR b")
+def mask_or(spark, d):
+    rows = table(spark, d, "labels").select(F.col("doc_id").alias("seq_id"), "quality", "toxic")
+    return L.unpacked_mask(L.mask_or(*[L.packed_mask(rows.select("seq_id", F.col(c).alias("mask"))) for c in ("quality", "toxic")])).select("seq_id")
+
+
+@query(MASKS + "SELECT seq_id FROM m WHERE a AND b")
+def mask_and(spark, d):
+    rows = table(spark, d, "labels").select(F.col("doc_id").alias("seq_id"), "quality", "toxic")
+    return L.unpacked_mask(L.mask_and(*[L.packed_mask(rows.select("seq_id", F.col(c).alias("mask"))) for c in ("quality", "toxic")])).select("seq_id")
+
+
+@query("SELECT string_agg(n::VARCHAR, chr(9) ORDER BY n) AS line FROM range((SELECT count(*) FROM embeddings)) t(n)")
+def matrix_annotation(spark, d):
+    return L.matrix_annotation(points(spark, d))
 
 
 @query()
@@ -694,6 +740,11 @@ def covariance(spark, d):
     return P.covariance(points(spark, d)).select("a", "b", F.round("cov", 9).alias("cov"))
 
 
+@query("WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS k FROM embeddings), n AS (SELECT k, sqrt(sum(v * v)) AS norm FROM x GROUP BY k) SELECT p.k AS a, q.k AS b, round(sum(p.v * q.v) / any_value(n.norm) / any_value(m.norm), 9) AS correlation FROM x p JOIN x q ON p.vec_id = q.vec_id AND p.k <= q.k JOIN n ON n.k = p.k JOIN n m ON m.k = q.k GROUP BY ALL")
+def feature_correlation(spark, d):
+    return P.feature_correlation(points(spark, d)).select("a", "b", F.round("correlation", 9).alias("correlation"))
+
+
 @query("WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS k FROM embeddings), c AS (SELECT p.k AS a, q.k AS b, covar_pop(p.v, q.v) AS cov FROM x p JOIN x q ON p.vec_id = q.vec_id GROUP BY ALL) SELECT count(*) FILTER (a = b) AS n_values, round(sum(cov) FILTER (a = b), 6) AS total, round(sum(cov * cov), 6) AS squares FROM c")
 def eigenvalue_sums(spark, d):
     """Eigenvalues sum to the trace of the covariance, and their squares to its squared norm."""
