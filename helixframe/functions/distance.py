@@ -147,8 +147,17 @@ def near_candidates(left: DataFrame, right: DataFrame, most: float, q: int | Non
     return long.unionByName(short).distinct()
 
 
+def in_reach(left: DataFrame, right: DataFrame, most: float) -> DataFrame:
+    """left(seq_id, seq) without the sequences that have no length of right in reach; stored, as a text is read once."""
+    band = F.floor(operand_length() / max(1, int(most // 4) + 1)).cast("long")
+    bands = right.select(F.explode(F.array(band - 1, band, band + 1)).alias("band")).distinct()
+    return saved(left.select("seq_id", "seq", band.alias("band")).join(bands, "band", "left_semi").select("seq_id", "seq"))
+
+
 def near_pairs(left: DataFrame, right: DataFrame, most: float, half: bool = False, q: int | None = None) -> DataFrame:
-    """(i, j, a, b, dist) of the pairs within an alignment distance of `most`; with half those with i <= j only."""
+    """(i, j, a, b, dist) of the pairs within an alignment distance of `most`; with half those with i <= j only, of one table."""
+    left = saved(left.select("seq_id", "seq")) if half else in_reach(left, right, most)
+    right = left if half else in_reach(right, left, most)
     found = near_candidates(left, right, most, q)
     found = found.where("i <= j") if half else found
     both = found.join(left.select(F.col("seq_id").alias("i"), F.col("seq").alias("a")), "i").join(right.select(F.col("seq_id").alias("j"), F.col("seq").alias("b")), "j")
