@@ -165,7 +165,7 @@ def near_pairs(left: DataFrame, right: DataFrame, most: float, half: bool = Fals
 
 
 #: Points of a block of a cell; cells, at most.
-BLOCK, MOST_CELLS = 1024, 1024
+BLOCK, MOST_CELLS = 4096, 1024
 
 
 def norms(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
