@@ -74,6 +74,22 @@ def multiplicity_fasta(seqs: DataFrame) -> DataFrame:
     return rows.select("seq_id", "multiplicity", F.concat(F.format_string(">sequence_%d_mutiplicity_%d\n", "seq_id", "multiplicity"), wrapped(F.col("seq"))).alias("record"))
 
 
+def carried(rows: DataFrame, place: str, column: str, size: int = 4096) -> DataFrame:
+    """rows, a stored table, with nulls of a column replaced by the last value at an earlier place.
+
+    In two steps, so that no task sees all places: the last value of each block of `size` places is carried over the blocks, one row
+    each, and then within the blocks.
+    """
+    block = F.floor(F.col(place) / size).alias("_block")
+    lasts = rows.where(F.col(column).isNotNull()).groupBy(block).agg(F.max_by(column, place).alias("_last"))
+    blocks = rows.select(block).distinct().join(lasts, "_block", "left")
+    before = F.last("_last", ignorenulls=True).over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("_block", before.alias("_before"))
+    within = F.last(column, ignorenulls=True).over(Window.partitionBy("_block").orderBy(place))
+    out = rows.select("*", block).join(starts, "_block").withColumn(column, F.coalesce(within, "_before"))
+    return out.select(*rows.columns)
+
+
 def consensus(seqs: DataFrame) -> DataFrame:
     """One row a position: base, counts and shares of ACGT; a position without ACGT takes the base before it."""
     total = seqs.agg(F.count("*").alias("n"))
@@ -85,9 +101,8 @@ def consensus(seqs: DataFrame) -> DataFrame:
     for b in reversed(S.DNA):
         base = F.when(F.col(f"n_{b.lower()}") == top, F.lit(b)).otherwise(base)
     own = counts.withColumn("own", F.when(top > 0, base)).join(F.broadcast(total))
-    carried = F.last("own", ignorenulls=True).over(Window.orderBy("pos"))  # one row a position, not a sequence
     shares = [(F.col(n) / F.col("n")).alias(f"f_{n[2:]}") for n in names]
-    return own.select("pos", carried.alias("base"), *names, *shares)
+    return carried(saved(own), "pos", "own").select("pos", F.col("own").alias("base"), *names, *shares)
 
 
 def consensus_string(cons: DataFrame) -> DataFrame:

@@ -89,3 +89,17 @@ def test_length_window_and_colours(spark):
     row = spark.range(1).select(G.faded(F.lit("#102040"), F.lit(0.5)).alias("c"), G.parse_node_label(F.lit("L1C2N30")).alias("n")).first()
     assert row.c == "#888FA0".replace("8F", "90") or row.c == "#8890A0"
     assert tuple(row.n) == (1, 2, 30)
+
+
+def test_values_are_carried_over_blocks(spark):
+    values = [None, None, "a", None, None, None, None, "b", None, "c", None, None, None, None, None, None, "d"]
+    rows = spark.createDataFrame([(i, v, i) for i, v in enumerate(values)], "pos int, own string, more int")
+    wanted, last = [], None
+    for v in values:
+        last = v or last
+        wanted.append(last)
+    for size in (1, 3, 100):
+        got = O.carried(rows.repartition(3), "pos", "own", size).orderBy("pos").collect()
+        assert [r.own for r in got] == wanted and got[0].more == 0
+    gaps = spark.createDataFrame([(0, "ACNNG"), (1, "ACNN")], "seq_id long, seq string")
+    assert O.consensus_string(O.consensus(gaps)).first()[0] == "ACCCG"
