@@ -68,10 +68,20 @@ def fasta_text(seqs: DataFrame) -> DataFrame:
     return seqs.select("seq_id", F.concat(F.format_string(">sequence_%d\n", "seq_id"), wrapped(F.col("seq"))).alias("record"))
 
 
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with rank, from 0 in the given order: a range sort, numbered in each range after the rows of the ranges before."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = saved(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33).alias("_range")
+    counts = placed.groupBy(part).agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    return placed.select("*", part).join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+
+
 def multiplicity_fasta(seqs: DataFrame) -> DataFrame:
-    """Unique records, by ascending multiplicity and id (column rank)."""
-    rows = multiplicity(seqs)
-    return rows.select("seq_id", "multiplicity", F.concat(F.format_string(">sequence_%d_mutiplicity_%d\n", "seq_id", "multiplicity"), wrapped(F.col("seq"))).alias("record"))
+    """(seq_id, multiplicity, record, rank): unique records, ranked by ascending multiplicity and id."""
+    rows = ranked(multiplicity(seqs), "multiplicity", "seq_id")
+    return rows.select("seq_id", "multiplicity", F.concat(F.format_string(">sequence_%d_mutiplicity_%d\n", "seq_id", "multiplicity"), wrapped(F.col("seq"))).alias("record"), "rank")
 
 
 def carried(rows: DataFrame, place: str, column: str, size: int = 4096) -> DataFrame:

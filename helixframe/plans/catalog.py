@@ -167,7 +167,7 @@ def wrap_sql(x: str) -> str:
     return f"rtrim({WRAP.format(x=x)}, chr(10))"
 
 
-@query(f"WITH {SEQ} SELECT seq_id, n AS multiplicity, '>sequence_' || seq_id || '_mutiplicity_' || n || chr(10) || {wrap_sql('seq')} AS record FROM (SELECT min(seq_id) AS seq_id, seq, count(*) AS n FROM seqs GROUP BY seq)")
+@query(f"WITH {SEQ} SELECT seq_id, n AS multiplicity, '>sequence_' || seq_id || '_mutiplicity_' || n || chr(10) || {wrap_sql('seq')} AS record, row_number() OVER (ORDER BY n, seq_id) - 1 AS rank FROM (SELECT min(seq_id) AS seq_id, seq, count(*) AS n FROM seqs GROUP BY seq)")
 def multiplicity_fasta(spark, d):
     return O.multiplicity_fasta(seqs(spark, d))
 

@@ -103,3 +103,12 @@ def test_values_are_carried_over_blocks(spark):
         assert [r.own for r in got] == wanted and got[0].more == 0
     gaps = spark.createDataFrame([(0, "ACNNG"), (1, "ACNN")], "seq_id long, seq string")
     assert O.consensus_string(O.consensus(gaps)).first()[0] == "ACCCG"
+
+
+def test_unique_records_are_ranked(spark):
+    """Ascending multiplicity, then id: the fixture's order."""
+    rows = ["TCAGAAGCTTA", "TCAGGGAAAAGCTT", "TCAGAAGCTTA", "AAGCTTTCAGAA"]
+    got = O.multiplicity_fasta(spark.createDataFrame(list(enumerate(rows)), "seq_id long, seq string")).orderBy("rank").collect()
+    assert [(r.rank, r.seq_id, r.multiplicity) for r in got] == [(0, 1, 1), (1, 3, 1), (2, 0, 2)]
+    assert got[2].record == ">sequence_0_mutiplicity_2\nTCAGAAGCTTA"
+    assert O.multiplicity_fasta(spark.createDataFrame([], "seq_id long, seq string")).count() == 0
