@@ -101,6 +101,35 @@ def test_html_drops_nothing_else():
     assert all(html_main.marked([("class", c)]) for c in ("ad", "ad1", "box ad-box", "cookie-notice", "site-header", "footer-links", "post-comments"))
 
 
+LONG = "A sentence of the article with plenty of words, so that it is rich in text, as it goes on and on. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "n_lines"),
+    [
+        (f"<html><head><title>T</title><body><p>{LONG}</p></body></html>", 1),
+        (f"<html><head><meta charset=x>{LONG}", 1),
+        (f"<p class='ad'>Buy<div>{LONG}</div>", 1),
+        (f"<div class=menu><ul><li><a href=x>Home</a></li><li><a href=y>Shop</a></li></ul><p>{LONG}</p><p>Short.</p><p>{LONG}</p>", 3),
+        (f"<div class='share-price-report'><p>{LONG}</p></div>", 1),
+        (f"<div class='social-policy-article'><p>{LONG}</p><div class='comments'>{LONG}</div></div>", 1),
+        (f"<div class='tags-explained'><p>{LONG}</p></div>", 1),
+        (f"<div role='main' class='login'><p>{LONG}</p></div>", 1),
+        (f"<article><p>{LONG}</p><p>{LONG}</p></article><article><h3><a href=x>Other</a></h3><p>A teaser.</p></article>", 2),
+        (f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article>", 2),
+        (f"<ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul><h1>Head</h1><p>{LONG}</p><p><a href=z>One link</a></p><p>{LONG}</p>", 4),
+        (f"<form id=page><h1>Head</h1><p>{LONG}</p><form>x</form></form>", 3),
+        (f"<p>{LONG}</p><form><label>Name</label><input></form>", 1),
+        (f"<article><p>{LONG}</p><p>{LONG}</p></article><div class=comments><p>{LONG}", 2),
+        (f"<p>{LONG}</p><div class='share-buttons'><a href=x>One</a> <a href=y>Two</a></div>", 1),
+    ],
+)
+def test_html_marks_and_open_elements(page, n_lines):
+    lines = html_main.extract(page).split("\n")
+    assert len(lines) == n_lines and LONG.strip() in lines
+    assert not {"Buy", "Home", "Shop", "About", "Name", "A teaser.", "One Two", "T"} & set(lines)
+
+
 def held_out(text, m):
     return zlib.crc32(str(text).encode()) % m
 
