@@ -118,7 +118,7 @@ LONG = "A sentence of the article with plenty of words, so that it is rich in te
         (f"<article><p>{LONG}</p><p>{LONG}</p></article><article><h3><a href=x>Other</a></h3><p>A teaser.</p></article>", 2),
         (f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article>", 2),
         (f"<ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul><h1>Head</h1><p>{LONG}</p><p><a href=z>One link</a></p><p>{LONG}</p>", 4),
-        (f"<form id=page><h1>Head</h1><p>{LONG}</p><form>x</form></form>", 3),
+        (f"<form id=page><h1>Head</h1><p>{LONG}</p><form>x</form></form>", 2),
         (f"<p>{LONG}</p><form><label>Name</label><input></form>", 1),
         (f"<article><p>{LONG}</p><p>{LONG}</p></article><div class=comments><p>{LONG}", 2),
         (f"<p>{LONG}</p><div class='share-buttons'><a href=x>One</a> <a href=y>Two</a></div>", 1),
