@@ -21,6 +21,7 @@ from ..operators import compare as K
 from ..operators import layers as L
 from ..operators import projection as P
 from ..operators import sequences as O
+from ..sources import pictures, split_sets
 from ..sources import readers as R
 from ..sources import writers as W
 from ..storage import saved, shared_path
@@ -247,6 +248,13 @@ def exact_lookup(spark, d):
     return O.exact_lookup(own, O.multiplicity(own).where("multiplicity > 1"))
 
 
+@query(f"WITH {SEQ} SELECT seq_id, seq FROM seqs WHERE seq IN (SELECT seq FROM seqs WHERE seq_id % 50 = 0)")
+def exact_lookup_probes(spark, d):
+    """The probes are the sequences whose id 50 divides; all sequences are searched."""
+    own = seqs(spark, d)
+    return O.exact_lookup(own, own.where("seq_id % 50 = 0"))
+
+
 @query("SELECT p_partkey AS seq_id, unnest(list_transform(range(CAST(power(4, n) AS BIGINT)), lambda k: k)) AS k FROM (SELECT p_partkey, length(s) - length(replace(s, 'N', '')) AS n FROM (SELECT p_partkey, regexp_replace(upper(p_name), '[^ACGTN]', '', 'g') AS s FROM part))")
 def expand_n(spark, d):
     own = table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.regexp_replace(F.upper("p_name"), "[^ACGTN]", "").alias("seq"))
@@ -537,8 +545,10 @@ def layer_membership(spark, d):
 
 @query(LAYERS + "SELECT * FROM mm")
 def split_set_round_trip(spark, d):
-    """The layers packed as binary split sets and unpacked."""
-    return R.unpacked(W.split_set_bytes(membership(spark, d)))
+    """The layers written as binary split sets, a file each, and read again."""
+    path = shared_path(spark)
+    split_sets.write_split_sets(membership(spark, d), path)
+    return split_sets.read_split_sets(spark, path)
 
 
 @query(LAYERS + "SELECT * FROM ed")
@@ -717,6 +727,14 @@ def density_scaled(spark, d):
     return P.density_scaled(P.density_grid(points(spark, d), 0.05))
 
 
+@query(grid_sql(3) + "SELECT z, x, y, least(255, trunc(n * 255.0::DOUBLE / greatest((SELECT max(n) FROM g), 1))::INT) AS level FROM g")
+def density_png_round_trip(spark, d):
+    """A picture of every slice of the grid, written by the tasks and read again."""
+    path = shared_path(spark)
+    pictures.write_pictures(saved(P.density_scaled(P.density_grid(points(spark, d), 0.05, 3))), path)
+    return pictures.read_pictures(spark, path)
+
+
 PX = f"WITH {E_CTE}, b AS (SELECT min(v[1]) AS x0, max(v[1]) AS x1, min(v[2]) AS y0, max(v[2]) AS y1 FROM e), px AS (SELECT id AS seq_id, trunc(abs(v[1] - x0) / ((x1 - x0) / 399))::INT AS px, trunc(abs(v[2] - y0) / ((y1 - y0) / 399))::INT AS py FROM e, b) "
 
 
@@ -764,3 +782,13 @@ def swarm_line_sizes(spark, d):
     own = table(spark, d, "events").select(F.col("user_id").cast("int").alias("cluster"), F.format_string("sequence_%d_mutiplicity_1", "event_id").alias("value"))
     ids = table(spark, d, "events").select(F.col("event_id").alias("seq_id"), F.col("event_id").cast("string").alias("seq"))
     return R.swarm_clusters(own, ids).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH own AS (SELECT p_partkey AS seq_id, regexp_replace(upper(p_name), '[^ACGT]', '', 'g') AS seq, p_size::INT AS cluster FROM part), "
+    "named AS (SELECT seq, min(cluster) AS cluster FROM own GROUP BY seq) SELECT named.cluster, seq_id FROM own JOIN named USING (seq)"
+)
+def swarm_clusters(spark, d):
+    """Swarm tokens of the parts of a size: parts of equal letters follow the first line that names one of them."""
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.regexp_replace(F.upper("p_name"), "[^ACGT]", "").alias("seq"), F.col("p_size").cast("int").alias("cluster"))
+    return R.swarm_clusters(own.select("cluster", F.format_string("sequence_%d_mutiplicity_1", "seq_id").alias("value")), own.select("seq_id", "seq"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import io
 import struct
 from collections.abc import Iterator
 
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import saved, small
-from . import fasta_source
+from . import fasta_source, split_sets
+from .split_sets import read_split_sets  # noqa: F401
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -87,31 +88,10 @@ def swarm_clusters(lines: DataFrame, seqs: DataFrame) -> DataFrame:
     return seqs.join(named, "seq").select("cluster", "seq_id")
 
 
-MAGIC = b"SPLIT_SET"
-
-
 def decode_split_set(data: bytes) -> list[tuple[int, int]]:
     """(cluster, seq_id) of a binary split set."""
-    if data[:9] != MAGIC:
-        raise ValueError("not a split set")
-    out, at = [], 13
-    for k in range(struct.unpack_from("=i", data, 9)[0]):
-        n = struct.unpack_from("=i", data, at)[0]
-        out += [(k, m) for m in struct.unpack_from(f"={n}i", data, at + 8)]
-        at += 8 + 4 * n
-    return out
-
-
-def read_split_sets(spark: SparkSession, path: str) -> DataFrame:
-    """membership of binary split sets; the number that ends a file's name is its layer."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for name, data in zip(p["path"], p["content"], strict=True):
-                layer = int((re.findall(r"\d+", name.rsplit("/", 1)[-1]) or ["0"])[-1])
-                yield pd.DataFrame([(layer, c, m) for c, m in decode_split_set(data)], columns=["layer", "cluster", "seq_id"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "layer int, cluster int, seq_id long")
+    found = split_sets.heads(io.BytesIO(data), len(data))
+    return [(k, m) for k, (at, n) in enumerate(found) for m in struct.unpack_from(f"={n}i", data, at)]
 
 
 def unpacked(sets: DataFrame) -> DataFrame:

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sequences import fasta_text, kmer_lines
-from . import fasta_source
-from .readers import MAGIC
+from . import fasta_source, pictures, split_sets
 
 
 def write_text(rows: DataFrame, column: str, path: str, *order: str) -> None:
@@ -36,8 +30,8 @@ def cluster_records(seqs: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def write_cluster_fasta(seqs: DataFrame, membership: DataFrame, path: str) -> None:
-    """A folder for every cluster."""
-    cluster_records(seqs, membership).repartition("file").sortWithinPartitions("file", "seq_id").select("file", "record").write.mode("overwrite").partitionBy("file").text(path)
+    """A folder for every cluster; a large cluster's records are several files in it, which follow each other by seq_id."""
+    cluster_records(seqs, membership).repartitionByRange("file", "seq_id").sortWithinPartitions("file", "seq_id").select("file", "record").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def value_lines(points: DataFrame) -> DataFrame:
@@ -50,8 +44,9 @@ def write_projections(points: DataFrame, path: str) -> None:
 
 
 def write_cluster_values(points: DataFrame, membership: DataFrame, path: str) -> None:
+    """A folder for every cluster, as write_cluster_fasta makes them."""
     rows = value_lines(points).join(membership, "seq_id").select(F.format_string("%03d", "cluster").alias("file"), "seq_id", "line")
-    rows.repartition("file").sortWithinPartitions("file", "seq_id").select("file", "line").write.mode("overwrite").partitionBy("file").text(path)
+    rows.repartitionByRange("file", "seq_id").sortWithinPartitions("file", "seq_id").select("file", "line").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def eigenvalue_text(values) -> str:
@@ -59,43 +54,12 @@ def eigenvalue_text(values) -> str:
 
 
 def split_set_bytes(membership: DataFrame) -> DataFrame:
-    """(layer, data): one binary split set a layer.  A cluster is packed where its members are grouped; a layer's pieces are
-    joined in one row, as the format is one file a layer.  The native form of membership is Parquet."""
-
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            p["data"] = [struct.pack(f"={2 + len(m)}i", len(m), c, *m) for c, m in zip(p["cluster"], p["members"], strict=True)]
-            yield p[["layer", "cluster", "data"]]
-
-    grouped = membership.groupBy("layer", "cluster").agg(F.array_sort(F.collect_list(F.col("seq_id").cast("int"))).alias("members"))
-    pieces = grouped.mapInPandas(pack, "layer int, cluster int, data binary")
-
-    def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            p["data"] = [MAGIC + struct.pack("=i", len(own)) + b"".join(x["data"] for x in own) for own in p["own"]]
-            yield p[["layer", "data"]]
-
-    own = pieces.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("cluster", "data"))).alias("own"))
-    return own.mapInPandas(join, "layer int, data binary")
-
-
-def png(rows: list[bytes]) -> bytes:
-    """An 8-bit gray picture."""
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    head = struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
+    """(layer, data): small split sets as values, whole in a row; write_split_sets makes files of any size."""
+    parts = split_sets.file_parts(membership).select(F.regexp_extract("name", r"(\d+)$", 1).cast("int").alias("layer"), F.monotonically_increasing_id().alias("turn"), "data")
+    own = F.transform(F.array_sort(F.collect_list(F.struct("turn", "data"))), lambda p: p["data"])
+    return parts.groupBy("layer").agg(F.aggregate(own, F.lit(b""), lambda a, b: F.concat(a, b)).alias("data"))
 
 
 def density_png(scaled: DataFrame) -> dict[int, bytes]:
-    """Pictures of a rescaled grid, one for each z (0 without z); the grid, not the points, comes to the driver."""
-    cells = scaled.collect()
-    deep = "z" in scaled.columns
-    wide, tall = max(c["x"] for c in cells) + 1, max(c["y"] for c in cells) + 1
-    out = {}
-    for z in {c["z"] if deep else 0 for c in cells}:
-        rows = [bytearray(wide) for _ in range(tall)]
-        for c in cells:
-            if not deep or c["z"] == z:
-                rows[c["y"]][c["x"]] = c["level"]
-        out[z] = png([bytes(r) for r in rows])
-    return out
+    """Pictures to look at, one for each z (0 without z), drawn in the tasks; write_pictures makes files of them."""
+    return {r["z"]: bytes(r["png"]) for r in pictures.pictures(scaled).toLocalIterator()}
