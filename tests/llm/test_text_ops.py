@@ -2,11 +2,14 @@
 
 import base64
 import hashlib
+import pathlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -76,6 +79,40 @@ def test_license_texts_in_their_usual_wrapping(spark):
     assert {r.license_id for r in own.collect()} == {"GPL-9"}
 
 
+MIT = next(t for i, t in license.KNOWN if i == "MIT" and len(t) > 500)
+
+
+@pytest.mark.parametrize("line", ["Copyright Acme Corporation and contributors", "Copyright Jane Doe <jane@example.org>", "copyright The Example Project", "Copyright 2001 Jane", "(c) 2001 Jane", "Copyright by Jane Doe\nCopyright John Doe"])
+def test_license_copyright_lines(spark, line):
+    wrapped = MIT.replace("The above copyright", "The above\ncopyright").replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS")
+    texts = [(1, f"MIT License\n\n{line}\n\n{MIT}"), (2, f"{line}\n{wrapped}"), (3, wrapped), (4, f"{line}\nOther words.\n{MIT[:400]}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r.doc_id, r.license_id) for r in license.license_scan(docs).collect() if r.scope == "text"} == {(k, "MIT") for k in (1, 2, 3)}
+
+
+COMMON = pathlib.Path("/usr/share/common-licenses")
+FILES = {"Artistic-1.0-Perl": "Artistic", "BSD-3-Clause": "BSD"} | {f"{x}.0": x for x in ("GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-3")}
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="the public texts are not on this machine")
+def test_license_long_texts(spark):
+    """Every digest is that of the public text, however its lines are broken; DuckDB finds the same."""
+    rows = []
+    for k, (name, _, _) in enumerate(license.DIGESTS):
+        text = (COMMON / FILES.get(name, name)).read_text()
+        shout = re.sub(r"[ \t]+", "  ", text.replace("https://", "http://")).replace(";", " ;")
+        fill = lambda p: textwrap.fill(p, 44, break_long_words=False, break_on_hyphens=False)
+        body = "\n\n".join(p if "(c)" in p.lower() or max(len(x.strip()) for x in p.split("\n")) < 60 else fill(p) for p in text.split("\n\n"))
+        rows += [(10 * k, text), (10 * k + 1, shout), (10 * k + 2, body), (10 * k + 3, " ".join(text.rsplit(" of ", 1)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.scope, r.license_id, r.n_matches) for r in license.license_scan(docs).collect()}
+    assert {(d, name) for d, scope, name, _ in got if scope == "text"} == {(10 * k + j, name) for k, (name, _, _) in enumerate(license.DIGESTS) for j in range(3)}
+    con = duckdb.connect()
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    con.register("documents", documents)
+    assert set(con.execute(license.oracle_sql()).fetchall()) == got
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav>
 <div class="cookie-notice">Accept</div><article><h1>Head&amp;line</h1><p>One
  two&nbsp;three <b>bold</b><p>Second</p><div class="ad-box">Buy</div><ul><li>x<li>y</ul></article><section id="comments"><p>Nice post, long reader comment here</p></section>
