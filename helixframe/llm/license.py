@@ -170,7 +170,7 @@ def oracle_sql(known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, st
     def canon(x: str) -> str:
         x = f"lower({x})"
         for pattern, to in STEPS:
-            x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+            x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{re.sub('[$](?=[0-9])', chr(92) * 2, to)}', 'g')"
         for pattern, to in SPELLINGS:
             x = f"regexp_replace({x}, '\\b{pattern}\\b', '{to.replace('$2', chr(92) + '2')}', 'g')"
         return f"trim({x})"
