@@ -1,3 +1,6 @@
+import random
+
+from helixframe.functions import distance
 from helixframe.functions import geometry as G
 from helixframe.functions import sequences as S
 from helixframe.operators import sequences as O
@@ -112,3 +115,29 @@ def test_unique_records_are_ranked(spark):
     assert [(r.rank, r.seq_id, r.multiplicity) for r in got] == [(0, 1, 1), (1, 3, 1), (2, 0, 2)]
     assert got[2].record == ">sequence_0_mutiplicity_2\nTCAGAAGCTTA"
     assert O.multiplicity_fasta(spark.createDataFrame([], "seq_id long, seq string")).count() == 0
+
+
+def plain_alignment(a, b):
+    """4 times the longer length less the best local score, cell by cell."""
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(max(0, row[k] + (4 if x == y else -4), row[k + 1] - 3, new[k] - 3))
+        row, best = new, max(best, *new)
+    return 4 * max(len(a), len(b)) - best
+
+
+def test_textbook_alignment_and_the_sql_function(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("ACGT", k=rng.randrange(1, 30))) for _ in range(40)]
+    a, b = words[:20], words[20:]
+    assert distance.alignment_distances(a, b, textbook=True).tolist() == [plain_alignment(x, y) for x, y in zip(a, b, strict=True)]
+    assert distance.alignment_distances(["ACGT", "A"], ["ACGT", "C"], textbook=True).tolist() == [0, 4]
+    distance.register_sw_distance(spark)
+    spark.createDataFrame(list(zip(a, b, strict=True)), "a string, b string").createOrReplaceTempView("sw_pairs")
+    got = {(r.a, r.b): r.d for r in spark.sql("SELECT a, b, sw_distance(a, b) d FROM sw_pairs").collect()}
+    # the compared operands are the sequences without their first letter and with an end mark
+    for x, y in zip(a, b, strict=True):
+        x1, y1 = x[1:] + "\0", y[1:] + "\0"
+        assert got[(x, y)] == 4 * max(len(x), len(y)) - (4 * max(len(x1), len(y1)) - plain_alignment(x1, y1))
