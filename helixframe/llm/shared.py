@@ -26,7 +26,17 @@ def led_buckets(rows: DataFrame) -> DataFrame:
     In a group of copies with changes of their own, that is the text they were made from: it is closer to each of them
     than they are to each other.  Ties go to the smallest class.
     """
-    several = saved(rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1"))
+    return leads_of(saved(rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1")))
+
+
+def several_in_bucket(rows: DataFrame) -> DataFrame:
+    """rows(bucket, cls) of buckets with several rows, and size; counts are combined before the shuffle, so no task sorts a hot bucket."""
+    sizes = saved(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    return rows.join(small(sizes), "bucket")
+
+
+def leads_of(several: DataFrame) -> DataFrame:
+    """several(bucket, cls, size) with lead; see led_buckets."""
     degree = several.groupBy("cls").agg(F.sum("size").alias("degree"))
     leads = several.join(small(degree), "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls"))["cls"].alias("lead"))
     return several.select("bucket", "cls").join(leads, "bucket")
