@@ -159,6 +159,41 @@ def test_line_dedup_recall(spark):
     assert share["word"] == share["typo"] == 1 and share["words"] >= 0.9 and share["typos"] >= 0.9
 
 
+def hard_pairs():
+    """Lines and copies with an edit similarity of 0.8 or more that few equal words or no spaces connect: (kind, line, copy)."""
+    draw, out = random.Random(5), []
+    word = lambda n: "".join(draw.choice("abcdefghiklmnoprstuvw") for _ in range(n))
+
+    def typos(t, n):
+        t = list(t)
+        for at in draw.sample(range(len(t)), n):
+            t[at] = "x"
+        return "".join(t)
+
+    for _ in range(20):
+        w = [word(8) for _ in range(80)]
+        out.append(("long", " ".join(w), " ".join(typos(x, 1) if i % 3 == 0 else x for i, x in enumerate(w))))
+        for n in (6, 12, 60):
+            w = [word(draw.randint(5, 9)) for _ in range(n)]
+            out.append(("dense", " ".join(w), " ".join(typos(x, 1) if i % 2 == 0 else x for i, x in enumerate(w))))
+        for n in (60, 100, 600):
+            z = "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(n))
+            out.append(("unspaced", z, typos(z, 1)))
+        u = f"https://www.{word(20)}.example/{word(20)}/{word(12)}"
+        out.append(("unspaced", u, typos(u, 1)))
+    return out
+
+
+def test_line_dedup_recall_of_dense_edits_and_unspaced_lines(spark):
+    pairs = hard_pairs()
+    assert all(1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8 for _, a, b in pairs if len(a) < 200)
+    rows = [(k, f"{a}\n{b}") for k, (_, a, b) in enumerate(pairs)]
+    gone = {r.doc_id: r._n_removed for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    share = {kind: sum(gone[k] for k, p in enumerate(pairs) if p[0] == kind) / sum(p[0] == kind for p in pairs) for kind in ("long", "dense", "unspaced")}
+    print(len(pairs), share)
+    assert share["long"] >= 0.9 and share["dense"] >= 0.8 and share["unspaced"] == 1
+
+
 def removed(rows):
     first, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
