@@ -194,6 +194,39 @@ def test_line_dedup_recall_of_dense_edits_and_unspaced_lines(spark):
     assert share["long"] >= 0.9 and share["dense"] >= 0.8 and share["unspaced"] == 1
 
 
+def test_line_dedup_compares_only_lines_that_share_words(spark, monkeypatch):
+    """Lines with the same two longest words meet in a bucket, but only copies are compared in characters."""
+    draw, seen, middles = random.Random(3), [], linededup.middles
+    word = lambda: "".join(draw.choice("abcdefghiklmnoprstuvw") for _ in range(6))
+    lines = [" ".join([word() for _ in range(20)] + ["international", "understanding"]) for _ in range(40)]
+    rows = [(k, x) for k, x in enumerate(lines)] + [(100, edited(draw, lines[7], 1))]
+    monkeypatch.setattr(linededup, "middles", lambda both: seen.append(both.count()) or middles(both))
+    assert [r.doc_id for r in linededup.dedup_lines(frame(spark, rows)).collect() if r._n_removed] == [100]
+    assert sum(seen) <= 3
+
+
+def test_line_dedup_distance_of_middles(spark):
+    draw, pairs = random.Random(4), []
+    for k in range(120):
+        a = [draw.choice(["a", "bc", "def", "日本", "ghij"]) for _ in range(draw.randint(1, 12))]
+        b = list(a)
+        for _ in range(draw.randint(0, 3)):
+            at = draw.randrange(len(b) + 1)
+            b[at : at + draw.randint(0, 1)] = [draw.choice(["x", "bc", "de"])] * draw.randint(0, 1)
+        pairs.append((k, k, 9, " ".join(a), " ".join(b) or "x"))
+    made = linededup.middles(spark.createDataFrame(pairs, "a int, b int, most int, na string, nb string")).selectExpr("a", "levenshtein(ma, mb) d", linededup.pieces_distance() + " p").collect()
+    assert all(r.d == levenshtein(*pairs[r.a][3:]) <= r.p for r in made) and len(made) == len(pairs)
+
+
+def test_line_dedup_without_broadcasts(spark, monkeypatch):
+    """Beyond a bound that the driver holds, tables of lines are joined by shuffles, with the same result."""
+    rows = [(k, f"{a}\n{b}") for k, (_, a, b) in enumerate(line_pairs()[::6])]
+    want = sorted(tuple(r) for r in linededup.dedup_lines(frame(spark, rows)).collect())
+    monkeypatch.setattr(linededup, "BROADCAST", 0)
+    out = linededup.dedup_lines(frame(spark, rows))
+    assert sorted(tuple(r) for r in out.collect()) == want
+
+
 def removed(rows):
     first, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
