@@ -36,7 +36,7 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A longer phrase swallows a part of it if it has at least so many in a hundred of its occurrences.
 SWALLOWS = 50
 BLOCK_WORDS = 250_000
-SLICE_GROUPS = 4_000_000
+SLICE_GROUPS = 1_000_000
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _INSIDE = ~_BREAK
@@ -54,6 +54,22 @@ def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
     return np.frombuffer(data, dtype=kind)
 
 
+def numbers(value: pa.BinaryScalar, kind: type = np.int64) -> np.ndarray:
+    """The numbers in a binary value, which is not copied."""
+    return np.frombuffer(value.as_buffer(), dtype=kind)
+
+
+def all_numbers(column: pa.ChunkedArray, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all values of a binary column in one array, and how many each value has."""
+    parts, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for x in column.chunks:
+        off = np.frombuffer(x.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset : x.offset + len(x) + 1]
+        if len(x) and off[-1] > off[0]:
+            parts.append(np.frombuffer(x.buffers()[2], dtype=np.uint8)[off[0] : off[-1]].view(kind))
+        sizes.append(np.diff(off) // np.dtype(kind).itemsize)
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
 class Words:
     """Occurrences of the words of some texts: hash, place, and where a word of that hash stands first."""
 
@@ -159,12 +175,11 @@ def pairs_of_words(blocks: DataFrame, told: DataFrame, kept: bool) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 own = b.slice(k, 1)
-                block, places, codes = (own.column(i)[0].as_py() for i in range(3))
-                codes = unpacked(codes, np.int32)
+                block, places, codes = own.column(0)[0].as_py(), *(numbers(own.column(i)[0], np.int32) for i in (1, 2))
                 ids = np.full(int(codes.max()) + 1, -1, dtype=np.int64)
                 ids[np.asarray(own.column(3)[0].values)] = np.asarray(own.column(4)[0].values)
                 ids = ids[codes]
-                place = np.cumsum(unpacked(places, np.int32).astype(np.int64))[ids >= 0]
+                place = np.cumsum(places, dtype=np.int64)[ids >= 0]
                 ids = ids[ids >= 0]
                 at = neighbours(place)
                 if len(at):
@@ -180,15 +195,13 @@ def extended(relation: DataFrame, told: DataFrame, slices_: int, kept: bool) ->
         for b in batches:
             for k in range(b.num_rows):
                 own = b.slice(k, 1)
-                block, places, codes, prefix, word = (own.column(i)[0].as_py() for i in range(5))
-                prefix, word = unpacked(prefix), unpacked(word)
+                block, places, codes, prefix, word = own.column(0)[0].as_py(), *(numbers(own.column(i)[0], kind) for i, kind in zip(range(1, 5), (np.int32, np.int32, np.int64, np.int64), strict=True))
                 dealt = slice_of(prefix, word, slices_)
                 ids = np.full(len(prefix), -1, dtype=np.int64)
-                for reply in own.column(5)[0].as_py():
-                    ids[dealt == reply["slice"]] = unpacked(reply["ids"])
-                codes = unpacked(codes, np.int32)
+                for reply in own.column(5)[0].values:
+                    ids[dealt == reply["slice"].as_py()] = numbers(reply["ids"])
                 frequent = ids[codes] >= 0
-                place, codes = np.cumsum(unpacked(places, np.int32).astype(np.int64))[frequent], codes[frequent]
+                place, codes = np.cumsum(places, dtype=np.int64)[frequent], codes[frequent]
                 at = neighbours(place)
                 if len(at):
                     yield group_row(block, place[at], ids[codes[at]], word[codes[at + 1]], kept)
@@ -200,14 +213,41 @@ def extended(relation: DataFrame, told: DataFrame, slices_: int, kept: bool) ->
 _TALLY = "slice long, block long, ids binary, id long, prefix long, word long, f long"
 
 
+def tally(part: pa.Table, least: int, reply: bool) -> pa.Table:
+    """What tallied returns, for one slice; the groups are ordered once, and no copy of the input is kept beside them."""
+    own = int(part.column("slice")[0].as_py())
+    blocks = part.column("block").to_pylist()
+    (prefix, size), (word, _), (counts, _) = (all_numbers(part.column(c), kind) for c, kind in (("prefix", np.int64), ("word", np.int64), ("counts", np.int32)))
+    order = np.lexsort((word, prefix))
+    prefix, word, counts = prefix[order], word[order], counts[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1])
+    start = np.flatnonzero(new)
+    f = np.add.reduceat(counts, start, dtype=np.int64)
+    kept = f >= least
+    n, m = int(kept.sum()), len(blocks) if reply else 0
+    ids = np.full(len(f), -1, dtype=np.int64)
+    ids[kept] = (own << 40) + np.arange(n)
+    rows = {"id": ids[kept], "prefix": prefix[start][kept], "word": word[start][kept], "f": f[kept]}
+    del prefix, word, counts, start, f
+    back = []
+    if reply:
+        each = np.empty(len(order), dtype=np.int64)
+        each[order] = ids[np.cumsum(new, dtype=np.int32) - 1]
+        back = [packed(x) for x in np.split(each, np.cumsum(size)[:-1])]
+    columns = [pa.array([own] * (n + m), pa.int64()), pa.array([None] * n + blocks[:m], pa.int64()), pa.array([None] * n + back, pa.binary())]
+    columns += [pa.concat_arrays([pa.array(rows[c], pa.int64()), pa.nulls(m, pa.int64())]) for c in ("id", "prefix", "word", "f")]
+    return pa.Table.from_arrays(columns, names=[x.split()[0] for x in _TALLY.split(", ")])
+
+
 def tallied(relation: DataFrame, slices_: int, least: int, reply: bool) -> DataFrame:
     """Rows (id, prefix, word, f) of the frequent groups of a relation, and rows (slice, block, ids) that tell a block the numbers
     of its groups in a slice, -1 for those that are not frequent."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, prefix, word, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                prefix, word, counts = unpacked(prefix), unpacked(word), unpacked(counts, np.int32)
+            for block, *values in zip(*b.columns, strict=True):
+                block, prefix, word, counts = block.as_py(), *(numbers(x, kind) for x, kind in zip(values, (np.int64, np.int64, np.int32), strict=True))
                 dealt = slice_of(prefix, word, slices_)
                 order = np.argsort(dealt, kind="stable")
                 cut = np.searchsorted(dealt[order], np.arange(slices_ + 1))
@@ -217,34 +257,8 @@ def tallied(relation: DataFrame, slices_: int, least: int, reply: bool) -> DataF
                     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["slice", "block", "prefix", "word", "counts"])
 
-    def tally(part: pa.Table) -> pa.Table:
-        own = int(part.column("slice")[0].as_py())
-        blocks = part.column("block").to_pylist()
-        prefix, word, counts = ([unpacked(x, kind) for x in part.column(c).to_pylist()] for c, kind in (("prefix", np.int64), ("word", np.int64), ("counts", np.int32)))
-        size = [len(x) for x in prefix]
-        prefix, word, counts = np.concatenate(prefix), np.concatenate(word), np.concatenate(counts)
-        order = np.lexsort((word, prefix))
-        prefix, word = prefix[order], word[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1])
-        start = np.flatnonzero(new)
-        f = np.add.reduceat(counts[order].astype(np.int64), start)
-        kept = f >= least
-        ids = np.full(len(f), -1, dtype=np.int64)
-        ids[kept] = (own << 40) + np.arange(int(kept.sum()))
-        rows = {"slice": [own] * int(kept.sum()), "block": None, "ids": None, "id": ids[kept], "prefix": prefix[start][kept], "word": word[start][kept], "f": f[kept]}
-        back = []
-        if reply:
-            each = np.empty(len(order), dtype=np.int64)
-            each[order] = ids[np.cumsum(new) - 1]
-            back = [packed(x) for x in np.split(each, np.cumsum(size)[:-1])]
-        n, m = len(rows["id"]), len(back)
-        columns = [pa.array([own] * (n + m), pa.int64()), pa.array([None] * n + blocks[:m], pa.int64()), pa.array([None] * n + back, pa.binary())]
-        columns += [pa.concat_arrays([pa.array(rows[c], pa.int64()), pa.nulls(m, pa.int64())]) for c in ("id", "prefix", "word", "f")]
-        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in _TALLY.split(", ")])
-
     dealt = relation.select("block", "prefix", "word", "counts").mapInArrow(deal, "slice long, block long, prefix binary, word binary, counts binary")
-    return dealt.groupBy("slice").applyInArrow(tally, _TALLY)
+    return dealt.groupBy("slice").applyInArrow(lambda part: tally(part, least, reply), _TALLY)
 
 
 def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:

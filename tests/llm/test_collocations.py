@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from helixframe.llm import collocations
@@ -51,6 +54,28 @@ def test_equal_to_plain_counts(spark, monkeypatch, longest, block):
     assert sorted(tuple(r) for r in got.collect()) == plain(rows, 5, longest, 40)
 
 
+def test_tally_keeps_no_second_copy_of_a_slice():
+    """The memory of a slice's task is bounded by a few times the slice, which holds at most about SLICE_GROUPS groups."""
+    draw, n, blocks = np.random.default_rng(1), 20_000, 25
+    prefix, word, counts = draw.integers(0, 500, (blocks, n)), draw.integers(0, 500, (blocks, n)), draw.integers(1, 4, (blocks, n), dtype=np.int32)
+    columns = [pa.array([3] * blocks), pa.array(range(blocks)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (prefix, word, counts))]
+    part = pa.table(columns, names=["slice", "block", "prefix", "word", "counts"])
+    tracemalloc.start()
+    out = collocations.tally(part, 6, True).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    f = Counter()
+    for p, w, c in zip(prefix.ravel().tolist(), word.ravel().tolist(), counts.ravel().tolist(), strict=True):
+        f[p, w] += c
+    assert {(r["prefix"], r["word"]): r["f"] for r in out if r["block"] is None} == {k: c for k, c in f.items() if c >= 6}
+    known = {r["id"]: (r["prefix"], r["word"]) for r in out if r["block"] is None}
+    for r in out:
+        if r["block"] is not None:
+            ids = np.frombuffer(r["ids"], np.int64).tolist()
+            assert all(known[i] == k if i >= 0 else f[k] < 6 for i, k in zip(ids, zip(prefix[r["block"]].tolist(), word[r["block"]].tolist(), strict=True), strict=True))
+    assert most < 6 * part.nbytes and collocations.SLICE_GROUPS <= 1_000_000
+
+
 def test_large_counts_stay_exact(spark):
     phrases = [("en", 1, "a", 3_000_000_019), ("en", 1, "b", 3_000_000_011), ("en", 2, "a b", 3_000_000_007)]
     got = collocations.scored(spark.createDataFrame(phrases, "lang string, words int, phrase string, f long")).collect()
