@@ -152,13 +152,15 @@ _GROUPS = "block long, size long, places binary, codes binary, prefix binary, wo
 
 
 def group_row(block: int, place: np.ndarray, prefix: np.ndarray, word: np.ndarray, kept: bool) -> pa.RecordBatch:
-    """A block of a relation of (prefix, word) occurrences, whose groups are counted; without the places, if it is the last."""
+    """A block of a relation of (prefix, word) occurrences, whose groups are counted; without the places, if it is the last.
+
+    Groups are ordered by prefix, and the differences of prefixes are stored, which compress well."""
     codes_p, p = np.unique(prefix, return_inverse=True)
     codes_w, w = np.unique(word, return_inverse=True)
     key, code, n = np.unique(p * max(1, len(codes_w)) + w, return_inverse=True, return_counts=True)
     p, w = np.divmod(key, max(1, len(codes_w)))
     places, codes = (packed(np.diff(place, prepend=0), np.int32), packed(code, np.int32)) if kept else (b"", b"")
-    row = [block, len(place), places, codes, packed(codes_p[p]), packed(codes_w[w]), packed(n, np.int32)]
+    row = [block, len(place), places, codes, packed(np.diff(codes_p[p], prepend=0)), packed(codes_w[w]), packed(n, np.int32)]
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in _GROUPS.split(", ")])
 
@@ -196,6 +198,7 @@ def extended(relation: DataFrame, told: DataFrame, slices_: int, kept: bool) ->
             for k in range(b.num_rows):
                 own = b.slice(k, 1)
                 block, places, codes, prefix, word = own.column(0)[0].as_py(), *(numbers(own.column(i)[0], kind) for i, kind in zip(range(1, 5), (np.int32, np.int32, np.int64, np.int64), strict=True))
+                prefix = np.cumsum(prefix)
                 dealt = slice_of(prefix, word, slices_)
                 ids = np.full(len(prefix), -1, dtype=np.int64)
                 for reply in own.column(5)[0].values:
@@ -218,6 +221,8 @@ def tally(part: pa.Table, least: int, reply: bool) -> pa.Table:
     own = int(part.column("slice")[0].as_py())
     blocks = part.column("block").to_pylist()
     (prefix, size), (word, _), (counts, _) = (all_numbers(part.column(c), kind) for c, kind in (("prefix", np.int64), ("word", np.int64), ("counts", np.int32)))
+    first, prefix = np.cumsum(size) - size, np.cumsum(prefix)
+    prefix -= np.repeat(np.where(first > 0, prefix[first - 1], 0), size)  # each value starts anew
     order = np.lexsort((word, prefix))
     prefix, word, counts = prefix[order], word[order], counts[order]
     new = np.ones(len(order), dtype=bool)
@@ -248,12 +253,13 @@ def tallied(relation: DataFrame, slices_: int, least: int, reply: bool) -> DataF
         for b in batches:
             for block, *values in zip(*b.columns, strict=True):
                 block, prefix, word, counts = block.as_py(), *(numbers(x, kind) for x, kind in zip(values, (np.int64, np.int64, np.int32), strict=True))
+                prefix = np.cumsum(prefix)
                 dealt = slice_of(prefix, word, slices_)
                 order = np.argsort(dealt, kind="stable")
                 cut = np.searchsorted(dealt[order], np.arange(slices_ + 1))
                 for s in np.flatnonzero(np.diff(cut)):
                     own = order[cut[s] : cut[s + 1]]
-                    row = [int(s), block, packed(prefix[own]), packed(word[own]), packed(counts[own], np.int32)]
+                    row = [int(s), block, packed(np.diff(prefix[own], prepend=0)), packed(word[own]), packed(counts[own], np.int32)]
                     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["slice", "block", "prefix", "word", "counts"])
 

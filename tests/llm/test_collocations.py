@@ -58,7 +58,8 @@ def test_tally_keeps_no_second_copy_of_a_slice():
     """The memory of a slice's task is bounded by a few times the slice, which holds at most about SLICE_GROUPS groups."""
     draw, n, blocks = np.random.default_rng(1), 20_000, 25
     prefix, word, counts = draw.integers(0, 500, (blocks, n)), draw.integers(0, 500, (blocks, n)), draw.integers(1, 4, (blocks, n), dtype=np.int32)
-    columns = [pa.array([3] * blocks), pa.array(range(blocks)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (prefix, word, counts))]
+    stored = np.diff(prefix, prepend=0), word, counts
+    columns = [pa.array([3] * blocks), pa.array(range(blocks)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in stored)]
     part = pa.table(columns, names=["slice", "block", "prefix", "word", "counts"])
     tracemalloc.start()
     out = collocations.tally(part, 6, True).to_pylist()
