@@ -17,6 +17,7 @@ one class only, every text scores 0.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .quality import platt
 from .textscan import Scan, mix, slices
-from .training import crc_remainder, labelled_sample
+from .training import crc_remainder, labelled_rows, place
 
 MAX_TRAIN_ROWS = 4000
 WINDOW, CHUNK, MARGIN = 16, 64, 8
@@ -365,9 +366,20 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text").mapInArrow(run, SCHEMA)
 
 
+def fit_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of a sample's rows (text, label), pickled."""
+    sample = [pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample))], pa.binary())], names=["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
-    """Fit on labels(doc_id, toxic) outside the held-out fold, at most max_rows of them."""
-    return fit(labelled_sample(docs, labels, "toxic", max_rows, folds=5))
+    """Fit on labels(doc_id, toxic) outside the held-out fold, at most max_rows of them.
+
+    The sample is bounded and fits in a task; the driver gets the model alone, neither texts nor the arrays of the fit.
+    """
+    sample = labelled_rows(docs, labels, "toxic", max_rows, folds=5).repartition(1).sortWithinPartitions(*place("_y"))
+    made = sample.select("text", "_y").mapInArrow(fit_in_task, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else ToxicityModel()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
