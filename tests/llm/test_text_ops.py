@@ -260,6 +260,26 @@ def test_bpe_matches_the_library(spark, codec):
     assert row.n_tokens == 0 and row.ids_sha256 == row.decoded_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_bpe_encodes_new_pieces_of_a_batch_once(monkeypatch):
+    tok = pytest.importorskip("public_tokenizers")
+    own = bpe.Codec(tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN, cache_size=40)
+    calls = []
+    encode_many = own.encode_many
+    monkeypatch.setattr(own, "encode_many", lambda pieces: calls.append(len(pieces)) or encode_many(pieces))
+    texts = ["", " lone", "zorblat quux zorblat quux", "a\u2003 b c\xa0 d é f\x85 g “h” i　 j", "tail  \n", "x \0 y", "中 文 字 ß Ω", "quux " * 30, "tail"]
+    columns = [pa.array(texts, pa.string()), pa.array([None, *texts[::-1]], pa.string())]
+    for _ in range(2):
+        for column, got in zip(columns, own.buffers(columns), strict=True):
+            for text, (n, ids, raw) in zip(column.to_pylist(), got, strict=True):
+                want = own.encode(text or "")
+                assert (n, bytes(ids).decode(), bytes(raw)) == (len(want), " ".join(map(str, want)), (text or "").encode())
+    assert len(calls) == 1  # both columns' pieces together, and none again
+    many = [pa.array([f"piece{i} of{i}" for i in range(100)])]
+    assert [[bytes(x[1]) for x in c] for c in own.buffers(many)] == [[" ".join(map(str, own.encode(t))).encode() for t in many[0].to_pylist()]]
+    assert len(own.known) == len(own.first) == len(own.size) == 40
+    assert [x[0] for c in own.buffers(columns) for x in c] == [len(own.encode(t or "")) for c in columns for t in c.to_pylist()]
+
+
 QUESTION = "A train leaves Paris at 30 km per hour and Alice waits 12 minutes for the second train to arrive in the station at noon."
 
 
