@@ -30,6 +30,8 @@ from .textscan import slices, text_buffer
 
 #: Pieces whose encoding a Python worker keeps; those beyond are encoded each time they come.
 CACHE_SIZE = 500_000
+#: So many pieces' ids are gathered at a time.
+PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,7 +43,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, .. of n[0] numbers, then those of first[1], and so on."""
     end = np.cumsum(n, dtype=np.int64)
-    return np.repeat(first - end + n, n) + np.arange(end[-1] if len(end) else 0)
+    out = np.repeat(first - end + n, n)
+    out += np.arange(len(out))
+    return out
+
+
+def spans(ptr: np.ndarray, most: int = PIECES) -> Iterator[tuple[int, int]]:
+    """Runs of texts with so many pieces at most, one longer text alone."""
+    at = 0
+    while at + 1 < len(ptr):
+        to = max(at + 1, int(np.searchsorted(ptr, ptr[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
 
 
 #: Bytes that may begin a character that is not white space, those of three or two bytes that may begin white space left out.
@@ -236,14 +249,14 @@ class Codec:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         n = len(raw)
-        owner = np.repeat(np.arange(len(pieces)), size)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
         last = np.cumsum(size) - 1
-        token = self.byte_ids[raw]
-        after = np.arange(1, n + 1)
+        token = self.byte_ids.astype(np.int32)[raw]
+        after = np.arange(1, n + 1, dtype=np.int32)
         after[last] = -1
-        before = np.arange(-1, n - 1)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         before[last - size + 1] = -1
-        pair = np.full(n, -1, dtype=np.int64)
+        pair = np.full(n, -1, dtype=np.int32)
         pair[:-1] = self.byte_pairs[raw[:-1], raw[1:]]
         pair[last] = -1
         dead = np.zeros(n, dtype=bool)
@@ -286,7 +299,7 @@ class Codec:
 
     def join_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the tokens that pairs of tokens make; -1 for none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.join_keys, key), len(self.join_keys) - 1)
         return np.where((self.join_keys[at] == key) & (right >= 0), self.join_made[at], -1)
 
@@ -386,8 +399,8 @@ class Codec:
         the decoded bytes.  New pieces of all arrays are encoded together."""
         rows = [self.rows_of(own) for own in texts]
         self.learn()
-        for own in rows:
-            yield self.views(*self.ids_of(*own))
+        for own, ptr in rows:
+            yield itertools.chain.from_iterable(self.views(*self.ids_of(own[ptr[a] : ptr[z]], ptr[a : z + 1] - ptr[a])) for a, z in spans(ptr))
         self.forget()
 
     def views(self, ids: np.ndarray, ptr: np.ndarray) -> Iterator[tuple[int, memoryview, memoryview]]:

@@ -280,6 +280,16 @@ def test_bpe_encodes_new_pieces_of_a_batch_once(monkeypatch):
     assert [x[0] for c in own.buffers(columns) for x in c] == [len(own.encode(t or "")) for c in columns for t in c.to_pylist()]
 
 
+def test_bpe_gathers_bounded_runs(monkeypatch, codec):
+    assert list(bpe.spans(np.array([0, 3, 3, 10, 12, 12]), 4)) == [(0, 2), (2, 3), (3, 5)]
+    sizes = []
+    ids_of = codec.ids_of
+    monkeypatch.setattr(codec, "ids_of", lambda rows, ptr: sizes.append(len(rows)) or ids_of(rows, ptr))
+    texts = pa.array(["a b c d e" * 100] * 1200)
+    assert len({(n, bytes(ids)) for own in codec.buffers([texts]) for n, ids, _ in own}) == 1
+    assert len(sizes) > 1 and max(sizes) <= bpe.PIECES < sum(sizes)
+
+
 QUESTION = "A train leaves Paris at 30 km per hour and Alice waits 12 minutes for the second train to arrive in the station at noon."
 
 
