@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .textscan import slices, text_buffer
+from .workers import returning
 
 #: Pieces whose encoding a Python worker keeps; those beyond are encoded each time they come.
 CACHE_SIZE = 500_000
@@ -442,7 +443,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     raw.append(hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(returning(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

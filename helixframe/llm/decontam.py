@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textscan import Scan, mix, slices
+from .workers import returning
 
 WINDOW, PASSAGE, SHORTEST, VERBATIM = 8, 13, 5, 26
 BLOCK_CHARS = 8_000_000
@@ -267,7 +268,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     d, i, n, m, same = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(same)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-        got = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+        got = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(returning(run), SCHEMA)
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -285,5 +286,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[m[0] for m in index.matches(b.column(at))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(returning(run), docs.schema)
     return docs

@@ -28,6 +28,7 @@ from .decontam import _WORD, _fold
 from ..storage import saved, small
 from .shared import components, led_buckets, unused
 from .textscan import Scan, mix, per_doc, slices
+from .workers import returning
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
@@ -121,7 +122,7 @@ def document_frequencies(docs: DataFrame) -> Idf:
             if n:
                 yield from flush()
 
-        return texts.mapInArrow(run, "h long, n long, under long")
+        return texts.mapInArrow(returning(run), "h long, n long, under long")
 
     parts = saved(counted(None))
     base = parts.where("n = 0").agg(F.sum("under")).first()[0] or 0
@@ -205,7 +206,7 @@ def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(bands.T.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(per_doc(w, ptr).astype(float)), *[pa.array(x.view(np.int64)) for x in sig], *[pa.array(x) for x in parity], lists], names=["doc_id", "cls", *_COLUMNS, "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class(), "text").mapInArrow(run, _SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class(), "text").mapInArrow(returning(run), _SIGNATURE)
 
 
 def text_class() -> Column:
@@ -269,7 +270,7 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: Idf) -> DataFrame:
             union = per_doc(wa.astype(float), pa_) + per_doc(idf.weights(hb).astype(float), pb) - common
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(common >= SIMILARITY * union - 1e-9))
 
-    return saved(both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"))
+    return saved(both.select("a", "b", "ta", "tb").mapInArrow(returning(run), "a binary, b binary"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from .quality import platt
 from .textscan import Scan, mix, slices
 from .training import crc_remainder, labelled_rows, place
+from .workers import returning
 
 MAX_TRAIN_ROWS = 4000
 WINDOW, CHUNK, MARGIN = 16, 64, 8
 WORD_BITS, GRAM_BITS, GRAMS, EMBED, HIDDEN = 17, 16, (3, 5), 8, 16
-#: Characters scanned at once in training.
-BLOCK = 1 << 20
+#: Characters scanned at once in training, bytes in scoring, and distinct words whose grams are gathered at once.
+BLOCK, PART, GATHERED = 1 << 20, 1 << 19, 1 << 14
 _U = np.uint64
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -104,7 +105,7 @@ def read(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
     shift = np.cumsum([0, *(len(w.gram) for w in blocks)])
     every = Words(np.concatenate([w.bucket for w in blocks]), np.concatenate([w.gram for w in blocks]), np.concatenate([[0], *(w.ptr[1:] + s for w, s in zip(blocks, shift, strict=False))]))
     _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return every.take(first), inverse[np.concatenate(index)], np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return every.take(first), inverse.astype(np.int32)[np.concatenate(index)], np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 class Chunks(NamedTuple):
@@ -197,11 +198,14 @@ class ToxicityModel:
     def inputs(self, words: Words) -> np.ndarray:
         """Word embedding and mean gram embedding of every word."""
         size = np.diff(words.ptr)
-        mean = np.zeros((len(size), EMBED), dtype=np.float32)
-        has = np.flatnonzero(size)
-        if len(has):
-            mean[has] = np.add.reduceat(self.p["gram"][words.gram], words.ptr[has], axis=0) / size[has, None]
-        return np.concatenate([self.p["word"][words.bucket], mean], axis=1)
+        out = np.zeros((len(size), 2 * EMBED), dtype=np.float32)
+        out[:, :EMBED] = self.p["word"][words.bucket]
+        for lo in range(0, len(size), GATHERED):
+            ptr = words.ptr[lo : lo + GATHERED + 1]
+            has = np.flatnonzero(np.diff(ptr))
+            if len(has):
+                out[lo + has, EMBED:] = np.add.reduceat(self.p["gram"][words.gram[ptr[0] : ptr[-1]]], ptr[has] - ptr[0], axis=0) / size[lo + has, None]
+        return out
 
     def projected(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x @ self.p["wf"] + self.p["bf"], x @ self.p["wb"] + self.p["bb"]
@@ -283,13 +287,13 @@ def worst(logits: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
-def worst_windows(model: ToxicityModel, words: Words, index: np.ndarray, ptr: np.ndarray, c: Chunks, texts: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def worst_windows(model: ToxicityModel, words: Words, index: np.ndarray, ptr: np.ndarray, c: Chunks, texts: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(logit of the worst window of every stretch, its first place, logit of every text), by blocks of texts."""
     top, lo, logit = np.full(len(c.first), -np.inf), c.first.copy(), np.full(len(ptr) - 1, -np.inf)
-    x = model.projected(model.inputs(words))
     for k in range(0, len(ptr) - 1, texts):
         own = ptr[k : k + texts + 1]
-        start, z = model.windows(x, index[own[0] : own[-1]], own - own[0])
+        used, place = np.unique(index[own[0] : own[-1]], return_inverse=True)
+        start, z = model.windows(model.projected(model.inputs(words.take(used))), place, own - own[0])
         if not len(start):
             continue
         logit[k : k + texts] = worst(z, own - own[0])
@@ -358,12 +362,12 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in slices(batches, "text", 1 << 21):
+        for b in slices(batches, "text", PART):
             p = model.scores(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text").mapInArrow(returning(run), SCHEMA)
 
 
 def fit_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +382,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     The sample is bounded and fits in a task; the driver gets the model alone, neither texts nor the arrays of the fit.
     """
     sample = labelled_rows(docs, labels, "toxic", max_rows, folds=5).repartition(1).sortWithinPartitions(*place("_y"))
-    made = sample.select("text", "_y").mapInArrow(fit_in_task, "model binary").collect()
+    made = sample.select("text", "_y").mapInArrow(returning(fit_in_task), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else ToxicityModel()
 
 
@@ -393,7 +397,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in slices(batches, "text", 1 << 21):
+        for b in slices(batches, "text", PART):
             yield b.filter(pa.array(model.scores(b.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning(run), docs.schema)
