@@ -271,3 +271,21 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     assert 0.5 * len(ids) < len(out) and {r.doc_id for r in out} <= ids and len({r.doc_id for r in out}) == len(out)
+
+
+def test_no_pair_of_lines_is_compared_twice(spark, monkeypatch):
+    """Lines that share buckets without being near are told apart once, whichever of them leads and whatever else they share."""
+    draw, seen, verified = random.Random(5), [], linededup.verified
+    shared = ["".join(draw.choice("abcdefghij") for _ in range(9)) for _ in range(9)]
+    lines = [" ".join([*draw.sample(shared, 7), *("".join(draw.choice("klmnopqrst") for _ in range(3)) for _ in range(12))]) for _ in range(24)]
+    rows = [(i, f"{t}\n{t[:-1]}x" if i % 8 == 0 else t) for i, t in enumerate(lines)]
+
+    def counted(texts, pairs):
+        seen.append([tuple(sorted((r.a, r.b))) for r in pairs.collect()])
+        return verified(texts, pairs)
+
+    monkeypatch.setattr(linededup, "verified", counted)
+    got = {r.doc_id: r._n_removed for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i % 8 == 0) for i in range(24)}
+    pairs = [p for part in seen for p in part]
+    assert sum(map(bool, seen)) > 1 and len(pairs) == len(set(pairs))
