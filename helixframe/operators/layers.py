@@ -177,13 +177,18 @@ def cluster_of_annotation(annotations: DataFrame, unique: DataFrame) -> DataFram
 
 
 def partitions_found(membership: DataFrame, n: int, partitions: int, precision: float) -> DataFrame:
-    """(partition_no) of the partitions of equal id ranges that some cluster recovers."""
-    if not 0 <= precision <= 1 or n % partitions:
-        raise ValueError("precision must be within 0 and 1, and the sequences divisible by the partitions")
+    """(partition_no) of the partitions of equal id ranges that some cluster recovers.
+
+    A range has n // partitions ids, also where n is no multiple: what is left over forms a shorter range that counts like the others.
+    """
+    if not 0 <= precision <= 1:
+        raise ValueError("precision must be within 0 and 1")
     size = n // partitions
+    if not size:  # no cluster differs from an empty range by less than nothing
+        return membership.where("false").select(F.col("seq_id").alias("partition_no"))
     slack = (1 - precision) * size
     fit = sizes(membership).where(F.abs(F.col("n_members") - size) < slack)
-    own = membership.join(fit.select("layer", "cluster"), ["layer", "cluster"], "left_semi").withColumn("partition_no", F.floor(F.col("seq_id") / size))
+    own = membership.join(fit.select("layer", "cluster"), ["layer", "cluster"], "left_semi").withColumn("partition_no", F.expr(f"seq_id div {size}"))
     return own.groupBy("layer", "cluster", "partition_no").agg(F.count("*").alias("k")).where(F.col("k") > size - slack).select("partition_no").distinct()
 
 
