@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import saved
+from ..storage import saved, small
+from . import near
 from .sequences import kmers
 
 MATCH, GAP = 4, 3
@@ -164,8 +166,13 @@ def near_pairs(left: DataFrame, right: DataFrame, most: float, half: bool = Fals
     return sw_distances(both.select("i", "j", "a", "b"), "a", "b").where(F.col("dist") <= most)
 
 
-#: Points of a block of a cell; cells, at most.
-BLOCK, MOST_CELLS = 4096, 1024
+#: Points of a block of a cell, up to so many times as many in large tables; cells, at most.
+BLOCK, LARGER, MOST_CELLS = 4096, 4, 1024
+
+
+def block_size(n: int) -> int:
+    """Points of a block.  What is shuffled grows as the square of n over it, and so it grows with n; sixteen blocks keep the tasks busy."""
+    return max(BLOCK, min(LARGER * BLOCK, -(-n // 16)))
 
 
 def norms(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -192,39 +199,46 @@ def pivots(points: DataFrame, n: int, metric: str) -> np.ndarray:
     return sample[picked]
 
 
-def in_cells(points: DataFrame, eps: float, metric: str, cells: int | None = None) -> DataFrame:
-    """points(seq_id, values) with home, the cell of the nearest pivot, and visits, the earlier cells that it may have partners in.
+def in_cells(points: DataFrame, eps: float, metric: str, cells: int | None = None, n: int | None = None) -> DataFrame:
+    """points(seq_id, values) with home, the cell of the nearest pivot, and visits, the earlier cells that it may have partners in; values
+    in single precision if none of them loses by it.  n is the number of points, if known.
 
     A point at distance r from its own pivot and d from another has a partner within eps in that cell only if d is at most the
     cell's radius + eps and at most r + 2 eps (both by the triangle inequality).  A pair of two cells is found in the earlier one, so later
     cells are not visited.
     """
-    centres = pivots(points, cells or min(MOST_CELLS, -(-points.count() // BLOCK) or 1), metric)
-
-    def nearest(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        d = distances(np.stack(p["values"].to_numpy()).astype(np.float64), centres, metric)
+    if not cells:
+        n = points.count() if n is None else n
+        cells = min(MOST_CELLS, -(-n // block_size(n)) or 1)
+    centres = pivots(points, cells, metric)
+
+    def nearest(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x = np.stack(p["values"].to_numpy()).astype(np.float64)
+        d = distances(x, centres, metric)
         home = d.argmin(axis=1)
-        return d, home, d[np.arange(len(d)), home]
+        return x, d, home, d[np.arange(len(d)), home]
 
     def radii(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
-                _, home, r = nearest(p)
-                yield pd.DataFrame({"home": home, "r": r}).groupby("home", as_index=False).max()
+                x, _, home, r = nearest(p)
+                wide = (x != x.astype(np.float32)).any(axis=1)
+                yield pd.DataFrame({"home": home, "r": r, "wide": wide}).groupby("home", as_index=False).max()
 
-    far = np.full(max(1, len(centres)), -np.inf)
-    for row in points.mapInPandas(radii, "home long, r double").groupBy("home").agg(F.max("r").alias("r")).collect():  # one row a cell
+    far, kind = np.full(max(1, len(centres)), -np.inf), "float"
+    for row in points.mapInPandas(radii, "home long, r double, wide boolean").groupBy("home").agg(F.max("r").alias("r"), F.max("wide").alias("wide")).collect():  # one row a cell
         far[row["home"]] = row["r"]
+        kind = "double" if row["wide"] else kind
 
     def visits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
-                d, home, r = nearest(p)
+                x, d, home, r = nearest(p)
                 reach = np.minimum(far + eps, (r + 2 * eps)[:, None])
                 near = (d <= reach + 1e-6 * (1 + d)) & (np.arange(d.shape[1]) < home[:, None])
-                yield pd.DataFrame({"seq_id": p["seq_id"], "values": p["values"], "home": home, "visits": [np.flatnonzero(x) for x in near]})
+                yield pd.DataFrame({"seq_id": p["seq_id"], "values": list(x.astype(kind if kind == "double" else np.float32)), "home": home, "visits": [np.flatnonzero(x) for x in near]})
 
-    return points.select("seq_id", "values").mapInPandas(visits, "seq_id long, values array<double>, home long, visits array<long>")
+    return points.select("seq_id", "values").mapInPandas(visits, f"seq_id long, values array<{kind}>, home long, visits array<long>")
 
 
 def cell_sizes(placed: DataFrame) -> DataFrame:
@@ -238,7 +252,7 @@ def meetings(placed: DataFrame, size: int = BLOCK) -> DataFrame:
     """(cell, lo, hi, first, seq_id, values): hosts and guests of a cell in blocks of about `size`; every two blocks of hosts, and every block of
     hosts and block of guests, meet under a key (cell, lo, hi) of their own, so no key holds more than two blocks."""
     sizes_ = cell_sizes(placed).select("cell", F.ceil(F.col("hosts") / size).cast("long").alias("hb"), F.ceil(F.col("guests") / size).cast("long").alias("gb"))
-    cells = F.broadcast(saved(sizes_))
+    cells = small(saved(sizes_))
     h = F.xxhash64("seq_id")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
     key = lambda lo, hi, first: F.struct(lo.alias("lo"), hi.alias("hi"), first.alias("first"))
@@ -257,18 +271,50 @@ def both_ways(half: DataFrame) -> DataFrame:
     return half.select("dist", F.explode(turned).alias("p")).select("p.i", "p.j", "dist")
 
 
+PAIRS = "i long, j long, dist double"
+
+
+def block_pairs(placed: DataFrame, size: int, found: Callable[[pa.Array, pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(i, j, dist), both directions, of what found yields for the values of every two blocks that meet: places in both, and the distance."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same = key[1].as_py() == key[2].as_py()
+        own, other = near.sides(pa.Table.from_batches(batches), same)
+        ids, theirs = (t["seq_id"].to_numpy() for t in (own, other))
+
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for r, c, dist in found(*[t["values"].combine_chunks() for t in (own, other)]):
+                yield ids[r], theirs[c], dist
+                if not same:
+                    yield theirs[c], ids[r], dist
+
+        if len(ids) and len(theirs):
+            yield from near.batched(parts(), ["i", "j", "dist"])
+
+    return meetings(placed, size).groupBy("cell", "lo", "hi").applyInArrow(run, PAIRS)
+
+
 def pairs_by_function(points: DataFrame, eps: float, metric: Callable[[Column, Column], Column], column: str, bound: Callable[[Column], Column] | None) -> DataFrame:
-    """(i, j, dist) for a distance of two columns.  bound maps a point to a number that differs by at most the distance: pairs meet by bands of
-    it; without one, all points meet, in blocks."""
-    left, right = (points.select(F.col("seq_id").alias(i), F.col(column).alias(v)) for i, v in (("i", "_a"), ("j", "_b")))
+    """(i, j, dist) for a distance of two columns, which is the same in both directions.  bound maps a point to a number that differs by at
+    most the distance: pairs meet by bands of it; without one, all points meet.  Either way they meet in blocks.
+
+    On arrays of doubles, a function that consists of sums, products and the like of the elements is computed by numpy (near.program).
+    """
+    own = points.select("seq_id", F.col(column).alias("values")).where("values is not null")
+    home, visits = F.lit(0).cast("long"), F.array().cast("array<long>")
     if bound is not None:
-        band = lambda v: F.floor(bound(F.col(v)) / (eps or 1.0)).cast("long")
-        both = left.withColumn("_band", band("_a")).join(right.withColumn("_band", F.explode(F.array(band("_b") - 1, band("_b"), band("_b") + 1))), "_band")
-    else:
-        blocks = F.lit(-(-points.count() // BLOCK) or 1)
-        both = left.withColumn("_x", F.pmod(F.xxhash64("i"), blocks)).withColumn("_y", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        both = both.join(right.withColumn("_y", F.pmod(F.xxhash64("j"), blocks)).withColumn("_x", F.explode(F.sequence(F.lit(0), blocks - 1))), ["_x", "_y"])
-    return both_ways(both.where("i <= j").select("i", "j", metric(F.col("_a"), F.col("_b")).alias("dist")).where(F.col("dist") <= eps))
+        home = F.floor(bound(F.col("values")) / (eps * (1 + 1e-9) or 1.0)).cast("long")
+        visits = F.array(F.col("home") - 1)
+    placed, names = saved(own.withColumn("home", home).withColumn("visits", visits)), ("_a", "_b")
+    size = block_size(placed.count())
+    tree = near.program(metric, F.col("_a"), F.col("_b"), names) if dict(own.dtypes)["values"] == "array<double>" else None
+    if tree is not None:
+        return block_pairs(placed, size, lambda a, b: near.by_program(tree, names, a, b, eps))
+    rows = saved(meetings(placed, size))
+    one = rows.where("first").select("cell", "lo", "hi", F.col("seq_id").alias("i"), F.col("values").alias("_a"))
+    two = rows.where("lo = hi or not first").select("cell", "lo", "hi", F.col("seq_id").alias("j"), F.col("values").alias("_b"))
+    both = one.join(two, ["cell", "lo", "hi"]).where("lo < hi or i <= j")
+    return both_ways(both.select("i", "j", metric(F.col("_a"), F.col("_b")).alias("dist")).where(F.col("dist") <= eps))
 
 
 def pairs_within(points: DataFrame, eps: float, metric: str | Callable[[Column, Column], Column] = "l2", column: str = "values", bound: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -282,27 +328,7 @@ def pairs_within(points: DataFrame, eps: float, metric: str | Callable[[Column,
         return pairs_by_function(points, eps, metric, column, bound)
     if metric == "sw":
         return both_ways(near_pairs(points, points, eps, half=True).select("i", "j", "dist"))
-
-    def run(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        (_, lo, hi), first = key, cell["first"].to_numpy()
-        own = cell[first]
-        second = own if lo == hi else cell[~first]
-        out = []
-        ids, theirs = own["seq_id"].to_numpy(), second["seq_id"].to_numpy()
-        if len(ids) and len(theirs):
-            a, b = (np.stack(x["values"].to_numpy()).astype(np.float64) for x in (own, second))
-            limit = eps if metric == "l1" else eps * eps
-            for at in range(0, len(a), 256):
-                r, c = np.nonzero(norms(a[at : at + 256], b, metric) <= limit + 1e-9 * max(1.0, limit))
-                diff = a[at + r] - b[c]
-                dist = np.abs(diff).cumsum(axis=1)[:, -1] if metric == "l1" else (diff * diff).cumsum(axis=1)[:, -1]
-                ok = dist <= limit
-                i, j, dist = ids[at + r][ok], theirs[c][ok], dist[ok]
-                dist = dist if metric == "l1" else np.sqrt(dist)
-                out.append(pd.DataFrame({"i": i, "j": j, "dist": dist}))
-                if second is not own:
-                    out.append(pd.DataFrame({"i": j, "j": i, "dist": dist}))
-        return pd.concat(out) if out else pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "dist": np.zeros(0)})
-
-    placed = saved(in_cells(points, eps, metric))
-    return meetings(placed).groupBy("cell", "lo", "hi").applyInPandas(run, "i long, j long, dist double")
+    points = points.where("values is not null")
+    n = points.count()
+    placed = saved(in_cells(points, eps, metric, n=n))
+    return block_pairs(placed, block_size(n), lambda a, b: near.within(near.matrix(a), near.matrix(b), eps, metric))
