@@ -186,17 +186,22 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return norms(a, b, metric) if metric == "l1" else np.sqrt(norms(a, b, metric))
 
 
+def sample(points: DataFrame, n: int) -> np.ndarray:
+    """At most n vectors by hash; they come to the driver."""
+    rows = points.select("values", F.xxhash64("seq_id").alias("h"), "seq_id").orderBy("h", "seq_id").limit(n).collect()
+    return np.array([r["values"] for r in rows], dtype=np.float64)
+
+
 def pivots(points: DataFrame, n: int, metric: str) -> np.ndarray:
-    """At most n points that lie far from each other, of a sample of 4 n by hash; the sample is all that comes to the driver."""
-    rows = points.select("values", F.xxhash64("seq_id").alias("h"), "seq_id").orderBy("h", "seq_id").limit(4 * n).collect()
-    sample = np.array([r["values"] for r in rows], dtype=np.float64)
-    if not len(sample):
-        return sample
-    picked, away = [0], distances(sample, sample[:1], metric)[:, 0]
+    """At most n points that lie far from each other, of a sample of 4 n."""
+    own = sample(points, 4 * n)
+    if not len(own):
+        return own
+    picked, away = [0], distances(own, own[:1], metric)[:, 0]
     while len(picked) < n and away.max() > 0:
         picked.append(int(away.argmax()))
-        away = np.minimum(away, distances(sample, sample[picked[-1:]], metric)[:, 0])
-    return sample[picked]
+        away = np.minimum(away, distances(own, own[picked[-1:]], metric)[:, 0])
+    return own[picked]
 
 
 def in_cells(points: DataFrame, eps: float, metric: str, cells: int | None = None, n: int | None = None) -> DataFrame:

@@ -9,12 +9,15 @@ whose label is below its own id, offers.  Clusters are numbered in the order of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distance import pairs_within
+from ..functions.distance import distances, pairs_within, sample
 from ..storage import saved, small
 
 
@@ -197,31 +200,86 @@ class Finished:
         self.spark.createDataFrame([row], LAYERS).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
 
-def sweep(points: DataFrame, eps: float, step: float, minpts: int, metric: str, max_steps: int | None, halvings: int) -> tuple[DataFrame, list[tuple]]:
-    """(label_steps, layers) of an adaptive scan."""
-    n = points.count()
-    halves = [eps / 2**h for h in range(halvings, -1, -1)]
-    pairs = pairs_within(points, eps, metric).select("i", "j", first_of(F.col("dist"), halves).alias("at"))
-    clusters, at = [0] * len(halves), 0
-    for k, c, _ in [*step_counts(label_steps(pairs, minpts)), (len(halves), 0, 0)]:
-        clusters[at:k], at = [clusters[at - 1] if at else 0] * (k - at), k
-        if k < len(halves):
-            clusters[k], at = c, k + 1
-    while clusters.pop() == 1 and len(halves) > 1:
-        halves.pop()
-    first, reach, rows = halves[-1], 16, None
+#: Points of the sample from which a scan's reach is estimated, and neighbours of a point in its first reach, on average.
+SAMPLE, FEW = 2048, 32
+
+
+def sample_distances(points: DataFrame, metric: str) -> np.ndarray | None:
+    """The distances, in order, of every two points of a sample by hash; None where there are no vectors."""
+    if metric not in ("l1", "l2"):
+        return None
+    x = sample(points.where("values is not null"), SAMPLE)
+    if len(x) < 2:
+        return None
+    return np.sort(np.concatenate([distances(x[k : k + 1], x[k + 1 :], metric)[0] for k in range(len(x) - 1)]))
+
+
+def counts_at(counts: list[tuple[int, int, int]], steps: int) -> list[tuple[int, int]]:
+    """(clusters, members) of each of so many steps, from step_counts."""
+    out, own = [], {k: (c, m) for k, c, m in counts}
+    for k in range(steps):
+        out.append(own.get(k, out[-1] if out else (0, 0)))
+    return out
+
+
+def scans(points: DataFrame, first: float, step: float, minpts: int, metric: str, max_steps: int | None, spread: np.ndarray | None) -> Iterator[tuple[DataFrame, list, int, int | None]]:
+    """(label_steps, step_counts, last, end) of a scan from first, with a longer and longer reach of `last` steps; end is the step at which the
+    scan ends, None while it is not known.
+
+    A reach is so long that a point has some FEW neighbours, then four times as many and so on, for the pairs are the work; where the
+    sample of distances does not say, it is four times as long as before.
+    """
+    n, few, reach, rows = points.count(), max(FEW, 8 * minpts), 0, None
     while True:
+        by_sample = None
+        if spread is not None and few < n:
+            by_sample = int(max(0.0, min(1e9, (spread[int(few / n * len(spread))] - first) // step)))
+        reach = max(reach + 1, by_sample) if by_sample is not None else max(16, 4 * reach)
+        few *= 4
         last = reach if max_steps is None else min(reach, max(0, max_steps - 1))
         pairs = saved(pairs_within(points, first + last * step, metric))
         rows = label_steps(pairs.select("i", "j", first_step(F.col("dist"), first, step).alias("at")).where(F.col("at") <= last), minpts, rows)
         counts = step_counts(rows)
-        whole = last + 1 == max_steps or pairs.count() == n * n
+        total, own = pairs.agg(F.count("*"), F.count_if(F.expr("i = j"))).first()
+        whole = last + 1 == max_steps or total >= min(n, own) ** 2  # a vector that is no number has no partner, not itself either
         end = next((k for k, c, _ in counts if c == 1), None)
         if end is None and whole:
             end = last if last + 1 == max_steps else int(pairs.agg(F.max(first_step(F.col("dist"), first, step))).first()[0] or 0)
-        if end is not None:
+        yield rows, counts, last, end
+        if whole:
+            return
+
+
+def sweep(points: DataFrame, eps: float, step: float, minpts: int, metric: str, max_steps: int | None, halvings: int) -> tuple[DataFrame, list[tuple]]:
+    """(label_steps, layers) of an adaptive scan.
+
+    The scan starts at the longest half of eps that has not one cluster.  Where eps reaches many neighbours, only the halves that reach few
+    are looked at first: if the scan from there comes to one cluster of all points before the next longer half, that half and all beyond
+    have one cluster, too, for whatever joins later is in it already.  Only otherwise are the pairs of the longer half formed.
+    """
+    n = points.count()
+    halves = [eps / 2**h for h in range(halvings, -1, -1)]
+    spread = sample_distances(points, metric)
+    top = len(halves) - 1
+    while spread is not None and top and np.searchsorted(spread, halves[top], "right") / len(spread) * n > max(FEW, 8 * minpts):
+        top -= 1
+    while True:
+        pairs = pairs_within(points, halves[top], metric).select("i", "j", first_of(F.col("dist"), halves[: top + 1]).alias("at"))
+        counts = counts_at(step_counts(label_steps(pairs, minpts)), top + 1)
+        start = next((k for k in range(top, 0, -1) if counts[k][0] != 1), 0)
+        longer = halves[top + 1] if top + 1 < len(halves) and counts[top] != (1, n) else None
+        if longer is not None and max_steps is not None:  # a scan with a last step proves nothing beyond it
+            top += 1
+            continue
+        first = halves[start]
+        for rows, counts, last, end in scans(points, first, step, minpts, metric, max_steps, spread):
+            if longer is not None and any((c, m) == (1, n) and first + k * step <= longer for k, c, m in counts):
+                longer = None
+            if (end is not None and longer is None) or (longer is not None and first + last * step >= longer):
+                break
+        if longer is None:
             break
-        reach *= 4
+        top += 1
     layers, least = [], None
     for k, c, m in counts:
         if k <= end and c and (least is None or c < least):
@@ -235,7 +293,7 @@ def adaptive_dbscan(points: DataFrame, eps: float, step: float, minpts: int, met
 
     If the first scan has one cluster, epsilon is halved up to 20 times.  The scan ends with one cluster, or when epsilon has
     reached the largest distance, or after max_steps if given.  A layer is kept if it has fewer clusters than the last kept one.
-    All steps come from one sweep (label_steps); its reach grows fourfold until the scan ends.
+    All steps come from one sweep (label_steps); its reach grows until the scan ends.
 
     With path, the sweep and every finished layer are kept there, and a scan that was stopped goes on from what it finds.
     """
